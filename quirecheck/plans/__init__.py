@@ -6,7 +6,7 @@ import importlib
 
 from quirecheck.plans.registry import QUERIES, Query
 
-AREAS = ["text"]
+AREAS = ["text", "checks", "expressions"]
 
 
 def all_queries() -> dict[str, Query]:

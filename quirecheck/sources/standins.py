@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from quirecheck.sources.reading import spread
+
 MAX_PIXEL = 255
 
 
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 # ---- elements of an order: one line item is one page, image, font use or ink ----
@@ -235,7 +237,7 @@ def rasters(spark, d) -> DataFrame:
             F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.5) * 255).cast("int"))
         ),
     )
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("page_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), grey.alias("px")
     )
 
