@@ -31,3 +31,25 @@ def ordinal(df: DataFrame, keys: list[str], order: str, out: str, span: int = SP
         (local["_row"] + F.coalesce(offsets["_offset"], F.lit(0))).cast("bigint").alias(out),
     )
     return joined
+
+
+def nth_element(df: DataFrame, order: list[str], n: int, what: str) -> DataFrame:
+    """The ``n``-th element of each document, or a message where it has fewer.
+
+    Spark keeps only the first ``n`` rows per document before the shuffle, however many there are.
+    """
+    nth = (
+        df.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
+        .filter(F.col("_row") == n)
+        .drop("_row")
+        .withColumn("_found", F.lit(True))
+    )
+    total = df.groupBy("doc_id").agg(F.count("*").alias("_total"))
+    missing = F.concat(
+        F.lit(f"{what} {n} does not exist (found: "), F.col("_total").cast("string"), F.lit(")")
+    )
+    return (
+        total.join(nth, "doc_id", "left")
+        .withColumn("error", F.when(F.col("_found").isNull(), missing))
+        .drop("_found", "_total")
+    )

@@ -86,7 +86,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "code": (
         (),
-        f"""select p_partkey % 400 as doc_id, p_partkey as code_no, p_partkey % 7 + 1 as page_no,
+        f"""select p_partkey // 4 as doc_id, p_partkey as code_no, p_partkey % 7 + 1 as page_no,
            case p_size % 4 when 0 then 'QR_CODE' when 1 then 'CODE_128' else 'EAN_13' end as format,
            {_GTIN13} as text, p_size * 10.0::double as x, p_retailprice / 2 as y from part""",
     ),

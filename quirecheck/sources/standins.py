@@ -132,9 +132,9 @@ def _gtin13():
 
 
 def codes(spark, d) -> DataFrame:
-    """One GTIN-13 per part, spread over documents by part number; odd parts carry a wrong digit."""
+    """One GTIN-13 per part, four parts to a document; odd parts carry a wrong check digit."""
     return table(spark, d, "part").select(
-        (F.col("p_partkey") % 400).alias("doc_id"),
+        F.floor(F.col("p_partkey") / 4).alias("doc_id"),
         F.col("p_partkey").alias("code_no"),
         (F.col("p_partkey") % 7 + 1).alias("page_no"),
         F.when(F.col("p_size") % 4 == 0, "QR_CODE")
