@@ -162,26 +162,3 @@ def prepare(c: Column, ignore_dates: bool = False, normalized: bool = False) ->
     if ignore_dates:
         c = mask_dates(c)
     return normalize(c) if normalized else c
-
-
-def word_similarity(a: Column, b: Column) -> Column:
-    """Edit-distance similarity over white-space tokens.
-
-    Each distinct token of the two texts becomes one code point, so the built-in character
-    distance counts words. Code points start above the surrogate range.
-    """
-    ta, tb = tokens(a), tokens(b)
-    vocabulary = F.array_union(ta, tb)
-
-    def coded(ts):
-        digits = F.transform(
-            ts, lambda t: F.lpad(F.hex(F.array_position(vocabulary, t) + 0xE000), 8, "0")
-        )
-        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
-
-    longer = F.greatest(F.size(ta), F.size(tb))
-    return (
-        F.when(a == b, F.lit(1.0))
-        .when(longer == 0, F.lit(1.0))
-        .otherwise(1 - F.levenshtein(coded(ta), coded(tb)) / longer)
-    )

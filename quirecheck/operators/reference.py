@@ -115,12 +115,13 @@ def missing_terms(docs: DataFrame, glossary: DataFrame, max_literal_terms: int =
         return texts.select("doc_id", F.transform(absent, lambda t: t["term"]).alias("missing"))
     plain = glossary.withColumn("_plain", normalize(F.col("term")))
     present = _present_terms(docs.select("doc_id", normalize(F.col("text")).alias("_text")), plain)
-    everything = glossary.agg(F.array_sort(F.collect_list(F.struct("term_no", "term"))).alias("_all"))
+    # The answer of a document lists nearly the whole glossary, so that much is one value anyway.
+    everything = glossary.agg(F.array_sort(F.collect_list(F.struct("term_no", "term")))).scalar()
     absent = F.filter(F.col("_all"), lambda t: ~F.array_contains(F.coalesce("_present", F.array()), t["term_no"]))
     return (
         docs.select("doc_id")
         .join(present, "doc_id", "left")
-        .join(everything, how="inner")
+        .withColumn("_all", everything)
         .select("doc_id", F.transform(absent, lambda t: t["term"]).alias("missing"))
     )
 
@@ -130,7 +131,7 @@ def _present_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     keys = terms.select("_plain").distinct()
     long, short = keys.filter(F.octet_length("_plain") >= GRAM), keys.filter(F.octet_length("_plain") < GRAM)
     found = containing(long, texts, "_plain", "_text", "doc_id")
-    # Keys below three bytes are at most a few thousand ASCII pairs: compare them one by one letter.
+    # Keys below three bytes join by their first letter.
     letters = texts.select(
         "doc_id", "_text", F.explode(F.array_distinct(F.split("_text", ""))).alias("_letter")
     )

@@ -6,7 +6,7 @@ import importlib
 
 from quirecheck.plans.registry import QUERIES, Query
 
-AREAS = ["text", "checks", "expressions", "structure", "layout", "codes"]
+AREAS = ["text", "checks", "expressions", "structure", "layout", "codes", "compare"]
 
 
 def all_queries() -> dict[str, Query]:
