@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from quirecheck.functions.validators import cnpj_valid, cpf_valid
+from quirecheck.functions.values import let
 
 SPACE = r"(?U)\s+"
 _EDGE = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
@@ -131,24 +132,23 @@ def personal_data(c: Column) -> Column:
 
 def line_diff(a: Column, b: Column) -> Column:
     """Lines of ``a`` missing from ``b`` as ``-line``, then the reverse as ``+line``; copies kept."""
-    la, lb = lines(a), lines(b)
-    gone = F.filter(la, lambda x: ~F.array_contains(lb, x))
-    new = F.filter(lb, lambda x: ~F.array_contains(la, x))
-    return F.concat(
-        F.transform(gone, lambda x: F.concat(F.lit("-"), x)),
-        F.transform(new, lambda x: F.concat(F.lit("+"), x)),
-    )
+
+    def only(mine, other, sign):
+        return F.transform(
+            F.filter(mine, lambda x: ~F.array_contains(other, x)), lambda x: F.concat(F.lit(sign), x)
+        )
+
+    return let(lines(a), lambda la: let(lines(b), lambda lb: F.concat(only(la, lb, "-"), only(lb, la, "+"))))
 
 
 def diff_sample(a: Column, b: Column, limit: int = 3) -> Column:
     """The first lines that changed, at most ``limit`` from each side, each after `` | ``."""
-    la, lb = lines(a), lines(b)
 
     def side(mine, other, sign):
         first = F.slice(F.filter(mine, lambda x: ~F.array_contains(other, x)), 1, limit)
         return F.array_join(F.transform(first, lambda x: F.concat(F.lit(f" | {sign}"), x)), "")
 
-    return F.concat(side(la, lb, "-"), side(lb, la, "+"))
+    return let(lines(a), lambda la: let(lines(b), lambda lb: F.concat(side(la, lb, "-"), side(lb, la, "+"))))
 
 
 def mask_dates(c: Column) -> Column:

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Points per unit. A percentage keeps its number.
 POINTS = {"pt": 1.0, "mm": 72 / 25.4, "cm": 720 / 25.4, "in": 72.0, "%": 1.0}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named inside a lambda is evaluated again for every element, and the optimizer may
+    move a column's definition into the lambda that uses it. A lambda variable is only read.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def truthy(c: Column, boolean: bool = True) -> Column:
     """Only null and false are falsy: any number, string or list counts as true."""
     return F.coalesce(c, F.lit(False)) if boolean else c.isNotNull()

@@ -16,6 +16,7 @@ from quirecheck.functions.values import rounded
 from quirecheck.operators.checks import ERROR, WARNING
 from quirecheck.operators.layout import printed
 from quirecheck.operators.ordinals import around
+from quirecheck.sources.checkpoints import checkpointed
 
 SLACK = 25  # pages by which the band is wider than the difference in length
 
@@ -26,10 +27,9 @@ def prepared(pages: DataFrame, ignore_dates: bool = False, normalized: bool = Fa
 
 def page_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc_id, n, m): pages of both versions; a version without pages counts 0."""
-    sides = a.select("doc_id", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(
-        b.select("doc_id", F.lit(0).alias("n"), F.lit(1).alias("m"))
-    )
-    return sides.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    n = a.groupBy("doc_id").agg(F.count("*").alias("n"))
+    m = b.groupBy("doc_id").agg(F.count("*").alias("m"))
+    return n.join(m, "doc_id", "full").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "m")])
 
 
 def changed_metadata(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def _word_sets(pages: DataFrame, counts: DataFrame) -> DataFrame:
     """
     words = F.array_distinct(tokens(F.col("text")))
     some = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
-    ranked = F.array_sort(F.transform("words", lambda w: F.struct((-F.char_length(w)).alias("rank"), w.alias("word"))))
+    ranked = F.sort_array(F.transform("words", lambda w: F.struct((-F.char_length(w)).alias("rank"), w.alias("word"))))
     keep = F.col("size") - F.floor((F.col("size") * 3 + 4) / 5).cast("int") + 1
     band = F.abs(F.col("n") - F.col("m")) + SLACK
     return (
         pages.select("doc_id", "page_no", some.alias("words"))
         .withColumn("size", F.size("words"))
         .withColumn("prefix", F.transform(F.slice(ranked, 1, keep), lambda s: s["word"]))
-        .join(counts.select("doc_id", band.alias("band")), "doc_id")
+        .join(counts.select("doc_id", band.alias("band"), F.greatest("n", "m").alias("pages")), "doc_id")
     )
 
 
@@ -79,9 +79,11 @@ def page_matches(a: DataFrame, b: DataFrame) -> DataFrame:
         "doc_id", F.col("page_no").alias("i"), F.col("size").alias("size_a"), "band", block.alias("block"),
         F.explode("prefix").alias("word"),
     )
+    last_block = F.floor(F.col("pages") / (F.col("band") + 1))
+    near_blocks = F.sequence(F.greatest(block - 1, F.lit(0)), F.least(block + 1, last_block))
     rights = right.select(
-        "doc_id", F.col("page_no").alias("j"), F.col("size").alias("size_b"), block.alias("block"), F.explode("prefix").alias("word")
-    ).withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+        "doc_id", F.col("page_no").alias("j"), F.col("size").alias("size_b"), "prefix", F.explode(near_blocks).alias("block")
+    ).withColumn("word", F.explode("prefix")).drop("prefix")
     near = (F.abs(F.col("i") - F.col("j")) <= F.col("band")) & (
         F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 3
     )
@@ -161,7 +163,10 @@ def align(matches: DataFrame) -> DataFrame:
     A page that matches one page only, with every other match of the pair strictly before or
     strictly after it, is part of every longest chain. Such anchors need no search, and they cut
     the pair into stretches that are aligned apart, which is all a grouped function ever sees.
+
+    The matches, three numbers each, are read several times, so they are written out once.
     """
+    matches = checkpointed(matches)
     rows = matches.groupBy("doc_id", "i").agg(
         F.min("j").alias("j_min"), F.max("j").alias("j_max"), F.count("*").alias("partners")
     )

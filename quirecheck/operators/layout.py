@@ -56,7 +56,7 @@ def has_rich_black() -> Column:
 def spot_colors() -> Column:
     """Distinct spot inks, sorted; the reserved names for registration and for none are no inks."""
     real = (F.col("space") == "spot") & ~F.col("spot").isin("All", "None")
-    return F.array_sort(F.collect_set(F.when(real, F.col("spot"))))
+    return F.sort_array(F.collect_set(F.when(real, F.col("spot"))))
 
 
 # ---- strokes and fonts ----
@@ -86,7 +86,7 @@ def embedded_are_subsets() -> Column:
 def fonts_where(condition: Column, label: Column | None = None) -> Column:
     """Sorted distinct names (or labels) of the fonts that meet a condition."""
     shown = F.col("name") if label is None else label
-    return F.array_sort(F.collect_set(F.when(condition, shown)))
+    return F.sort_array(F.collect_set(F.when(condition, shown)))
 
 
 def licensing_risks() -> Column:
@@ -102,7 +102,7 @@ def sizes_at_least(limit: float = 6.0, size: str = "size") -> Column:
 def first_seen(elements: DataFrame, value: str, position: str, out: str) -> DataFrame:
     """Distinct values of each document in the order they first occur."""
     seen = elements.groupBy("doc_id", value).agg(F.min(position).alias("_at"))
-    ordered = F.array_sort(F.collect_list(F.struct("_at", value)))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", value)))
     return seen.groupBy("doc_id").agg(F.transform(ordered, lambda s: s[value]).alias(out))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.functions.text import strip
 
@@ -12,7 +12,7 @@ def whole_text(pages: DataFrame) -> DataFrame:
 
     The result is one value per document by definition, so a document has to fit one row.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("page_no", "text")))
     return pages.groupBy("doc_id").agg(ordered.alias("p"), F.count("*").alias("page_count")).select(
         "doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), "page_count"
     )
@@ -49,7 +49,7 @@ def text_in_regions(
         ]
     )
     inside = spans.select("doc_id", "pos", "text", F.explode(F.array_compact(hits)).alias("name"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
     return inside.groupBy("doc_id", "name").agg(ordered.alias("s"), F.count("*").alias("spans")).select(
         "doc_id", "name", F.array_join(F.transform("s", lambda x: x["text"]), separator).alias("text"), "spans"
     )
@@ -71,3 +71,39 @@ def rasterized_text(pages: DataFrame, images: DataFrame, share: float = 0.5) ->
     return blank.join(largest, ["doc_id", "page_no"], "left").groupBy("doc_id").agg(
         F.bool_or(covered).alias("suspect")
     )
+
+
+# ---- page specifications such as 1-10,3 ----
+
+MAX_PAGES = 1_000_000
+_PIECE = r"\A\s*\+?([0-9]{1,18})\s*(?:-\s*\+?([0-9]{1,18})\s*)?\z"
+
+
+def _bounds(spec: Column) -> Column:
+    """Array of (piece, first, last); the numbers are null in a broken piece."""
+
+    def parsed(piece):
+        first = F.regexp_extract(piece, _PIECE, 1).try_cast("bigint")
+        last = F.coalesce(F.regexp_extract(piece, _PIECE, 2).try_cast("bigint"), first)
+        ok = (first >= 1) & (last >= first) & (last - first + 1 <= MAX_PAGES)
+        return F.struct(piece.alias("piece"), F.when(ok, first).alias("first"), F.when(ok, last).alias("last"))
+
+    pieces = F.filter(F.transform(F.split(spec, ","), strip), lambda p: p != "")
+    return F.transform(pieces, parsed)
+
+
+def range_error(spec: Column) -> Column:
+    """The first piece that is not a page or a range, else null."""
+    return F.get(F.filter(_bounds(spec), lambda b: b["first"].isNull()), F.lit(0))["piece"]
+
+
+def in_range(spec: Column, page_no: Column) -> Column:
+    """Is the page selected? Null when the specification is broken. No page list is built."""
+    inside = F.exists(_bounds(spec), lambda b: page_no.between(b["first"], b["last"]))
+    return F.when(range_error(spec).isNull(), inside)
+
+
+def page_list(spec: Column) -> Column:
+    """Sorted distinct page numbers; null when the specification is broken."""
+    numbers = F.flatten(F.transform(_bounds(spec), lambda b: F.sequence(b["first"], b["last"])))
+    return F.when(range_error(spec).isNull(), F.sort_array(F.array_distinct(numbers)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.functions.text import normalize
 from quirecheck.functions.validators import digits_of
+from quirecheck.functions.values import let
 
 GRAM = 3
 MAX_LITERAL_TERMS = 2000
@@ -108,15 +109,15 @@ def missing_terms(docs: DataFrame, glossary: DataFrame, max_literal_terms: int =
     if not sample:
         return docs.select("doc_id", F.array().cast("array<string>").alias("missing"))
     if len(sample) <= max_literal_terms:
-        # The normalised text is its own column, so it is not rebuilt for every term.
         terms = F.array(*[F.struct(F.lit(r["term"]).alias("term"), normalize(F.lit(r["term"])).alias("plain")) for r in sample])
-        texts = docs.select("doc_id", normalize(F.col("text")).alias("_text"))
-        absent = F.filter(terms, lambda t: ~F.contains(F.col("_text"), t["plain"]))
-        return texts.select("doc_id", F.transform(absent, lambda t: t["term"]).alias("missing"))
+        absent = let(
+            normalize(F.col("text")), lambda text: F.filter(terms, lambda t: ~F.contains(text, t["plain"]))
+        )
+        return docs.select("doc_id", F.transform(absent, lambda t: t["term"]).alias("missing"))
     plain = glossary.withColumn("_plain", normalize(F.col("term")))
     present = _present_terms(docs.select("doc_id", normalize(F.col("text")).alias("_text")), plain)
     # The answer of a document lists nearly the whole glossary, so that much is one value anyway.
-    everything = glossary.agg(F.array_sort(F.collect_list(F.struct("term_no", "term")))).scalar()
+    everything = glossary.agg(F.sort_array(F.collect_list(F.struct("term_no", "term")))).scalar()
     absent = F.filter(F.col("_all"), lambda t: ~F.array_contains(F.coalesce("_present", F.array()), t["term_no"]))
     return (
         docs.select("doc_id")

@@ -23,7 +23,7 @@ def metadata(meta: DataFrame, keys: Sequence[str]) -> DataFrame:
 def metadata_entries(meta: DataFrame) -> DataFrame:
     """Non-empty entries as ``key: value``, in order."""
     entry = F.struct("pos", F.concat_ws(": ", "key", "value").alias("entry"))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("value") != "", entry)))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("value") != "", entry)))
     return meta.groupBy("doc_id").agg(F.transform(ordered, lambda e: e["entry"]).alias("entries"))
 
 
@@ -82,7 +82,7 @@ def active_content(objects: DataFrame) -> DataFrame:
     """Per document: is there JavaScript, and which suspicious kinds of action occur."""
     return objects.groupBy("doc_id").agg(
         F.coalesce(F.bool_or(F.col("action") == "JavaScript"), F.lit(False)).alias("has_javascript"),
-        F.array_sort(F.collect_set(F.when(F.col("action").isin(SUSPICIOUS), F.col("action")))).alias("actions"),
+        F.sort_array(F.collect_set(F.when(F.col("action").isin(SUSPICIOUS), F.col("action")))).alias("actions"),
     )
 
 

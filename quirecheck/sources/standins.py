@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from quirecheck.functions.values import let
 from quirecheck.sources.reading import spread
 
 MAX_PIXEL = 255
@@ -244,19 +245,14 @@ def rasters(spark, d) -> DataFrame:
 
 def color_rasters(spark, d) -> DataFrame:
     """Grey rasters turned into colour: (v, 255 - v, v of the next element, wrapping)."""
-    return rasters(spark, d).select(
-        "page_id",
-        "w",
-        "h",
-        F.transform(
-            "px",
-            lambda v, i: F.struct(
-                v.alias("r"),
-                (F.lit(MAX_PIXEL) - v).alias("g"),
-                F.element_at("px", (i + 1) % 64 + 1).alias("b"),
-            ),
-        ).alias("px"),
-    )
+
+    def colored(px):
+        return F.transform(
+            px,
+            lambda v, i: F.struct(v.alias("r"), (F.lit(MAX_PIXEL) - v).alias("g"), F.get(px, (i + 1) % 64).alias("b")),
+        )
+
+    return rasters(spark, d).select("page_id", "w", "h", let(F.col("px"), colored).alias("px"))
 
 
 # ---- arrivals and the object graph ----
