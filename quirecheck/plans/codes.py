@@ -136,7 +136,8 @@ def _sql_base(requests: str, table: str, extra: str = "") -> str:
         left join {table} r on r.row_no = f.row_no"""
 
 
-_CELLS = F.array_join("cells", "|").alias("cells")
+def _cells():
+    return F.array_join("cells", "|").alias("cells")
 
 
 def _drop_k(sql: str) -> str:
@@ -156,7 +157,7 @@ def _terms(spark, d):
 @query("query_medicine", O.sql("ref", _drop_k(_sql_base(_SQL_TERMS, "ref"))))
 def query_medicine(spark, d):
     """Names in capitals with doubled blanks, found inside the second column."""
-    return R.query_table(_terms(spark, d), S.reference_rows(spark, d)).select("id", "key", _CELLS)
+    return R.query_table(_terms(spark, d), S.reference_rows(spark, d)).select("id", "key", _cells())
 
 
 _SQL_MIXED = """select p_partkey as id, case p_partkey % 3 when 0 then p_brand when 1 then c1 else 'no such thing' end as key,
@@ -173,7 +174,7 @@ def query_base(spark, d):
     requests = S.table(spark, d, "part").withColumn("row_no", F.col("p_partkey") + 1).join(rows, "row_no").select(
         F.col("p_partkey").alias("id"), key.alias("key")
     )
-    return R.query_table(requests, rows).select("id", "key", _CELLS)
+    return R.query_table(requests, rows).select("id", "key", _cells())
 
 
 _SQL_GTINS = """select row_no as id, substr(c1, 1, 3) || '-' || substr(c1, 4) || case when row_no % 5 = 0 then '9' else '' end as key,
@@ -188,7 +189,7 @@ def query_gtin(spark, d):
     spoiled = F.when(F.col("row_no") % 5 == 0, "9").otherwise("")
     key = F.concat(F.substring(code, 1, 3), F.lit("-"), F.substring(code, 4, 20), spoiled)
     requests = rows.filter("row_no > 0").select(F.col("row_no").alias("id"), key.alias("key"))
-    return R.query_by_digits(requests, rows).select("id", "key", _CELLS)
+    return R.query_by_digits(requests, rows).select("id", "key", _cells())
 
 
 _SQL_CEPS = """select 0::bigint as row_no, 'cep' as c1, 'street' as c2, 'nation' as c3 union all
@@ -236,7 +237,7 @@ _SQL_POSTAL = """select id, substr(c, 1, 5) || '-' || substr(c, 6) as key, fragm
 )
 def query_postal_code(spark, d):
     found = R.query_by_digits(_postal_requests(spark, d), _postal_table(spark, d), length=8)
-    return found.select("id", "key", "error", _CELLS)
+    return found.select("id", "key", "error", _cells())
 
 
 @query(

@@ -13,7 +13,6 @@ from quirecheck.plans.registry import query
 from quirecheck.sources import standins as S
 
 SEP = " ¦ "
-PX, W, H = F.col("px"), F.col("w"), F.col("h")
 
 
 def _orders(spark, d):
@@ -204,7 +203,9 @@ def image_replaced(spark, d):
 
 def _scaled(spark, d, side):
     size = F.lit(side)
-    return S.rasters(spark, d).select("page_id", size.alias("w"), size.alias("h"), X.resize(PX, W, H, size, size).alias("px"))
+    # Sizes are set apart: inside a lambda the name w would already mean the new column.
+    big = S.rasters(spark, d).select("page_id", X.resize(F.col("px"), F.col("w"), F.col("h"), size, size).alias("px"))
+    return big.withColumn("w", size).withColumn("h", size)
 
 
 def _sql_scaled(times: int) -> str:
@@ -218,7 +219,7 @@ _SQL_BLOCK = """select page_id, case when a < 0.01 then 1 else a / greatest(b, 0
 
 @query("artifacts", O.sql("pix", "select page_id, block > 1.6 as artifacts from blocks", big=_sql_scaled(4), blocks=_SQL_BLOCK))
 def artifacts(spark, d):
-    return _scaled(spark, d, 32).select("page_id", (X.blockiness(PX, W, H) > 1.6).alias("artifacts"))
+    return _scaled(spark, d, 32).select("page_id", (X.blockiness(F.col("px"), F.col("w"), F.col("h")) > 1.6).alias("artifacts"))
 
 
 @query(
@@ -231,7 +232,7 @@ def artifacts(spark, d):
     ),
 )
 def image_quality(spark, d):
-    return _scaled(spark, d, 32).select("page_id", X.quality(X.blockiness(PX, W, H)).alias("quality"))
+    return _scaled(spark, d, 32).select("page_id", X.quality(X.blockiness(F.col("px"), F.col("w"), F.col("h"))).alias("quality"))
 
 
 @query(
@@ -245,7 +246,7 @@ def image_quality(spark, d):
 def posterization(spark, d):
     """Even rasters are quantised to sixteen levels."""
     coarse = F.transform("px", lambda v: F.floor(v / 16).cast("int") * 16)
-    px = F.when(F.col("page_id") % 2 == 0, coarse).otherwise(PX)
+    px = F.when(F.col("page_id") % 2 == 0, coarse).otherwise(F.col("px"))
     return S.rasters(spark, d).select("page_id", X.is_posterized(px).alias("posterized"))
 
 
@@ -270,10 +271,10 @@ def posterization(spark, d):
 def banding(spark, d):
     """Even rasters become a stepped horizontal gradient with a little texture."""
     gradient = F.transform("px", lambda v, i: i % 8 * 30 + F.floor(v / 64).cast("int"))
-    px = F.when(F.col("page_id") % 2 == 0, gradient).otherwise(PX)
+    px = F.when(F.col("page_id") % 2 == 0, gradient).otherwise(F.col("px"))
     side = F.lit(64)
-    big = S.rasters(spark, d).select("page_id", X.resize(px, W, H, side, side).alias("px"))
-    return big.select("page_id", X.is_banded(PX, side, side).alias("banding"))
+    big = S.rasters(spark, d).select("page_id", X.resize(px, F.col("w"), F.col("h"), side, side).alias("px"))
+    return big.select("page_id", X.is_banded(F.col("px"), side, side).alias("banding"))
 
 
 # ---- colour rasters: a page is cut to 6 columns in the second version ----
@@ -373,12 +374,13 @@ def missing_pages(spark, d):
 
 def _shifted(pages):
     """The raster moved right and down by an amount that depends on its number, edges wrapping."""
+    w, h = F.col("w"), F.col("h")
     dx, dy = (F.col("page_id") % 3).cast("int"), (F.floor(F.col("page_id") / 3) % 3).cast("int")
 
     def source(i):
-        return ((F.floor(i / W).cast("int") + H - dy) % H) * W + (i % W + W - dx) % W
+        return ((F.floor(i / w).cast("int") + h - dy) % h) * w + (i % w + w - dx) % w
 
-    moved = let(PX, lambda p: F.transform(X.grid(W * H), lambda i: F.get(p, source(i))))
+    moved = let(F.col("px"), lambda p: F.transform(X.grid(w * h), lambda i: F.get(p, source(i))))
     return pages.select("page_id", "w", "h", moved.alias("px"))
 
 
@@ -427,7 +429,7 @@ def best_offset(spark, d):
     ),
 )
 def box_blur(spark, d):
-    blurred = S.rasters(spark, d).select("page_id", "w", F.posexplode(X.blur(PX, W, H, 1)).alias("i", "v"))
+    blurred = S.rasters(spark, d).select("page_id", "w", F.posexplode(X.blur(F.col("px"), F.col("w"), F.col("h"), 1)).alias("i", "v"))
     return blurred.select(
         "page_id", (F.col("i") % F.col("w")).cast("bigint").alias("x"), F.floor(F.col("i") / F.col("w")).alias("y"), "v"
     )
@@ -445,7 +447,7 @@ _SQL_TAC = """select page_id, x, y, case when k >= 1 then 100.0 else ((1-r-k)/(1
 )
 def tac_pixels(spark, d):
     tac = F.col("tac")
-    return S.color_rasters(spark, d).select("page_id", X.tac_of_pixels(PX).alias("tac")).select(
+    return S.color_rasters(spark, d).select("page_id", X.tac_of_pixels(F.col("px")).alias("tac")).select(
         "page_id", F.round(F.array_max(tac), 6).alias("tac_max"), F.round(X.mean(tac), 6).alias("tac_avg")
     )
 
@@ -461,7 +463,7 @@ def tac_pixels(spark, d):
 )
 def tac_by_region(spark, d):
     """A region of a 160 x 160 pt page; the raster counts from the top."""
-    inside = X.crop(PX, W, H, (20.0, 20.0, 80.0, 80.0), (160.0, 160.0))
+    inside = X.crop(F.col("px"), F.col("w"), F.col("h"), (20.0, 20.0, 80.0, 80.0), (160.0, 160.0))
     tac = F.col("tac")
     return S.color_rasters(spark, d).select("page_id", X.tac_of_pixels(inside).alias("tac")).select(
         "page_id",
@@ -481,7 +483,7 @@ def _new_pages(spark, d):
     """Every third document has its pages rotated by one place; every fifth page is inverted."""
     old = _old_pages(spark, d)
     moved = F.when(F.col("doc_id") % 3 == 0, F.col("page_no") % 8 + 1).otherwise(F.col("page_no"))
-    px = F.when(F.col("page_id") % 5 == 0, F.transform("px", lambda v: F.lit(255) - v)).otherwise(PX)
+    px = F.when(F.col("page_id") % 5 == 0, F.transform("px", lambda v: F.lit(255) - v)).otherwise(F.col("px"))
     return old.select("doc_id", moved.alias("page_no"), "w", "h", px.alias("px"))
 
 
