@@ -6,7 +6,7 @@ import importlib
 
 from quirecheck.plans.registry import QUERIES, Query
 
-AREAS = ["text", "checks", "expressions", "structure", "layout", "codes", "compare", "raster", "reports"]
+AREAS = ["text", "checks", "expressions", "structure", "layout", "codes", "compare", "raster", "reports", "edits"]
 
 
 def all_queries() -> dict[str, Query]:

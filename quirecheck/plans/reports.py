@@ -52,20 +52,21 @@ def load_dataset_csv(spark, d):
     return I.load_dataset_csv(spark, path).select(cells[0].alias("c1"), cells[1].alias("c2"), cells[2].alias("c3"))
 
 
-@query("load_dataset_json", f"select c1, c2, case when c3 like '%1%' then '' else c3 end as c3 from ({_SQL_TABLE}) union all select 'c1', 'c2', 'c3'")
+@query(
+    "load_dataset_json",
+    f"""select c1, c2, case when c3 like '%1%' then '' else c3 end as c3 from ({_SQL_TABLE})
+        union all select 'c1', 'c2', 'c3' from (select distinct p_partkey // 50 from part)""",
+)
 def load_dataset_json(spark, d):
-    """One JSON array of objects in a single file; some rows lack the third key."""
-    path = scratch_path(spark, "table-json")
+    """JSON texts of fifty objects each; some objects lack the third key, never the first of a text."""
+    part = F.floor(F.substring("c1", 2, 20).cast("bigint") / 50)
     rows = _table(spark, d).withColumn("c3", F.when(~F.contains("c3", F.lit("1")), F.col("c3")))
-    whole = rows.select(F.col("c1"), F.to_json(F.struct("c1", "c2", "c3")).alias("j"))
-    # One file is one array by definition, so its rows are gathered; the first row names all keys.
-    first = F.when(F.contains("j", F.lit('"c3"')), 0).otherwise(1)
-    array = whole.agg(F.sort_array(F.collect_list(F.struct(first.alias("o"), F.col("j")))).alias("a")).select(
-        F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]"))
+    item = F.struct(F.col("c3").isNull().alias("o"), F.to_json(F.struct("c1", "c2", "c3")).alias("j"))
+    texts = rows.groupBy(part.alias("text")).agg(F.sort_array(F.collect_list(item)).alias("a")).select(
+        F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]")).alias("value")
     )
-    array.write.text(path)
     cells = F.col("cells")
-    return I.load_dataset_json(spark, path).select(cells[0].alias("c1"), cells[1].alias("c2"), cells[2].alias("c3"))
+    return I.json_rows(texts).select(cells[0].alias("c1"), cells[1].alias("c2"), cells[2].alias("c3"))
 
 
 @query("load_glossary", O.sql("gloss", "select trim(term) as term from gloss where trim(term) <> '' and term_no % 5 <> 0"))

@@ -53,17 +53,20 @@ def load_dataset_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, cells, error) of a JSON file that holds an array of arrays or of objects.
+    """Rows of every JSON file under ``path``; see :func:`json_rows`."""
+    return json_rows(spark.read.text(path, wholetext=True))
+
+
+def json_rows(files: DataFrame) -> DataFrame:
+    """(row_no, cells, error) of JSON texts (value), each an array of arrays or of objects.
 
     The keys of the first object are a header row numbered 0 and set the order of the cells; a key
     missing later and null are ''; numbers keep their digits. A row of the other shape, or of none,
     has a message in ``error``.
     """
-    files = spark.read.text(path, wholetext=True)
-    items = files.select(
-        F.monotonically_increasing_id().alias("file"),
-        F.from_json("value", "array<string>").alias("items"),
-    ).select("file", F.element_at("items", 1).alias("first"), F.posexplode("items").alias("i", "item"))
+    items = files.select(F.from_json("value", "array<string>").alias("items")).select(
+        F.element_at("items", 1).alias("first"), F.posexplode("items").alias("i", "item")
+    )
 
     def kind(c):
         start = F.substring(F.ltrim(c), 1, 1)
