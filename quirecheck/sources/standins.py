@@ -260,8 +260,12 @@ def color_rasters(spark, d) -> DataFrame:
 
 def arrivals(spark, d) -> DataFrame:
     """Events as file arrivals: path, content hash, exit code, in arrival order ``seq``."""
+    return as_arrivals(table(spark, d, "events"))
+
+
+def as_arrivals(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, d, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").cast("string").alias("path"),
         F.sha2(F.floor("value").cast("string"), 256).alias("sha256"),
