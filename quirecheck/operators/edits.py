@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quirecheck.functions.values import half_away
 from quirecheck.operators.layout import printed
 
 N = "page_count"
@@ -147,16 +148,16 @@ def overlays(pages: DataFrame, watermark: str | None = None, stamp: str | None =
 
 
 def downsample_plan(images: DataFrame, dpi: float = 300.0) -> DataFrame:
-    """Images above the target resolution and the pixel size that brings them to it."""
+    """Images printed above the target resolution across, and the pixel size that brings them to it."""
     if dpi <= 0:
         raise ValueError("downsample_images: DPI must be positive")
-    scale = F.lit(float(dpi)) / F.col("dpi")
-    above = images.withColumn("dpi", F.least("dpi_x", "dpi_y")).filter(F.col("dpi") > dpi)
-
-    def scaled(side):
-        return F.greatest(F.floor(F.col(side) * scale + 0.5), F.lit(1)).cast("bigint")
-
-    return above.select("doc_id", "page_no", "width", "height", scaled("width").alias("new_width"), scaled("height").alias("new_height"))
+    width, height = F.col("width"), F.col("height")
+    inches = width / F.col("dpi_x")
+    large = images.filter((F.col("dpi_x") > dpi) & (width >= 2) & (height >= 2) & (inches * 72 > 1))
+    new_width = F.greatest(half_away(inches * dpi), F.lit(1))
+    return large.select("doc_id", "page_no", "width", "height", new_width.alias("new_width")).withColumn(
+        "new_height", F.greatest(half_away(F.col("new_width") * (height / width)), F.lit(1))
+    )
 
 
 def _shown(numbers: Column) -> Column:

@@ -116,8 +116,9 @@ def edit_overlay(spark, d):
     "edit_downsample_plan",
     O.sql(
         "img",
-        """select doc_id, page_no, width, height, greatest(floor(width * (300.0::double / least(dpi_x, dpi_y)) + 0.5), 1)::bigint as new_width,
-           greatest(floor(height * (300.0::double / least(dpi_x, dpi_y)) + 0.5), 1)::bigint as new_height from img where least(dpi_x, dpi_y) > 300""",
+        """select *, greatest(round(new_width * (height::double / width)), 1)::bigint as new_height from
+           (select doc_id, page_no, width, height, greatest(round(width / dpi_x * 300), 1)::bigint as new_width
+            from img where dpi_x > 300 and width >= 2 and height >= 2)""",
     ),
 )
 def edit_downsample_plan(spark, d):

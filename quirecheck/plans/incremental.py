@@ -107,7 +107,10 @@ def _arrival_stream(spark, d):
     return S.as_arrivals(events)
 
 
-@query("settle_stream")
+@query(
+    "settle_stream",
+    O.sql("arr", f"""select * from ({_SQL_SETTLE}) where "end" <= (select epoch_us(max(ts)) - 3600000000 from arr)"""),
+)
 def settle_stream(spark, d):
     """The same bursts from a stream; those still open at the end are not emitted."""
     out, state = scratch_path(spark, "settled"), scratch_path(spark, "settled-state")

@@ -57,6 +57,17 @@ def load_dataset_json(spark: SparkSession, path: str) -> DataFrame:
     return json_rows(spark.read.text(path, wholetext=True))
 
 
+def _quoted_numbers(text: Column) -> Column:
+    """JSON text with its numbers as strings, since parsing would shorten 2.50 to 2.5.
+
+    Strings are matched first, so digits inside them stay; the marker cannot occur in JSON.
+    """
+    marked = F.regexp_replace(
+        text, r'("(?:[^"\\]++|\\.)*+")|(-?[0-9][0-9.eE+-]*)', "$1\u0001$2\u0001"
+    )
+    return F.replace(F.replace(marked, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"'))
+
+
 def json_rows(files: DataFrame) -> DataFrame:
     """(row_no, cells, error) of JSON texts (value), each an array of arrays or of objects.
 
@@ -64,7 +75,7 @@ def json_rows(files: DataFrame) -> DataFrame:
     missing later and null are ''; numbers keep their digits. A row of the other shape, or of none,
     has a message in ``error``.
     """
-    items = files.select(F.from_json("value", "array<string>").alias("items")).select(
+    items = files.select(F.from_json(_quoted_numbers(F.col("value")), "array<string>").alias("items")).select(
         F.element_at("items", 1).alias("first"), F.posexplode("items").alias("i", "item")
     )
 
