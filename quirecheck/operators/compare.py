@@ -83,13 +83,17 @@ def page_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     near_blocks = F.sequence(F.greatest(block - 1, F.lit(0)), F.least(block + 1, last_block))
     rights = right.select(
         "doc_id", F.col("page_no").alias("j"), F.col("size").alias("size_b"), "prefix", F.explode(near_blocks).alias("block")
-    ).withColumn("word", F.explode("prefix")).drop("prefix")
-    near = (F.abs(F.col("i") - F.col("j")) <= F.col("band")) & (
-        F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 3
-    )
-    candidates = (
-        lefts.join(rights, ["doc_id", "block", "word"]).filter(near).select("doc_id", "i", "j", "band").distinct()
+    ).withColumn("word", F.explode("prefix"))
+    # One number stands for pair, block and word; a chance collision only adds a candidate.
+    meet = F.xxhash64("doc_id", "block", "word").alias("meet")
+    lefts = lefts.select("doc_id", "i", "size_a", "band", meet)
+    rights = rights.select(F.col("doc_id").alias("doc_b"), "j", "size_b", meet)
+    near = (
+        (F.col("doc_id") == F.col("doc_b"))
+        & (F.abs(F.col("i") - F.col("j")) <= F.col("band"))
+        & (F.least("size_a", "size_b") * 5 >= F.greatest("size_a", "size_b") * 3)
     )
+    candidates = lefts.join(rights, "meet").filter(near).select("doc_id", "i", "j", "band").distinct()
     shared = F.size(F.array_intersect("words_a", "words_b"))
     union = F.size("words_a") + F.size("words_b") - shared
     return (

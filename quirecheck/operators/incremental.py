@@ -66,21 +66,25 @@ def settled(arrivals: DataFrame, gap: str) -> DataFrame:
 def timeout_findings(starts: DataFrame, finishes: DataFrame, seconds: int) -> DataFrame:
     """A finding for every start (key, seq, ts) of a key without a finish within the limit.
 
-    Time is cut into slots as long as the limit, so a start meets the finishes of two slots only.
+    Time is cut into slots as long as the limit. A finish later in the slot of the start is always
+    in reach, and of the next slot only the first finish matters, so two numbers per key and slot
+    answer every start and no pairs are formed.
     """
     at = F.unix_micros("ts")
     span = seconds * 1_000_000
     slot = F.floor(at / span)
-    begun = starts.select("key", "seq", at.alias("begun"), F.explode(F.array(slot, slot + 1)).alias("slot"))
-    done = finishes.select("key", at.alias("done"), slot.alias("slot"))
-    finished = (
-        begun.join(done, ["key", "slot"])
-        .filter((F.col("done") >= F.col("begun")) & (F.col("done") <= F.col("begun") + span))
-        .select("key", "seq")
-        .distinct()
+    reach = (
+        finishes.select("key", at.alias("done"), slot.alias("at_slot"), F.explode(F.array(slot, slot - 1)).alias("slot"))
+        .groupBy("key", "slot")
+        .agg(
+            F.max(F.when(F.col("at_slot") == F.col("slot"), F.col("done"))).alias("last_here"),
+            F.min(F.when(F.col("at_slot") > F.col("slot"), F.col("done"))).alias("first_next"),
+        )
     )
+    in_time = (F.col("last_here") >= at) | (F.col("first_next") <= at + span)
+    late = starts.withColumn("slot", slot).join(reach, ["key", "slot"], "left").filter(~F.coalesce(in_time, F.lit(False)))
     message = F.lit(f"analysis did not finish within {seconds}s and was killed")
-    return starts.join(finished, ["key", "seq"], "left_anti").select(
+    return late.select(
         "key", "seq", F.lit(ERROR).alias("severity"), F.lit("timeout").alias("check_name"), message.alias("message")
     )
 

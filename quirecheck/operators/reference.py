@@ -74,7 +74,9 @@ def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") ->
         normalize(F.coalesce(F.try_element_at("cells", F.lit(2)), F.lit(""))).alias("_name"),
     )
     equal = keys.join(rows.select("_key", "row_no"), "_key")
-    inside = containing(keys.filter(F.octet_length("_key") >= GRAM), rows.drop("_key"), "_key", "_name", "row_no")
+    # Only the first row of a name can answer.
+    names = rows.groupBy("_name").agg(F.min("row_no").alias("row_no"))
+    inside = containing(keys.filter(F.octet_length("_key") >= GRAM), names, "_key", "_name", "row_no")
     first = equal.unionByName(inside).groupBy("_key").agg(F.min("row_no").alias("row_no"))
     answers = first.join(reference.select("row_no", "cells"), "row_no").select("_key", "cells")
     return asked.join(answers, "_key", "left").drop("_key")
