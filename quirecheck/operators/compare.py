@@ -8,7 +8,7 @@ edit distance on aligned pairs only.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.functions.text import diff_sample, prepare, tokens
@@ -107,7 +107,7 @@ def page_matches(a: DataFrame, b: DataFrame) -> DataFrame:
 # ---- alignment ----
 
 
-def _align_segment(rows: pd.DataFrame) -> pd.DataFrame:
+def _align_segment(rows: pa.Table) -> pa.Table:
     """Longest common subsequence of one ambiguous stretch of a pair.
 
     ``best[j]`` is the longest alignment of the rows below with the columns from ``j`` on. Going up
@@ -115,10 +115,11 @@ def _align_segment(rows: pd.DataFrame) -> pd.DataFrame:
     the columns of the row's band; left of the band it does not depend on the column, and right of
     the row's last match the row is always skipped.
     """
-    first = int(rows["low_j"].iloc[0])
-    band = int(rows["band"].iloc[0])
-    grouped = rows.sort_values(["i", "j"]).groupby("i")["j"].apply(lambda s: s.to_numpy())
-    numbers, matches = list(grouped.index), list(grouped)
+    first, band = rows["low_j"][0].as_py(), rows["band"][0].as_py()
+    i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+    order = np.lexsort((j, i))
+    numbers, cuts = np.unique(i[order], return_index=True)
+    matches = np.split(j[order], cuts[1:])
     width = max(int(m[-1]) for m in matches) - first
     best = np.zeros(width + 2, dtype=np.int64)  # columns first + 1 .. first + width, then the end
     skip, starts, skip_left = [None] * len(numbers), [0] * len(numbers), [False] * len(numbers)
@@ -156,9 +157,13 @@ def _align_segment(rows: pd.DataFrame) -> pd.DataFrame:
             r += 1
         else:
             j += 1
-    out = pd.DataFrame(aligned, columns=["i", "j"], dtype="int64")
-    out.insert(0, "doc_id", rows["doc_id"].iloc[0])
-    return out
+    return pa.table(
+        {
+            "doc_id": pa.array([rows["doc_id"][0].as_py()] * len(aligned), pa.int64()),
+            "i": pa.array([int(n) for n, _ in aligned], pa.int64()),
+            "j": pa.array([int(m) for _, m in aligned], pa.int64()),
+        }
+    )
 
 
 def align(matches: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def align(matches: DataFrame) -> DataFrame:
         "doc_id", "i", F.coalesce("low_j", F.lit(0)).alias("low_j")
     )
     unclear = matches.join(stretches, ["doc_id", "i"]).select("doc_id", "low_j", "i", "j", "band")
-    searched = unclear.groupBy("doc_id", "low_j").applyInPandas(_align_segment, "doc_id long, i long, j long")
+    searched = unclear.groupBy("doc_id", "low_j").applyInArrow(_align_segment, "doc_id long, i long, j long")
     return anchors.unionByName(searched)
 
 
