@@ -510,6 +510,32 @@ def page_provenance(spark, d):
     return R.provenance(_new_pages(spark, d), _old_pages(spark, d))
 
 
+_SQL_SAME_PAGE = f"""select a.doc_id, a.page_no, {_SQL_SSIM} as s from (select n.doc_id, n.page_no, n.v as va, o.v as vb from new n join old o
+    on n.doc_id = o.doc_id and n.page_no = o.page_no and n.x = o.x and n.y = o.y) a group by a.doc_id, a.page_no"""
+
+
+def _same_pages(spark, d):
+    return R.pair_up(_new_pages(spark, d), _old_pages(spark, d), ["doc_id", "page_no"])
+
+
+@query(
+    "measure_ssim",
+    O.sql("pix", f"select doc_id, page_no, round(s * 1000) / 1000 as ssim from ({_SQL_SAME_PAGE})", **_PROVENANCE),
+)
+def measure_ssim(spark, d):
+    """Pages of two versions by number."""
+    return _same_pages(spark, d).select("doc_id", "page_no", R.similarity().alias("ssim"))
+
+
+@query(
+    "diff_pages",
+    O.sql("pix", f"select doc_id, page_no, round(s * 100 * 1000) / 1000 as similarity from ({_SQL_SAME_PAGE})", **_PROVENANCE),
+)
+def diff_pages(spark, d):
+    score = rounded(X.ssim(F.col("px_a"), F.col("px_b")) * 100, 3)
+    return _same_pages(spark, d).select("doc_id", "page_no", score.alias("similarity"))
+
+
 @query(
     "change_scope",
     O.sql(
@@ -522,8 +548,7 @@ def page_provenance(spark, d):
     ),
 )
 def change_scope(spark, d):
-    pairs = R.pair_up(_new_pages(spark, d), _old_pages(spark, d), ["doc_id", "page_no"])
-    return R.change_scope(pairs, most=2, expected_page=4)
+    return R.change_scope(_same_pages(spark, d), most=2, expected_page=4)
 
 
 # ---- page ranges ----

@@ -61,6 +61,19 @@ def count_words(spark, d):
     return S.documents(spark, d).select("doc_id", T.count_words(F.col("text")).alias("words"))
 
 
+@query(
+    "extract_with_normalization",
+    O.sql(
+        "page",
+        f"""select doc_id, {O.norm('t')} as normalized from
+            (select doc_id, string_agg(text, chr(10) order by page_no) as t from page group by doc_id)""",
+    ),
+)
+def extract_with_normalization(spark, d):
+    whole = P.whole_text(S.text_pages(spark, d))
+    return whole.select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
 def _sql_pieces(expr: str, pattern: str) -> str:
     return (
         f"list_filter(list_transform(string_split_regex({expr}, '{pattern}'), "
