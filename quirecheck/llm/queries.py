@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirecheck.llm import topk, url_filter, vector_dedup
+from quirecheck.llm import bpe, simhash, topk, url_filter, vector_dedup
 
 #: Fixed rules: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -24,12 +25,30 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words, public_tokenizers.PATTERN)
+    return token_digests(bpe.decode(encoded, words))
+
+
+def token_digests(decoded: DataFrame) -> DataFrame:
+    """What stands for ids and decoded bytes in a result: their number and hashes."""
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op6_simhash, op10_top_k)}
 
 ORACLES = {
     "op1_url_filter": r"""

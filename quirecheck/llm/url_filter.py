@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirecheck.llm.shared import ascii_lower, partitions
+from quirecheck.llm.shared import ascii_lower, in_fraction, partitions
 
 #: Keys drawn for each boundary; this bounds what the driver sees of the table.
 KEYS_PER_BOUNDARY = 50
@@ -81,7 +81,8 @@ def _boundaries(keyed: DataFrame, n: int) -> list[str]:
     if not total:
         return []
     share = min(1.0, n * KEYS_PER_BOUNDARY / total)
-    keys = sorted(r[0] for r in keyed.where(F.shiftrightunsigned("salt", 11) <= int(share * (1 << 53))).select("key").collect())
+    # Drawn by a hash of the salt, as the salt itself is part of the order.
+    keys = sorted(r[0] for r in keyed.where(in_fraction(F.xxhash64("salt"), share)).select("key").collect())
     return [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
 
 
