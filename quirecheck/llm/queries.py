@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirecheck.llm import bpe, class_lm, quality, simhash, topk, url_filter, vector_dedup
+from quirecheck.llm import bpe, class_lm, quality, secrets, simhash, topk, url_filter, vector_dedup
 
 #: Fixed rules: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -43,6 +43,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base_spans = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *map(count, base), F.sha2(secrets.listed(base_spans), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op6_simhash, op9_class_lm, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op9_class_lm, op10_top_k)}
 
 ORACLES = {
     "op1_url_filter": r"""
