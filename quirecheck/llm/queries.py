@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirecheck.llm import bpe, class_lm, quality, secrets, simhash, topk, url_filter, vector_dedup
+from quirecheck.llm import bpe, class_lm, licenses, mixing, quality, secrets, simhash, topk, url_filter, vector_dedup
 
 #: Fixed rules: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +55,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_by_source(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -64,7 +73,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op9_class_lm, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k)}
 
 ORACLES = {
     "op1_url_filter": r"""
