@@ -1,7 +1,7 @@
 """Byte-level BPE by ranks, encoding and decoding.
 
 Merges of one pre-token run on a linked list of its parts. A queue of ranks holds the pairs that can
-merge: a bucket of positions per rank, and a bitmap of three levels over the ranks in use, so the next
+merge: a bucket of positions per rank, and a bitmap of two levels over the ranks in use, so the next
 rank is found by find-first-set. Entries whose pair has changed since are skipped. The cost is near
 linear in the length of the pre-token, so a text without any break is no special case.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens that a worker remembers, and the longest one it remembers, in characters.
-REMEMBERED, LONGEST = 1 << 17, 48
+#: Pre-tokens of a generation that a worker remembers, and the longest one it remembers, in characters.
+REMEMBERED, LONGEST = 1 << 18, 48
 #: Matches handled at once, and characters of text in one output batch.
 MATCHES, CHARACTERS = 1 << 16, 1 << 21
-#: Bits a level of the bitmap adds.
-STEP = 6
+#: Bits of a word of the lower level of the bitmap; the upper level has a bit for each word.
+STEP = 8
+MASK = (1 << STEP) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -39,12 +41,11 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class RankQueue:
-    """Positions by rank; the lowest rank first, and of one rank the lowest position."""
+    """Positions by rank; the lowest rank first, and of one rank the lowest position. Empty, it can be used again."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((ranks >> STEP) + 1)
-        self.mid = [0] * ((ranks >> 2 * STEP) + 1)
         self.top = 0
 
     def push(self, rank: int, at: int) -> None:
@@ -53,94 +54,121 @@ class RankQueue:
             heapq.heappush(bucket, at)
             return
         self.buckets[rank] = [at]
-        mask = (1 << STEP) - 1
-        self.low[rank >> STEP] |= 1 << (rank & mask)
-        self.mid[rank >> 2 * STEP] |= 1 << ((rank >> STEP) & mask)
-        self.top |= 1 << (rank >> 2 * STEP)
+        word = rank >> STEP
+        if not self.low[word]:
+            self.top |= 1 << word
+        self.low[word] |= 1 << (rank & MASK)
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        top = self.top
+        if not top:
             return None
-        high = (self.top & -self.top).bit_length() - 1
-        middle = (high << STEP) + (self.mid[high] & -self.mid[high]).bit_length() - 1
-        rank = (middle << STEP) + (self.low[middle] & -self.low[middle]).bit_length() - 1
+        word = (top & -top).bit_length() - 1
+        bits = self.low[word]
+        rank = (word << STEP) + (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
         at = heapq.heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.low[middle] &= self.low[middle] - 1
-            if not self.low[middle]:
-                self.mid[high] &= self.mid[high] - 1
-                if not self.mid[high]:
-                    self.top &= self.top - 1
+            bits &= bits - 1
+            self.low[word] = bits
+            if not bits:
+                self.top = top & (top - 1)
         return rank, at
 
 
+class Remembered(dict):
+    """Ids of pre-tokens, in two generations: what is asked for again survives, memory stays bounded."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.old = merge, {}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        ids = self.old.get(token)
+        if ids is None:
+            ids = tuple(self.merge(token.encode()))
+        if len(token) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[token] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts; ``words`` gives the byte string of each id (empty: no such id)."""
 
     def __init__(self, words: list[bytes], pattern: str):
         self.ids = {w: i for i, w in enumerate(words) if w}
-        self.size = len(words)
         self.longest = max(map(len, words), default=0)
-        self.find = regex.compile(pattern).finditer
-        outer = self
-
-        class Remembered(dict):
-            def __missing__(self, token: str) -> tuple[int, ...]:
-                ids = tuple(outer.merge(token.encode()))
-                if len(token) <= LONGEST:
-                    if len(self) >= REMEMBERED:
-                        self.clear()
-                    self[token] = ids
-                return ids
-
-        self.remembered = Remembered()
+        self.pattern = regex.compile(pattern)
+        self.queue = RankQueue(len(words))
+        self.remembered = Remembered(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
-        whole = self.ids.get(piece)
+        ids, longest, queue = self.ids, self.longest, self.queue
+        whole = ids.get(piece)
         if whole is not None:
             return [whole]
-        n, ids, longest = len(piece), self.ids, self.longest
+        n, rank_of, push, pop = len(piece), ids.get, queue.push, queue.pop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [-1] * n  # of the pair that starts here
-        queue = RankQueue(self.size)
-
-        def pair(at: int) -> None:
-            rank_at[at] = -1
-            middle = after[at]
-            if middle < n and after[middle] - at <= longest:
-                rank = ids.get(piece[at : after[middle]])
-                if rank is not None:
-                    rank_at[at] = rank
-                    queue.push(rank, at)
-
-        for at in range(n - 1):
-            pair(at)
-        while (found := queue.pop()) is not None:
+        rank_at = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # of the pair that starts there
+        rank_at.append(None)
+        for at, rank in enumerate(rank_at):
+            if rank is not None:
+                push(rank, at)
+        while (found := pop()) is not None:
             rank, at = found
             if rank_at[at] != rank:
                 continue  # stale
             gone = after[at]
-            rank_at[gone] = -1
-            after[at] = after[gone]
-            if after[at] < n:
-                before[after[at]] = at
-            pair(at)
-            if before[at] >= 0:
-                pair(before[at])
+            rank_at[gone] = None
+            after[at] = middle = after[gone]
+            rank_at[at] = None
+            if middle < n:
+                before[middle] = at
+                end = after[middle]
+                if end - at <= longest:
+                    rank_at[at] = new = rank_of(piece[at:end])
+                    if new is not None:
+                        push(new, at)
+            left = before[at]
+            if left >= 0:
+                new = rank_of(piece[left:middle]) if middle - left <= longest else None
+                rank_at[left] = new
+                if new is not None:
+                    push(new, left)
         out, at = [], 0
         while at < n:
             out.append(ids[piece[at : after[at]]])
             at = after[at]
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        matches = (m.group() for m in self.find(text))
-        parts = []
+    def _tokens(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= CHARACTERS:
+            yield self.pattern.findall(text)
+            return
+        matches = (m.group() for m in self.pattern.finditer(text))
         while tokens := list(islice(matches, MATCHES)):
-            parts.append(np.fromiter(chain.from_iterable(map(self.remembered.__getitem__, tokens)), np.int32))
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+            yield tokens
+
+    def encode(self, text: str) -> np.ndarray:
+        of = self.remembered.__getitem__
+        parts = [np.fromiter(chain.from_iterable(map(of, tokens)), np.int32) for tokens in self._tokens(text)]
+        return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.empty(0, np.int32)
+
+
+#: The encoder of a worker process, which serves one task after the other.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(words: list[bytes], pattern: str, vocabulary: int) -> Encoder:
+    key = (vocabulary, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(words, pattern)
+    return _ENCODERS[key]
 
 
 def _slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -168,9 +196,10 @@ def encode(df: DataFrame, words: list[bytes], pattern: str, text_col: str = "tex
     """
     kept = _carried(df, text_col, out_col)
     held = df.sparkSession.sparkContext.broadcast(words)
+    vocabulary = zlib.crc32(b"\n".join(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value, pattern)
+        encoder = _encoder(held.value, pattern, vocabulary)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in _slices(batch, [len(t) for t in texts], CHARACTERS):
