@@ -111,19 +111,16 @@ def copies(patterns: dict[tuple, int], quotas: dict, most: int = 2) -> dict[tupl
     return {p: sum(flow.room[e ^ 1] for e in layers[p]) / patterns[p] if patterns[p] else 0.0 for p in order}
 
 
-def mix(df: DataFrame, quotas: dict, id_col: str = "id", sources_col: str = "sources", size_col: str = "size", most: int = 2, seed: int = 17) -> DataFrame:
-    """``df`` with ``copies``: how often the mix takes each row, 0 to ``most`` times.
+def _keyed(df: DataFrame, id_col: str, sources_col: str, seed: int) -> DataFrame:
+    """With the pattern of a row and its place in the order in which rows are taken."""
+    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(sources_col)).alias("s")), {"ignoreNullFields": "false"})
+    return df.withColumn("_pattern", pattern).withColumn("_order", F.xxhash64(id_col, sources_col, F.lit(seed)))
 
-    ``sources_col`` is the array of sources a row belongs to (null is a source like any other; an empty array
-    gives 0 copies), ``quotas`` their targets in units of ``size_col``. Rows of one pattern and one hash are
-    taken alike, so repeated rows stay together; the words taken of a pattern miss its share of the flow by
-    less than half of such a set. Reruns agree: nothing depends on the order of rows. Needs df to be cheap to
-    read again; a column called ``copies`` is replaced.
-    """
-    df = df.drop("copies")
-    keyed = df.withColumn("_pattern", F.to_json(F.struct(F.array_sort(F.array_distinct(sources_col)).alias("s")), {"ignoreNullFields": "false"})).withColumn("_order", F.xxhash64(id_col, sources_col, F.lit(seed)))
-    slim = keyed.select("_pattern", sources_col, "_order", F.col(size_col).alias("_size"))
-    found = slim.groupBy("_pattern").agg(F.first(F.array_sort(F.array_distinct(sources_col))).alias("s"), F.sum("_size").alias("n")).limit(PATTERNS + 1).collect()
+
+def plan_mix(slim: DataFrame, quotas: dict, most: int = 2, seed: int = 17) -> DataFrame:
+    """How to take each pattern of ``slim`` (id, sources, size), which is read a few times: copies and a cut."""
+    slim = _keyed(slim, "id", "sources", seed).select("_pattern", "sources", "_order", "size")
+    found = slim.groupBy("_pattern").agg(F.first(F.array_sort(F.array_distinct("sources"))).alias("s"), F.sum("size").alias("n")).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} sets of sources")
     wanted = copies({tuple(r["s"]): r["n"] for r in found}, quotas, most)
@@ -132,23 +129,58 @@ def mix(df: DataFrame, quotas: dict, id_col: str = "id", sources_col: str = "sou
         times = wanted[tuple(r["s"])]
         whole = min(int(times + 1e-9), most)
         plan.append((r["_pattern"], whole, max(0.0, (times - whole) * r["n"]) if whole < most else 0.0))
-    plan_df = df.sparkSession.createDataFrame(plan, "_pattern string, _whole int, _more double")
+    plan_df = slim.sparkSession.createDataFrame(plan, "_pattern string, _whole int, _more double")
     # The cut: first by leading bits of the hash, then exactly within the value where the sum passes.
-    high = F.shiftrightunsigned("_order", 64 - BITS).cast("int")
-    parts = slim.groupBy("_pattern", high.alias("high")).agg(F.sum("_size").alias("n"))
+    parts = slim.groupBy("_pattern", _high().alias("high")).agg(F.sum("size").alias("n"))
     before = Window.partitionBy("_pattern").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
     at = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan_df, "_pattern").where((F.col("before") <= F.col("_more")) & (F.col("before") + F.col("n") > F.col("_more")))
-    near = slim.withColumn("high", high).join(at.select("_pattern", "high", "before", "_more"), ["_pattern", "high"])
-    near = near.groupBy("_pattern", "_order").agg(F.sum("_size").alias("n"), F.first("before").alias("before"), F.first("_more").alias("_more"))
-    rank = F.col("_order").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order, as the leading bits have it
-    upto = Window.partitionBy("_pattern").orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A row set is in if more than half of it fits.
+    near = slim.withColumn("high", _high()).join(at.select("_pattern", "high", "before", "_more"), ["_pattern", "high"])
+    near = near.groupBy("_pattern", "_order").agg(F.sum("size").alias("n"), F.first("before").alias("before"), F.first("_more").alias("_more"))
+    upto = Window.partitionBy("_pattern").orderBy(_rank()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Rows of one hash are in if more than half of them fits.
     fits = near.withColumn("sum", F.col("before") + F.sum("n").over(upto)).where(F.col("sum") - F.col("n") / 2 <= F.col("_more"))
-    cuts = at.groupBy("_pattern").agg(F.min("high").alias("_high")).join(fits.groupBy("_pattern").agg(F.max(rank).alias("_last")), "_pattern", "left")
-    plan_df = plan_df.join(cuts, "_pattern", "left")
-    first = (high < F.col("_high")) | ((high == F.col("_high")) & F.coalesce(rank <= F.col("_last"), F.lit(False)))
+    cuts = at.groupBy("_pattern").agg(F.min("high").alias("_high")).join(fits.groupBy("_pattern").agg(F.max(_rank()).alias("_last")), "_pattern", "left")
+    return checkpointed(plan_df.join(cuts, "_pattern", "left"))
+
+
+def _high() -> Column:
+    return F.shiftrightunsigned("_order", 64 - BITS).cast("int")
+
+
+def _rank() -> Column:
+    """The hash in unsigned order, as its leading bits have it."""
+    return F.col("_order").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def with_copies(df: DataFrame, plan: DataFrame, id_col: str, sources_col: str, seed: int = 17) -> DataFrame:
+    """``df`` with the column ``copies`` that ``plan_mix`` decided on; a column of that name is replaced."""
+    df = df.drop("copies")
+    first = (_high() < F.col("_high")) | ((_high() == F.col("_high")) & F.coalesce(_rank() <= F.col("_last"), F.lit(False)))
     taken = F.col("_whole") + F.when((F.col("_more") > 0) & F.coalesce(first, F.lit(True)), 1).otherwise(0)
-    return keyed.join(checkpointed(plan_df), "_pattern").select(*df.columns, taken.cast("int").alias("copies"))
+    return _keyed(df, id_col, sources_col, seed).join(plan, "_pattern").select(*df.columns, taken.cast("int").alias("copies"))
+
+
+def mix(df: DataFrame, quotas: dict, id_col: str = "id", sources_col: str = "sources", size_col: str = "size", most: int = 2, seed: int = 17) -> DataFrame:
+    """``df`` with ``copies``: how often the mix takes each row, 0 to ``most`` times.
+
+    ``sources_col`` is the array of sources a row belongs to (null is a source like any other; an empty array
+    gives 0 copies), ``quotas`` their targets in units of ``size_col``. Rows of one pattern and one hash are
+    taken alike, so repeated rows stay together; the words taken of a pattern miss its share of the flow by
+    about half of such a set at most. Reruns agree: nothing depends on the order of rows.
+    """
+    slim = df.select(F.col(id_col).alias("id"), F.col(sources_col).alias("sources"), F.col(size_col).alias("size"))
+    return with_copies(df, plan_mix(slim, quotas, most, seed), id_col, sources_col, seed)
+
+
+def _quotas(slim: DataFrame, weights: tuple, share: float, most: int) -> tuple[dict, dict]:
+    by_source = {r["source"]: r["n"] for r in slim.groupBy("source").agg(F.sum("size").alias("n")).limit(PATTERNS + 1).collect()}
+    if len(by_source) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} sources")
+    return by_source, targets(by_source, weights, share, most)
+
+
+def _slim(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.array(source_col).alias("sources"), sizes(text_col).alias("size")))
 
 
 def mix_by_source(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -157,11 +189,16 @@ def mix_by_source(df: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Each row has one source; null is a source, too, and comes last. Null texts have size 0; rows of size 0
     are taken as the others. Empty tables give empty results.
     """
-    slim = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(text_col).alias("size")))
-    by_source = {r["source"]: r["n"] for r in slim.groupBy("source").agg(F.sum("size").alias("n")).limit(PATTERNS + 1).collect()}
-    if len(by_source) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} sources")
-    quotas = targets(by_source, weights, share, most)
-    mixed = mix(slim.withColumn("sources", F.array("source")), quotas, "id", "sources", "size", most)
+    slim = _slim(df, id_col, source_col, text_col)
+    by_source, quotas = _quotas(slim, weights, share, most)
+    mixed = mix(slim, quotas, most=most)
     sums = df.sparkSession.createDataFrame([(s, by_source[s], float(quotas[s])) for s in quotas], "source string, source_size long, target double")
     return mixed.join(sums, mixed["source"].eqNullSafe(sums["source"])).select("id", mixed["source"], "size", "source_size", "target", "copies")
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of ``df`` as the mix of ``mix_by_source`` takes them: each as often as its copies say."""
+    slim = _slim(df, id_col, source_col, text_col)
+    plan = plan_mix(slim, _quotas(slim, weights, share, most)[1], most)
+    taken = with_copies(df.withColumn("_sources", F.array(source_col)), plan, id_col, "_sources")
+    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)

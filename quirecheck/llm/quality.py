@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirecheck.llm.shared import id_remainder, in_fraction
+from quirecheck.llm.shared import id_remainder, in_fraction, whole_text
 from quirecheck.sources.checkpoints import checkpointed
 
 #: Labelled rows the trees are fitted on, about; all rows are scored.
@@ -147,6 +148,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(base, np.array(features), np.array(thresholds), np.array(values))
 
 
+def drawn_labels(labels: DataFrame, id_col: str, label_col: str, fold: int) -> DataFrame:
+    """(id, y): about LABELLED labelled rows to learn from, drawn by a hash of the id."""
+    learned = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(id_remainder("id", fold) != 0)
+    total = learned.count()
+    return F.broadcast(learned.where(in_fraction(F.xxhash64("id", F.lit(1)), LABELLED / max(total, 1))))  # bounded by LABELLED
+
+
+def fit_on(stats: DataFrame, drawn: DataFrame) -> Trees:
+    """Trees for the drawn labels whose id is in ``stats`` (id, x)."""
+    sample = sorted(tuple(r) for r in stats.join(drawn, "id").select("id", "y", "x").collect())
+    return fit(np.array([r[2] for r in sample], np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in sample], np.float64))
+
+
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, threshold: float = 0.3) -> DataFrame:
     """Every row with its quality: (id_col, held_out, score, predicted).
 
@@ -157,18 +171,24 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     give repeated results; other columns are neither read nor carried.
     """
     stats = checkpointed(with_statistics(df, id_col, text_col))
-    learned = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(id_remainder("id", fold) != 0)
-    total = learned.count()
-    drawn = learned.where(in_fraction(F.xxhash64("id", F.lit(1)), LABELLED / max(total, 1)))
-    sample = sorted(tuple(r) for r in stats.join(drawn, "id").select("id", "y", "x").collect())
-    trees = fit(np.array([r[2] for r in sample], np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in sample], np.float64))
-    held = df.sparkSession.sparkContext.broadcast(trees)  # TREES x 2^DEPTH numbers
+    held = df.sparkSession.sparkContext.broadcast(fit_on(stats, drawn_labels(labels, id_col, label_col, fold)))  # TREES x 2^DEPTH numbers
 
     @F.pandas_udf("double")
-    def score(x):
-        import pandas as pd
-
+    def score(x: pd.Series) -> pd.Series:
         return pd.Series(held.value.score(np.array(x.tolist(), np.float64).reshape(-1, len(FEATURES))))
 
     scored = stats.select(F.col("id").alias(id_col), (id_remainder("id", fold) == 0).alias("held_out"), score("x").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df``, with all columns, that ``score_quality`` would give at least ``threshold``; nothing is shuffled."""
+    drawn = drawn_labels(labels, id_col, label_col, fold)
+    stats = with_statistics(df.select(id_col, text_col).join(drawn.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col)
+    held = df.sparkSession.sparkContext.broadcast(fit_on(stats, drawn))
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(held.value.score(np.array([statistics(t.encode()) for t in text], np.float64).reshape(-1, len(FEATURES))))
+
+    return df.where(score(whole_text(text_col)) >= threshold)

@@ -31,10 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.decode(encoded, words))
 
 
-def token_digests(decoded: DataFrame) -> DataFrame:
+def token_digests(decoded: DataFrame, *more: str) -> DataFrame:
     """What stands for ids and decoded bytes in a result: their number and hashes."""
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
 

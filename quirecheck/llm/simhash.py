@@ -202,3 +202,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     owned = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = owned.join(owned.groupBy("component").agg(F.min("least").alias("named")), "component").select("fp", "named")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("named").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``df``, with all columns, that stand for their groups: the smallest id, then the smallest hash of the row."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("hash"))
+    groups = near_duplicates(df.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", radius, shingle)
+    kept = groups.where(F.col("_row") == F.col("component_id")).select("_row.hash", F.col("_row.id").alias("_id")).distinct()
+    found = df.withColumn("hash_", F.xxhash64(*df.columns)).join(kept, (F.col("hash_") == F.col("hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return found.dropDuplicates(["hash_"]).select(*df.columns)
