@@ -35,10 +35,10 @@ def page_text(pages: DataFrame, page_no: int) -> DataFrame:
 def text_in_regions(
     spans: DataFrame, regions: list[tuple[str, float, float, float, float]], separator: str = ""
 ) -> DataFrame:
-    """Text of the spans (doc_id, pos, text, x, y) inside each region, borders included.
+    """Text of the spans (doc_id, page_no, pos, text, x, y) inside each region of each page, borders included.
 
     ``regions`` are (name, x, y, width, height), a short list written in the check. Spans outside
-    all of them are dropped before the shuffle.
+    all of them are dropped before the shuffle; ``pos`` orders the spans of a page.
     """
     hits = F.array(
         *[
@@ -48,13 +48,26 @@ def text_in_regions(
             for name, x, y, w, h in regions
         ]
     )
-    inside = spans.select("doc_id", "pos", "text", F.explode(F.array_compact(hits)).alias("name"))
+    inside = spans.select("doc_id", "page_no", "pos", "text", F.explode(F.array_compact(hits)).alias("name"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    return inside.groupBy("doc_id", "name").agg(ordered.alias("s"), F.count("*").alias("spans")).select(
-        "doc_id", "name", F.array_join(F.transform("s", lambda x: x["text"]), separator).alias("text"), "spans"
+    return inside.groupBy("doc_id", "page_no", "name").agg(ordered.alias("s"), F.count("*").alias("spans")).select(
+        "doc_id", "page_no", "name", F.array_join(F.transform("s", lambda x: x["text"]), separator).alias("text"), "spans"
     )
 
 
+def text_in_page_regions(
+    spans: DataFrame, pages: DataFrame, page_no: int, regions: list[tuple[str, float, float, float, float]], separator: str = ""
+) -> DataFrame:
+    """(doc_id, name, text, error) for one page of every document: '' where a region is empty.
+
+    A document without that page gets an error message instead of a text.
+    """
+    asked = page_text(pages, page_no).select("doc_id", "error", F.explode(F.array(*[F.lit(r[0]) for r in regions])).alias("name"))
+    found = text_in_regions(spans.filter(F.col("page_no") == page_no), regions, separator).drop("page_no", "spans")
+    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))
+    return asked.join(found, ["doc_id", "name"], "left").select("doc_id", "name", text.alias("text"), "error")
+
+
 def rasterized_text(pages: DataFrame, images: DataFrame, share: float = 0.5) -> DataFrame:
     """Documents with a page that has no text but an image covering ``share`` of its area."""
     area = F.col("width") * F.col("height")
@@ -75,35 +88,36 @@ def rasterized_text(pages: DataFrame, images: DataFrame, share: float = 0.5) ->
 
 # ---- page specifications such as 1-10,3 ----
 
-MAX_PAGES = 1_000_000
+#: Pages a range may list, as lists are built in one row; and no limit, where no list is built.
+MAX_PAGES, ANY_LENGTH = 1_000_000, 1 << 62
 _PIECE = r"\A\s*\+?([0-9]{1,18})\s*(?:-\s*\+?([0-9]{1,18})\s*)?\z"
 
 
-def _bounds(spec: Column) -> Column:
-    """Array of (piece, first, last); the numbers are null in a broken piece."""
+def _bounds(spec: Column, most: int) -> Column:
+    """Array of (piece, first, last); the numbers are null in a broken piece, or one of more than ``most`` pages."""
 
     def parsed(piece):
         first = F.regexp_extract(piece, _PIECE, 1).try_cast("bigint")
         last = F.coalesce(F.regexp_extract(piece, _PIECE, 2).try_cast("bigint"), first)
-        ok = (first >= 1) & (last >= first) & (last - first + 1 <= MAX_PAGES)
+        ok = (first >= 1) & (last >= first) & (last - first < F.lit(most))
         return F.struct(piece.alias("piece"), F.when(ok, first).alias("first"), F.when(ok, last).alias("last"))
 
     pieces = F.filter(F.transform(F.split(spec, ","), strip), lambda p: p != "")
     return F.transform(pieces, parsed)
 
 
-def range_error(spec: Column) -> Column:
-    """The first piece that is not a page or a range, else null."""
-    return F.get(F.filter(_bounds(spec), lambda b: b["first"].isNull()), F.lit(0))["piece"]
+def range_error(spec: Column, max_pages: int = MAX_PAGES) -> Column:
+    """The first piece that is not a page or a range of at most ``max_pages``, else null."""
+    return F.get(F.filter(_bounds(spec, max_pages), lambda b: b["first"].isNull()), F.lit(0))["piece"]
 
 
 def in_range(spec: Column, page_no: Column) -> Column:
-    """Is the page selected? Null when the specification is broken. No page list is built."""
-    inside = F.exists(_bounds(spec), lambda b: page_no.between(b["first"], b["last"]))
-    return F.when(range_error(spec).isNull(), inside)
+    """Is the page selected? Null when the specification is broken. No page list is built, so ranges have no limit."""
+    inside = F.exists(_bounds(spec, ANY_LENGTH), lambda b: page_no.between(b["first"], b["last"]))
+    return F.when(range_error(spec, ANY_LENGTH).isNull(), inside)
 
 
-def page_list(spec: Column) -> Column:
-    """Sorted distinct page numbers; null when the specification is broken."""
-    numbers = F.flatten(F.transform(_bounds(spec), lambda b: F.sequence(b["first"], b["last"])))
-    return F.when(range_error(spec).isNull(), F.sort_array(F.array_distinct(numbers)))
+def page_list(spec: Column, max_pages: int = MAX_PAGES) -> Column:
+    """Sorted distinct page numbers; null when the specification is broken or names a range above ``max_pages``."""
+    numbers = F.flatten(F.transform(_bounds(spec, max_pages), lambda b: F.sequence(b["first"], b["last"])))
+    return F.when(range_error(spec, max_pages).isNull(), F.sort_array(F.array_distinct(numbers)))

@@ -86,11 +86,14 @@ def _placed(rasters: DataFrame, threshold: float) -> DataFrame:
 def provenance(new: DataFrame, old: DataFrame, same: float = IN_PLACE, moved: float = MOVED) -> DataFrame:
     """(doc_id, page_no, origin): each new page is in place, moved (found at another place) or rewritten.
 
-    All rasters have one size. Only pages out of place are searched for, equal rasters are compared
+    A new page whose number the old version does not have is moved or rewritten. All rasters have one size. Only pages out of place are searched for, equal rasters are compared
     once, and only rasters whose mean and spread allow the wanted similarity meet.
     """
     keys = ["doc_id", "page_no"]
-    pairs = pair_up(new, old, keys).select(*keys, F.col("px_a").alias("px"), (similarity() >= same).alias("in_place"))
+    before = old.select(*keys, F.col("px").alias("px_b"))
+    pairs = new.select(*keys, F.col("px").alias("px_a")).join(before, keys, "left")
+    in_place = F.coalesce(F.when(F.col("px_b").isNotNull(), similarity() >= same), F.lit(False))
+    pairs = pairs.select(*keys, F.col("px_a").alias("px"), in_place.alias("in_place"))
     missing = pairs.filter("not in_place").select("doc_id", "page_no", "px")
     limit = moved - 0.0005  # the index is rounded to three decimals before it is compared
     sought = _placed(missing.select("doc_id", "px").distinct(), limit)

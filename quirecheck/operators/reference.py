@@ -14,7 +14,6 @@ from quirecheck.functions.validators import digits_of
 from quirecheck.functions.values import let
 
 GRAM = 3
-MAX_LITERAL_TERMS = 2000
 
 
 def lookup_value(requests: DataFrame, reference: DataFrame, key: str = "key") -> DataFrame:
@@ -26,22 +25,17 @@ def lookup_value(requests: DataFrame, reference: DataFrame, key: str = "key") ->
 
 
 def _grams(text: Column) -> Column:
-    """Distinct three-letter pieces, and shorter ones of at least three bytes.
+    """Distinct pieces of one to three letters.
 
-    A key qualifies by its length in bytes, so one of one or two wide letters needs short pieces.
+    A key is sought by pieces as long as itself, three letters at most; the letters are cut once.
     """
 
-    def of(n):
-        count = F.char_length(text) - (n - 1)
-        pieces = F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))
-        )
-        wide = (lambda g: F.char_length(g) == n) if n == GRAM else (
-            lambda g: (F.char_length(g) == n) & (F.octet_length(g) >= GRAM)
-        )
-        return F.filter(pieces, wide)
+    def of(letters, n):
+        starts = F.filter(F.sequence(F.lit(0), F.size(letters)), lambda i: i + n <= F.size(letters))
+        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
 
-    return F.array_distinct(F.concat(of(GRAM), of(2), of(1)))
+    cut = let(F.split(text, ""), lambda letters: F.concat(of(letters, 3), of(letters, 2), of(letters, 1)))
+    return F.filter(F.array_distinct(cut), lambda g: g != "")
 
 
 def _rarest_gram(keys: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
@@ -54,10 +48,14 @@ def _rarest_gram(keys: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
 
 
 def containing(keys: DataFrame, texts: DataFrame, key: str, text: str, id_col: str) -> DataFrame:
-    """(key, id) of every text that contains the key, for keys of at least three bytes."""
-    pieces = texts.select(id_col, text, F.explode(_grams(F.col(text))).alias("gram"))
+    """(key, id) of every text that contains the key, for keys that are not empty.
+
+    Only pieces travel to the keys; a text is joined once, to the candidates it has.
+    """
+    pieces = texts.select(id_col, F.explode(_grams(F.col(text))).alias("gram"))
     chosen = _rarest_gram(keys, key, pieces.groupBy("gram").agg(F.count("*").alias("n")))
-    return chosen.join(pieces, "gram").filter(F.contains(text, F.col(key))).select(key, id_col)
+    candidates = chosen.join(pieces, "gram").select(key, id_col)
+    return candidates.join(texts.select(id_col, text), id_col).filter(F.contains(text, F.col(key))).select(key, id_col)
 
 
 def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") -> DataFrame:
@@ -101,43 +99,28 @@ def validate_address(requests: DataFrame, reference: DataFrame, key: str, fragme
     return found.withColumn("ok", F.coalesce(contained, F.lit(False))).drop("cells")
 
 
-def missing_terms(docs: DataFrame, glossary: DataFrame, max_literal_terms: int = MAX_LITERAL_TERMS) -> DataFrame:
+def missing_terms(docs: DataFrame, glossary: DataFrame) -> DataFrame:
     """Glossary terms (term_no, term) absent from each text, in glossary order.
 
-    A glossary of checked size becomes a constant and the whole operator is one projection. A
-    larger one is joined to the texts by its terms' rarest pieces.
+    A null text counts as empty; an empty term is in every text and a null term is no term. Terms meet
+    texts by their rarest pieces, whatever the size of the glossary. The answer of a document lists
+    nearly the whole glossary, so that much is one value by definition and has to fit a row.
     """
-    sample = glossary.orderBy("term_no").limit(max_literal_terms + 1).collect()
-    if not sample:
-        return docs.select("doc_id", F.array().cast("array<string>").alias("missing"))
-    if len(sample) <= max_literal_terms:
-        terms = F.array(*[F.struct(F.lit(r["term"]).alias("term"), normalize(F.lit(r["term"])).alias("plain")) for r in sample])
-        absent = let(
-            normalize(F.col("text")), lambda text: F.filter(terms, lambda t: ~F.contains(text, t["plain"]))
-        )
-        return docs.select("doc_id", F.transform(absent, lambda t: t["term"]).alias("missing"))
-    plain = glossary.withColumn("_plain", normalize(F.col("term")))
-    present = _present_terms(docs.select("doc_id", normalize(F.col("text")).alias("_text")), plain)
-    # The answer of a document lists nearly the whole glossary, so that much is one value anyway.
-    everything = glossary.agg(F.sort_array(F.collect_list(F.struct("term_no", "term")))).scalar()
-    absent = F.filter(F.col("_all"), lambda t: ~F.array_contains(F.coalesce("_present", F.array()), t["term_no"]))
+    terms = glossary.filter(F.col("term").isNotNull()).withColumn("_plain", normalize(F.col("term"))).filter("_plain <> ''")
+    texts = docs.select("doc_id", normalize(F.coalesce("text", F.lit(""))).alias("_text"))
+    found = containing(terms.select("_plain").distinct(), texts, "_plain", "_text", "doc_id").join(terms, "_plain")
+    present = found.groupBy("doc_id").agg(F.collect_set("term_no").alias("_present"))
+    everything = terms.agg(F.sort_array(F.collect_list(F.struct("term_no", "term")))).scalar()
+
+    def absent(found):
+        return F.filter(F.col("_all"), lambda t: ~F.map_contains_key(found, t["term_no"]))
+
+    number = dict(glossary.dtypes)["term_no"]
+    found = F.coalesce(F.map_from_arrays("_present", F.transform("_present", lambda n: F.lit(True))), F.create_map().cast(f"map<{number},boolean>"))
+    missing = let(found, absent)
     return (
         docs.select("doc_id")
         .join(present, "doc_id", "left")
         .withColumn("_all", everything)
-        .select("doc_id", F.transform(absent, lambda t: t["term"]).alias("missing"))
-    )
-
-
-def _present_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, array of the term numbers its text contains)."""
-    keys = terms.select("_plain").distinct()
-    long, short = keys.filter(F.octet_length("_plain") >= GRAM), keys.filter(F.octet_length("_plain") < GRAM)
-    found = containing(long, texts, "_plain", "_text", "doc_id")
-    # Keys below three bytes join by their first letter.
-    letters = texts.select(
-        "doc_id", "_text", F.explode(F.array_distinct(F.split("_text", ""))).alias("_letter")
+        .select("doc_id", F.transform(missing, lambda t: t["term"]).alias("missing"))
     )
-    tiny = short.withColumn("_letter", F.substring("_plain", 1, 1)).join(letters, "_letter")
-    found = found.unionByName(tiny.filter(F.contains("_text", F.col("_plain"))).select("_plain", "doc_id"))
-    return found.join(terms, "_plain").groupBy("doc_id").agg(F.collect_set("term_no").alias("_present"))

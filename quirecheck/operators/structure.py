@@ -38,8 +38,8 @@ def labelled(objects: DataFrame) -> DataFrame:
 
 
 def object_sizes(objects: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Size of each wanted ``obj_id``, or a message where there is no such object."""
-    found = wanted.join(objects.select("obj_id", "size"), "obj_id", "left")
+    """Size of each wanted object (doc_id, obj_id), or a message where the document has no such object."""
+    found = wanted.join(objects.select("doc_id", "obj_id", "size"), ["doc_id", "obj_id"], "left")
     missing = F.concat(F.lit("object "), F.col("obj_id").cast("string"), F.lit(" does not exist"))
     return found.withColumn("error", F.when(F.col("size").isNull(), missing))
 

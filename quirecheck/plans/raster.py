@@ -480,17 +480,18 @@ def _old_pages(spark, d):
 
 
 def _new_pages(spark, d):
-    """Every third document has its pages rotated by one place; every fifth page is inverted."""
+    """Every third document has its pages rotated by one place; every fifth page is inverted; some come twice, at the end again."""
     old = _old_pages(spark, d)
     moved = F.when(F.col("doc_id") % 3 == 0, F.col("page_no") % 8 + 1).otherwise(F.col("page_no"))
     px = F.when(F.col("page_id") % 5 == 0, F.transform("px", lambda v: F.lit(255) - v)).otherwise(F.col("px"))
-    return old.select("doc_id", moved.alias("page_no"), "w", "h", px.alias("px"))
+    again = F.when(F.col("page_id") % 7 == 0, F.array(F.lit(0), F.lit(8))).otherwise(F.array(F.lit(0)))
+    return old.withColumn("later", F.explode(again)).select("doc_id", (moved + F.col("later")).alias("page_no"), "w", "h", px.alias("px"))
 
 
 _PROVENANCE = {
     "old": "select page_id // 8 as doc_id, page_id % 8 + 1 as page_no, x, y, v from pix",
-    "new": """select page_id // 8 as doc_id, case when page_id // 8 % 3 = 0 then (page_id % 8 + 1) % 8 + 1 else page_id % 8 + 1 end as page_no,
-        x, y, case when page_id % 5 = 0 then 255 - v else v end as v from pix""",
+    "new": """select page_id // 8 as doc_id, later + case when page_id // 8 % 3 = 0 then (page_id % 8 + 1) % 8 + 1 else page_id % 8 + 1 end as page_no,
+        x, y, case when page_id % 5 = 0 then 255 - v else v end as v from pix, (values (0), (8)) t(later) where later = 0 or page_id % 7 = 0""",
     "sims": f"""select doc_id, n, m, round({_SQL_SSIM} * 1000) / 1000 as s from (select a.doc_id, a.page_no as n, b.page_no as m, a.v as va, b.v as vb
         from new a join old b on a.doc_id = b.doc_id and a.x = b.x and a.y = b.y) group by doc_id, n, m""",
 }
@@ -501,8 +502,7 @@ _PROVENANCE = {
     O.sql(
         "pix",
         """select doc_id, n as page_no, case when bool_or(n = m and s >= 0.995) then 'in place'
-           when bool_or(n <> m and s >= 0.98) then 'moved' else 'rewritten' end as origin from sims group by doc_id, n
-           having bool_or(n = m)""",
+           when bool_or(n <> m and s >= 0.98) then 'moved' else 'rewritten' end as origin from sims group by doc_id, n""",
         **_PROVENANCE,
     ),
 )

@@ -16,12 +16,13 @@ SCRIPT = "catalogue"
 # ---- sources ----
 
 
-@query("scan_files", "select doc_id, strlen(text)::bigint as size, sha256(text) as sha256 from documents")
+@query("scan_files", "select doc_id, strlen(text)::bigint + 1 as size, sha256(text || chr(10)) as sha256 from documents")
 def scan_files(spark, d):
-    """Documents as files: byte size and content hash."""
-    return S.documents(spark, d).select(
-        "doc_id", F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("sha256")
-    )
+    """Documents written as one file each, a line break at the end, and read back: byte size and content hash."""
+    path = scratch_path(spark, "files")
+    S.documents(spark, d).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    found = I.scan_files(spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), F.col("size"), "sha256")
 
 
 @query(
@@ -58,15 +59,17 @@ def load_dataset_csv(spark, d):
         union all select 'c1', 'c2', 'c3' from (select distinct p_partkey // 50 from part)""",
 )
 def load_dataset_json(spark, d):
-    """JSON texts of fifty objects each; some objects lack the third key, never the first of a text."""
+    """JSON files of fifty objects each; some objects lack the third key, never the first of a text."""
     part = F.floor(F.substring("c1", 2, 20).cast("bigint") / 50)
     rows = _table(spark, d).withColumn("c3", F.when(~F.contains("c3", F.lit("1")), F.col("c3")))
     item = F.struct(F.col("c3").isNull().alias("o"), F.to_json(F.struct("c1", "c2", "c3")).alias("j"))
     texts = rows.groupBy(part.alias("text")).agg(F.sort_array(F.collect_list(item)).alias("a")).select(
-        F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]")).alias("value")
+        "text", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]")).alias("value")
     )
+    path = scratch_path(spark, "table-json")
+    texts.select(F.col("text").alias("part"), "value").write.partitionBy("part").text(path)
     cells = F.col("cells")
-    return I.json_rows(texts).select(cells[0].alias("c1"), cells[1].alias("c2"), cells[2].alias("c3"))
+    return I.load_dataset_json(spark, path).select(cells[0].alias("c1"), cells[1].alias("c2"), cells[2].alias("c3"))
 
 
 @query("load_glossary", O.sql("gloss", "select trim(term) as term from gloss where trim(term) <> '' and term_no % 5 <> 0"))
@@ -142,23 +145,39 @@ _SQL_SPACES = f"coalesce(string_agg(distinct color_space, '{SEP}' order by color
         f"""select o_orderkey as doc_id, coalesce(b.n, 0) as page_count, case when b.n > 0 then 595.0::double end as width,
             case when b.n > 0 then 842.0::double end as height, case when b.n > 0 then true end as uniform,
             'MediaBox' || case when b.t then '{SEP}TrimBox' else '' end || case when b.bl then '{SEP}BleedBox' else '' end as boxes,
-            coalesce(f.fonts, 0) as fonts, coalesce(i.images, 0) as images, i.min_dpi, coalesce(i.spaces, '') as spaces,
+            coalesce(f.fonts, 0) as fonts, coalesce(font_list, '') as font_list, coalesce(i.images, 0) as images, i.min_dpi, coalesce(i.spaces, '') as spaces,
             coalesce(i.max_tac, 0.0) as max_tac, array_to_string(list_filter([case when f.loose then 'there are non-embedded fonts' end,
               case when i.low > 0 then i.low || ' image(s) below 300 DPI' end,
               case when i.rgb then 'there are RGB images (offset printing requires CMYK)' end,
-              case when not b.t then 'TrimBox missing on some page' end], lambda x: x is not null), '{SEP}') as warnings
+              case when coalesce(b.n, 0) = 0 or o_orderkey % 4 = 0 then 'the document has no extractable text' end,
+              case when not b.t then 'TrimBox missing on some page' end, case when o_orderkey % 3 = 0 then 'no title in the metadata' end], lambda x: x is not null), '{SEP}') as warnings,
+            'order-' || o_orderkey || '.pdf' as file, length(o_orderstatus || o_orderpriority) as size_bytes, sha256(o_orderpriority) as sha256,
+            array_to_string(list_filter([case when o_orderkey % 3 <> 0 then 'Title=Order ' || o_orderkey end, 'Author=' || o_orderpriority], lambda x: x is not null), '{SEP}') as metadata
             from orders
             left join (select doc_id, count(*) as n, bool_and(trim_box is not null) as t, bool_and(bleed is not null) as bl from box group by doc_id) b on b.doc_id = o_orderkey
             left join (select doc_id, count(*) as images, min(least(dpi_x, dpi_y)) as min_dpi, {_SQL_SPACES} as spaces,
               round(max(tac_max) * 10) / 10 as max_tac, count(*) filter (where least(dpi_x, dpi_y) < 300) as low,
               bool_or(contains(color_space, 'RGB')) as rgb from img group by doc_id) i on i.doc_id = o_orderkey
-            left join (select doc_id, count(distinct name) as fonts, bool_or(not embedded) as loose from font group by doc_id) f on f.doc_id = o_orderkey""",
+            left join (select doc_id, count(distinct name) as fonts, string_agg(distinct name || ' ' || embedded, '{SEP}' order by name || ' ' || embedded) as font_list,
+              bool_or(not embedded) as loose from font group by doc_id) f on f.doc_id = o_orderkey""",
     ),
 )
 def doc_summary(spark, d):
-    docs = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    summary = R.doc_summary(docs, S.images(spark, d), S.fonts(spark, d), S.boxes(spark, d, numbered=True))
-    for listed in ("boxes", "spaces", "warnings"):
+    """Every third order has no title, every fourth no text."""
+    orders, key = S.table(spark, d, "orders"), F.col("o_orderkey")
+    docs = orders.select(
+        key.alias("doc_id"), F.concat(F.lit("order-"), key.cast("string"), F.lit(".pdf")).alias("file"),
+        F.length(F.concat("o_orderstatus", "o_orderpriority")).cast("bigint").alias("size_bytes"), F.sha2("o_orderpriority", 256).alias("sha256"),
+    )
+    title = F.when(key % 3 != 0, F.concat(F.lit("Order "), key.cast("string"))).otherwise("")
+    entry = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("key"), value.alias("value"))
+    meta = orders.select(key.alias("doc_id"), F.explode(F.array(entry(1, "Title", title), entry(2, "Author", F.col("o_orderpriority")))).alias("m")).select("doc_id", "m.*")
+    boxes = S.boxes(spark, d, numbered=True)
+    pages = boxes.select("doc_id", F.when(F.col("doc_id") % 4 == 0, " \t").otherwise("words").alias("text"))
+    summary = R.doc_summary(docs, S.images(spark, d), S.fonts(spark, d), boxes, meta, pages)
+    summary = summary.withColumn("metadata", F.transform("metadata", lambda e: F.concat_ws("=", e["key"], e["value"])))
+    summary = summary.withColumn("font_list", F.transform("font_list", lambda f: F.concat_ws(" ", f["name"], f["embedded"].cast("string"))))
+    for listed in ("boxes", "spaces", "warnings", "metadata", "font_list"):
         summary = summary.withColumn(listed, F.array_join(listed, SEP))
     return summary
 
@@ -169,26 +188,19 @@ def doc_summary(spark, d):
 @query(
     "sink_json",
     C.sql_findings(
-        """select r.doc_id, status, error_count, total_pages_analyzed as pages, coalesce(n, 0) as diagnostics, first_id
-           from report r left join (select doc_id, count(*) as n, arg_min(id, check_no * 1000000 + page_no) as first_id from ident group by doc_id) i
-           on i.doc_id = r.doc_id""",
+        """select r.doc_id, to_json({'schema_version': 1, 'script_name': 'catalogue', 'input_file': r.doc_id::varchar, 'status': status,
+             'total_pages_analyzed': total_pages_analyzed, 'error_count': error_count, 'warning_count': warning_count, 'info_count': info_count,
+             'diagnostics': coalesce(found, []), 'checks_run': ['Enough words', 'No e-mail', 'Ends with a stop', 'Page length']})::varchar as json
+           from report r left join (select doc_id, list({'id': id, 'severity': severity, 'check_name': check_name, 'message': message}
+             order by check_no, page_no, id) as found from ident group by doc_id) i on i.doc_id = r.doc_id""",
         report=_SQL_REPORT,
     ),
 )
 def sink_json(spark, d):
-    """The report documents, read back field by field."""
-    found = C.findings(spark, d)
-    text = R.json_reports(R.report_rollup(_paged(spark, d), found), K.identified(found), SCRIPT)
-
-    def field(path):
-        return F.get_json_object("json", path)
-
-    return text.select(
-        "doc_id", field("$.status").alias("status"), field("$.error_count").cast("bigint").alias("error_count"),
-        field("$.total_pages_analyzed").cast("bigint").alias("pages"),
-        F.coalesce(F.json_array_length(field("$.diagnostics")).cast("bigint"), F.lit(0)).alias("diagnostics"),
-        field("$.diagnostics[0].id").alias("first_id"),
-    )
+    """The whole report documents; clean ones have an empty list of diagnostics."""
+    found, docs = C.findings(spark, d), _paged(spark, d)
+    run = K.checks_run(docs, C.all_checks())
+    return R.json_reports(R.report_rollup(docs, found), K.identified(found), SCRIPT, run)
 
 
 @query(
@@ -207,38 +219,41 @@ def sink_csv(spark, d):
 @query(
     "sink_sarif",
     C.sql_findings(
-        """select doc_id, '2.1.0' as version, count(*) as results, count(distinct check_name) as rules,
-           arg_min(check_name, check_no) as first_rule, arg_min(case when severity = 'info' then 'note' else severity end, check_no * 1000000 + page_no) as first_level
-           from finding group by doc_id"""
+        """select doc_id, to_json({'$schema': 'https://json.schemastore.org/sarif-2.1.0.json', 'version': '2.1.0', 'runs': [{
+             'tool': {'driver': {'name': 'quirecheck', 'rules': (select list({'id': n, 'shortDescription': {'text': n}} order by no)
+               from (select check_name as n, min(check_no) as no from ident k where k.doc_id = i.doc_id group by check_name))}},
+             'results': list({'ruleId': check_name, 'level': case when severity = 'info' then 'note' else severity end, 'message': {'text': message},
+               'locations': [{'physicalLocation': {'artifactLocation': {'uri': 'catalogue'}, 'region': '{}'::json}}],
+               'partialFingerprints': {'findingId/v1': id}, 'properties': {'inputFile': doc_id::varchar}} order by check_no, page_no)}]})::varchar as sarif
+           from ident i group by doc_id"""
     ),
 )
 def sink_sarif(spark, d):
-    text = R.sarif_reports(K.identified(C.findings(spark, d)), SCRIPT)
-
-    def field(path):
-        return F.get_json_object("sarif", path)
-
-    return text.select(
-        "doc_id", field("$.version").alias("version"),
-        F.json_array_length(field("$.runs[0].results")).cast("bigint").alias("results"),
-        F.json_array_length(field("$.runs[0].tool.driver.rules")).cast("bigint").alias("rules"),
-        field("$.runs[0].tool.driver.rules[0].id").alias("first_rule"),
-        field("$.runs[0].results[0].level").alias("first_level"),
-    )
+    """The whole SARIF documents."""
+    return R.sarif_reports(K.identified(C.findings(spark, d)), SCRIPT)
 
 
 @query(
     "sink_junit",
     C.sql_findings(
-        """select d.doc_id, n::bigint as check_no, '<testcase name="' || name || '" classname="' || d.doc_id || '"' ||
-           case when coalesce(failing, 0) > 0 then '><failure message="' || message || '" type="' || severity || '">' || found || ' finding(s)</failure></testcase>'
-           when found > 0 then '><system-out>' || found || ' note(s)</system-out></testcase>' else '/>' end as xml
-           from documents d cross join (values (1, 'Enough words'), (2, 'No e-mail'), (3, 'Ends with a stop'), (4, 'Page length')) c(n, name)
-           left join (select doc_id, check_name, count(*) as found, count(*) filter (where severity <> 'info') as failing,
-             min(message) as message, min(severity) as severity from finding group by doc_id, check_name) f
-           on f.doc_id = d.doc_id and f.check_name = c.name"""
+        """select doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<testsuites name="quirecheck' || counts || '>' || chr(10) ||
+             '<testsuite name="catalogue' || counts || ' errors="0" skipped="0">' || chr(10) || body || chr(10) || '</testsuite>' || chr(10) ||
+             '</testsuites>' || chr(10) as junit from suites""",
+        listed="""select doc_id, check_name, min(check_no) as check_no, count(*) filter (where severity <> 'info') as failing,
+             arg_min(message, page_no) filter (where severity <> 'info') as message, arg_min(severity, page_no) filter (where severity <> 'info') as severity,
+             string_agg(id || ' [' || severity || '] ' || message, chr(10) order by page_no) || chr(10) as body from ident group by doc_id, check_name""",
+        cases="""select d.doc_id, n as check_no, c.name, failing, f.message, f.severity, body
+             from documents d cross join (values (1, 'Enough words'), (2, 'No e-mail'), (3, 'Ends with a stop')) c(n, name)
+             left join listed f on f.doc_id = d.doc_id and f.check_name = c.name
+             union all select doc_id, 100 + check_no, check_name, failing, message, severity, body from listed where check_name = 'Page length'""",
+        texts="""select doc_id, check_no, coalesce(failing, 0) > 0 as fails, '<testcase name="' || name || '" classname="' || doc_id || '"' ||
+             case when coalesce(failing, 0) > 0 then '><failure message="' || message || '" type="' || severity || '">' || chr(10) || body || '</failure></testcase>'
+             when body is not null then '><system-out>' || body || '</system-out></testcase>' else '/>' end as xml from cases""",
+        suites="""select doc_id, '" tests="' || count(*) || '" failures="' || count(*) filter (where fails) || '"' as counts,
+             string_agg(xml, chr(10) order by check_no) as body from texts group by doc_id""",
     ),
 )
 def sink_junit(spark, d):
-    run = K.checks_run(S.table(spark, d, "documents").select("doc_id"), C.all_checks())
-    return R.junit_lines(R.junit_cases(run, C.findings(spark, d)))
+    """The whole JUnit documents; the check of the pages is not among those that ran, its findings are there all the same."""
+    run = K.checks_run(S.table(spark, d, "documents").select("doc_id"), C.document_checks())
+    return R.junit_reports(run, K.identified(C.findings(spark, d)), SCRIPT)

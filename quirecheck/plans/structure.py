@@ -92,14 +92,19 @@ def list_objects(spark, d):
     "object_size",
     O.sql(
         "node",
-        """select w.obj_id, n.size, case when n.size is null then 'object ' || w.obj_id || ' does not exist' end as error
-           from (select c_custkey * 11 as obj_id from customer) w
-           left join (select * from node where kind = 'Stream/Image') n on n.obj_id = w.obj_id""",
+        """select w.doc_id, w.obj_id, n.size, case when n.size is null then 'object ' || w.obj_id || ' does not exist' end as error
+           from (select c_custkey % 4 as doc_id, c_custkey * 11 // 4 as obj_id from customer) w
+           left join (select obj_id % 4 as doc_id, obj_id // 4 as obj_id, size from node where kind = 'Stream/Image') n
+           on n.doc_id = w.doc_id and n.obj_id = w.obj_id""",
     ),
 )
 def object_size(spark, d):
-    wanted = S.table(spark, d, "customer").select((F.col("c_custkey") * 11).alias("obj_id"))
-    return R.object_sizes(S.nodes(spark, d).filter(F.col("kind") == "Stream/Image"), wanted)
+    """Four documents, in which object numbers repeat."""
+    number = F.col("c_custkey") * 11
+    wanted = S.table(spark, d, "customer").select((F.col("c_custkey") % 4).alias("doc_id"), F.floor(number / 4).alias("obj_id"))
+    images = S.nodes(spark, d).filter(F.col("kind") == "Stream/Image")
+    objects = images.select((F.col("obj_id") % 4).alias("doc_id"), F.floor(F.col("obj_id") / 4).alias("obj_id"), "size")
+    return R.object_sizes(objects, wanted)
 
 
 def _graph(spark, d):

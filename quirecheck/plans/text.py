@@ -336,20 +336,45 @@ def text_diff(spark, d):
 @query(
     "extract_from_region",
     f"""with w as (select doc_id, {O.tokens('text')} as t from documents),
-        s as (select doc_id, t[i + 1] as word, i as pos, i % 10 * 50.0 as x, i // 10 * 12.0 as y
+        s as (select doc_id, i // 120 + 1 as page_no, t[i + 1] as word, i as pos, i % 10 * 50.0 as x, i % 120 // 10 * 12.0 as y
               from (select doc_id, t, unnest(range(len(t))) as i from w)),
         g(name, x0, y0, x1, y1) as (values ('corner', 0.0, 0.0, 200.0, 40.0), ('band', 100.0, 24.0, 400.0, 124.0))
-        select doc_id, name, string_agg(word, ' ' order by pos) as text, count(*) as spans
-        from s join g on x >= x0 and x <= x1 and y >= y0 and y <= y1 group by doc_id, name""",
+        select doc_id, page_no, name, string_agg(word, ' ' order by pos) as text, count(*) as spans
+        from s join g on x >= x0 and x <= x1 and y >= y0 and y <= y1 group by doc_id, page_no, name""",
 )
 def extract_from_region(spark, d):
-    """Words laid on a grid of ten per row; two fixed regions."""
-    spans = S.documents(spark, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "text")).select(
-        "doc_id", "pos", "text", (F.col("pos") % 10 * 50.0).alias("x"),
-        (F.floor(F.col("pos") / 10) * 12.0).alias("y"),
+    """Two fixed regions of every page."""
+    return P.text_in_regions(_laid_out(spark, d), REGIONS, separator=" ")
+
+
+REGIONS = [("corner", 0.0, 0.0, 200.0, 40.0), ("band", 100.0, 24.0, 300.0, 100.0)]
+
+
+def _laid_out(spark, d):
+    """Words laid on a grid of ten per row, 120 per page."""
+    at = F.col("pos")
+    return S.documents(spark, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "text")).select(
+        "doc_id", (F.floor(at / 120) + 1).alias("page_no"), "pos", "text", (at % 10 * 50.0).alias("x"), (F.floor(at % 120 / 10) * 12.0).alias("y")
     )
-    regions = [("corner", 0.0, 0.0, 200.0, 40.0), ("band", 100.0, 24.0, 300.0, 100.0)]
-    return P.text_in_regions(spans, regions, separator=" ")
+
+
+@query(
+    "extract_from_page_region",
+    f"""with w as (select doc_id, {O.tokens('text')} as t from documents),
+        s as (select doc_id, i // 120 + 1 as page_no, t[i + 1] as word, i as pos, i % 10 * 50.0 as x, i % 120 // 10 * 12.0 as y
+              from (select doc_id, t, unnest(range(len(t))) as i from w)),
+        n as (select doc_id, max(page_no) as pages from s group by doc_id),
+        g(name, x0, y0, x1, y1) as (values ('corner', 0.0, 0.0, 200.0, 40.0), ('band', 100.0, 24.0, 400.0, 124.0))
+        select n.doc_id, g.name, case when pages >= 2 then coalesce(string_agg(word, ' ' order by pos), '') end as text,
+          case when pages < 2 then 'page 2 does not exist (the document has ' || pages || ')' end as error
+        from n cross join g left join s on s.doc_id = n.doc_id and s.page_no = 2 and x >= x0 and x <= x1 and y >= y0 and y <= y1
+        group by n.doc_id, g.name, pages""",
+)
+def extract_from_page_region(spark, d):
+    """The same regions of the second page, which short documents do not have."""
+    spans = _laid_out(spark, d)
+    pages = spans.groupBy("doc_id", "page_no").agg(F.lit("").alias("text"))
+    return P.text_in_page_regions(spans, pages, 2, REGIONS, separator=" ")
 
 
 @query(

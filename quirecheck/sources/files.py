@@ -44,14 +44,31 @@ def load_glossary(spark: SparkSession, path: str) -> DataFrame:
 def load_dataset_csv(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, cells) of a CSV file, no row taken as header; a quoted field may span lines.
 
-    Row numbers follow the file. A file whose fields may span lines cannot be split, so a large
-    table should be kept as rows already numbered instead.
+    Every row keeps the cells it has, more or fewer than the first. Row numbers follow the file. A
+    file whose fields may span lines cannot be split, so a large table should be kept as rows already
+    numbered instead.
     """
-    rows = spark.read.csv(path, multiLine=True, quote='"', escape='"', header=False)
-    cells = F.array(*[F.coalesce(c, F.lit("")) for c in rows.columns])
+    # One column is declared, so the reader hands on the text of every longer record, which is cut here.
+    rows = spark.read.csv(
+        path, schema="cell string, record string", columnNameOfCorruptRecord="record", multiLine=True, quote='"', escape='"', header=False
+    )
+    cells = F.when(F.col("record").isNull(), F.array(F.coalesce("cell", F.lit("")))).otherwise(csv_cells(F.col("record")))
     return rows.select(F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
 
 
+def csv_cells(record: Column) -> Column:
+    """Cells of one CSV record. A cell is quoted if it starts with a quote; a quote inside it is doubled."""
+    pieces = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',(?:"(?:[^"]|"")*+"[^,]*|[^,]*)'), 0)
+
+    def plain(piece):
+        cell = F.replace(F.substring(piece, F.lit(2), F.length(piece)), F.lit("\r"), F.lit(""))
+        inner = F.replace(F.regexp_extract(cell, r'\A"((?:[^"]|"")*+)"', 1), F.lit('""'), F.lit('"'))
+        rest = F.regexp_extract(cell, r'\A"(?:[^"]|"")*+"([^,]*)\z', 1)
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(inner, rest)).otherwise(cell)
+
+    return F.transform(pieces, plain)
+
+
 def load_dataset_json(spark: SparkSession, path: str) -> DataFrame:
     """Rows of every JSON file under ``path``; see :func:`json_rows`."""
     return json_rows(spark.read.text(path, wholetext=True))
