@@ -1,21 +1,67 @@
 """Raster arithmetic as Column expressions.
 
 A raster is one row: width ``w``, height ``h`` and row-major ``px``, an array of grey values 0..255
-(or of structs r, g, b). One page is one value, so no operator explodes pixels or shuffles them.
+(or of structs r, g, b and, if pages can be transparent, a). One page is one value, so no operator
+explodes pixels or shuffles them. Arithmetic over pixels runs on Arrow batches: each function looks at
+the values of a page in place, as vectors. A null raster gives null.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
-from quirecheck.functions import color
 from quirecheck.functions.values import let, rounded
 
 # The stabilisers of the similarity index, (0.01 * 255)^2 and (0.03 * 255)^2.
 C1, C2 = 6.5025, 58.5225
+# The longest distance of two colours, weights of luminance, and the luminance that still counts as equal.
 LONGEST_RGB = 441.67
+WEIGHTS = {"r": 0.299, "g": 0.587, "b": 0.114}
+SAME_WEIGHT = 8.0
+#: Classes of a pixel, by number.
+CLASSES = ["same", "removed", "added", "recoloured"]
+
+
+def _view(array: pa.Array) -> Callable[[int], object]:
+    """Row i of a column: a vector of its values, a dict of vectors for structs, or the plain value."""
+    if not (pa.types.is_list(array.type) or pa.types.is_large_list(array.type)):
+        values = array.to_pylist()
+        return values.__getitem__
+    at, values, known = array.offsets.to_numpy(), array.values, array.is_valid().to_pylist()
+    if pa.types.is_struct(values.type):
+        fields = {f.name: values.field(f.name).to_numpy(zero_copy_only=False) for f in values.type}
+        return lambda i: {k: v[at[i] : at[i + 1]] for k, v in fields.items()} if known[i] else None
+    flat = values.to_numpy(zero_copy_only=False)
+    return lambda i: flat[at[i] : at[i + 1]] if known[i] else None
+
+
+ARROW = {"integer": pa.int32(), "byte": pa.int8(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _per_raster(kernel: Callable, returns: str, *columns: Column | int) -> Column:
+    """``kernel`` of each row's values, null where one of them is null."""
+    kind = T.DataType.fromDDL(returns)
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        views = [_view(a) for a in arrays]
+        rows = ([v(i) for v in views] for i in range(len(arrays[0])))
+        found = [None if any(x is None for x in row) else kernel(*row) for row in rows]
+        if isinstance(kind, T.ArrayType):
+            sizes = [0 if x is None else len(x) for x in found]
+            flat = np.concatenate([x for x in found if x is not None] or [np.empty(0)])
+            inner = ARROW[kind.elementType.typeName()]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(inner.to_pandas_dtype())))
+            absent = pa.array([x is None for x in found])
+            return pa.ListArray.from_arrays(lists.offsets, lists.values, mask=absent) if absent.true_count else lists
+        return pa.array(found, ARROW.get(kind.typeName()))
+
+    return F.arrow_udf(run, kind)(*[F.lit(c) if isinstance(c, int) else c for c in columns])
 
 
 def grid(count: Column) -> Column:
@@ -30,60 +76,44 @@ def _div(a: Column, b: Column | int) -> Column:
 def resize(px: Column, w: Column, h: Column, new_w: Column, new_h: Column) -> Column:
     """Nearest neighbour: target x takes source ``x * w div new_w``."""
 
-    def sample(p, i):
-        x, y = i % new_w, _div(i, new_w)
-        return F.get(p, _div(y * h, new_h) * w + _div(x * w, new_w))
+    def sample(p, w, h, to_w, to_h):
+        y, x = np.arange(to_h) * h // to_h, np.arange(to_w) * w // to_w
+        return p[y[:, None] * w + x[None, :]].ravel()
 
-    return let(px, lambda p: F.transform(grid(new_w * new_h), lambda i: sample(p, i)))
+    return _per_raster(sample, "array<int>", px, w, h, new_w, new_h)
 
 
 def ssim(a: Column, b: Column) -> Column:
     """Global structural similarity of two rasters of one size; the sums are exact integers."""
-    zero = F.lit(0).cast("bigint")
-    names = ["a", "b", "aa", "bb", "ab"]
 
-    def add(acc, p):
-        x, y = p["x"].cast("bigint"), p["y"].cast("bigint")
-        terms = {"a": x, "b": y, "aa": x * x, "bb": y * y, "ab": x * y}
-        return F.struct(*[(acc[n] + terms[n]).alias(n) for n in names])
+    def index(p, q):
+        n = min(len(p), len(q))
+        if not n:
+            return 1.0
+        x, y = p[:n].astype(np.int64), q[:n].astype(np.int64)
+        sum_a, sum_b, aa, bb, ab = (int(v) for v in (x.sum(), y.sum(), x @ x, y @ y, x @ y))
+        mean_a, mean_b, square = sum_a / n, sum_b / n, float(n * n)
+        var_a, var_b, cov = (n * aa - sum_a * sum_a) / square, (n * bb - sum_b * sum_b) / square, (n * ab - sum_a * sum_b) / square
+        return ((mean_a * mean_b * 2 + C1) * (cov * 2 + C2)) / ((mean_a * mean_a + mean_b * mean_b + C1) * (var_a + var_b + C2))
 
-    n = F.least(F.size(a), F.size(b)).cast("bigint")
-
-    def index(s):
-        mean_a, mean_b = s["a"] / n, s["b"] / n
-        square = (n * n).cast("double")
-        var_a, var_b = (n * s["aa"] - s["a"] * s["a"]) / square, (n * s["bb"] - s["b"] * s["b"]) / square
-        cov = (n * s["ab"] - s["a"] * s["b"]) / square
-        return ((mean_a * mean_b * 2 + C1) * (cov * 2 + C2)) / (
-            (mean_a * mean_a + mean_b * mean_b + C1) * (var_a + var_b + C2)
-        )
-
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    value = F.aggregate(pairs, F.struct(*[zero.alias(k) for k in names]), add, index)
-    return F.when(n == 0, F.lit(1.0)).otherwise(value)
+    return _per_raster(index, "double", a, b)
 
 
 def pixel_diff(a: Column, b: Column, tolerance: int = 10) -> Column:
     """Share (0..1) of pixels whose grey values differ by more than the tolerance."""
-    n = F.least(F.size(a), F.size(b))
-    over = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y) > tolerance), lambda t: t))
-    return F.when(n == 0, F.lit(0.0)).otherwise(over / n)
 
+    def share(p, q):
+        n = min(len(p), len(q))
+        return float((np.abs(p[:n] - q[:n]) > tolerance).sum() / n) if n else 0.0
 
-# ---- perceptual hash ----
+    return _per_raster(share, "double", a, b)
 
-SIDE, LOW = 32, 8
-
-
-def _cosines() -> Column:
-    """cos((2x + 1) u pi / 64) for the eight lowest frequencies u, 32 values each."""
-    values = [math.cos((2 * x + 1) * u * math.pi / (2 * SIDE)) for u in range(LOW) for x in range(SIDE)]
-    return F.array(*[F.lit(v) for v in values])
 
+# ---- perceptual hash ----
 
-def _dot(values: Column, cosines: Column, u: Column | int) -> Column:
-    products = F.zip_with(values, F.slice(cosines, u * SIDE + 1, SIDE), lambda v, c: v * c)
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+SIDE, LOW = 32, 8
+#: cos((2x + 1) u pi / 64) for the eight lowest frequencies u.
+COSINES = np.array([[math.cos((2 * x + 1) * u * math.pi / (2 * SIDE)) for x in range(SIDE)] for u in range(LOW)])
 
 
 def low_frequencies(px: Column, w: Column, h: Column) -> Column:
@@ -91,32 +121,22 @@ def low_frequencies(px: Column, w: Column, h: Column) -> Column:
 
     Values are rounded to 1e-6, so bits do not depend on the order of floating-point sums.
     """
+
+    def block(p):
+        return np.round((COSINES @ p.reshape(SIDE, SIDE).astype(np.float64) @ COSINES.T).ravel(), 6)
+
     side = F.lit(SIDE)
-    cosines = _cosines()
-    frequencies = F.array(*[F.lit(u) for u in range(LOW)])
-    small = F.transform(resize(px, w, h, side, side), lambda v: v.cast("double"))
-    rows = let(small, lambda s: F.transform(grid(side), lambda y: F.slice(s, y * SIDE + 1, SIDE)))
-    # lines[u][y]: row y at horizontal frequency u.
-    lines = let(rows, lambda r: F.transform(frequencies, lambda u: F.transform(r, lambda row: _dot(row, cosines, u))))
-    block = let(
-        lines,
-        lambda ls: F.transform(
-            frequencies, lambda v: F.transform(ls, lambda line: F.round(_dot(line, cosines, v), 6))
-        ),
-    )
-    return F.flatten(block)
+    return _per_raster(block, "array<double>", resize(px, w, h, side, side))
 
 
 def hash_bits(block: Column) -> Column:
     """Bit i is set where block value i exceeds the median of the values after the first."""
-    tail = F.sort_array(F.slice(block, 2, LOW * LOW - 1))
-    median = F.get(tail, F.lit((LOW * LOW - 1) // 2))
 
-    def bit(v, i, m):
-        return F.when(v > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(0)
+    def bits(values):
+        median = np.sort(values[1:])[(LOW * LOW - 1) // 2]
+        return int(np.packbits(values > median, bitorder="little").view("<i8")[0])
 
-    bits = let(median, lambda m: F.transform(block, lambda v, i: bit(v, i, m)))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+    return _per_raster(bits, "bigint", block)
 
 
 def hash_hex(bits: Column) -> Column:
@@ -132,26 +152,17 @@ def hamming(a: Column, b: Column) -> Column:
 
 def blockiness(px: Column, w: Column, h: Column) -> Column:
     """Mean step across 8-pixel block borders over the mean step elsewhere."""
-    zero = F.lit(0).cast("bigint")
 
-    def add(acc, i, p):
-        x = i % w
-        step = F.when(x > 0, F.abs(F.get(p, i) - F.get(p, i - 1))).otherwise(0)
-        border = x % 8 == 0
-        return F.struct(
-            (acc["on"] + F.when(border, step).otherwise(0)).alias("on"),
-            (acc["off"] + F.when(border, 0).otherwise(step)).alias("off"),
-        )
+    def ratio(p, w, h):
+        if w < 16 or h < 16:
+            return 1.0
+        steps = np.abs(np.diff(p.reshape(h, w), axis=1)).sum(0, dtype=np.int64)
+        border = np.arange(1, w) % 8 == 0
+        borders = (w - 1) // 8 * h
+        on, off = int(steps[border].sum()) / borders, int(steps[~border].sum()) / ((w - 1) * h - borders)
+        return 1.0 if on < 0.01 else on / max(off, 0.05)
 
-    borders = _div(w - 1, 8) * h
-
-    def ratio(s):
-        on, off = s["on"] / borders, s["off"] / ((w - 1) * h - borders)
-        return F.when(on < 0.01, F.lit(1.0)).otherwise(on / F.greatest(off, F.lit(0.05)))
-
-    start = F.struct(zero.alias("on"), zero.alias("off"))
-    found = let(px, lambda p: F.aggregate(grid(w * h), start, lambda acc, i: add(acc, i, p), ratio))
-    return F.when((w < 16) | (h < 16), F.lit(1.0)).otherwise(found)
+    return _per_raster(ratio, "double", px, w, h)
 
 
 def quality(block: Column) -> Column:
@@ -161,110 +172,110 @@ def quality(block: Column) -> Column:
 
 
 def is_posterized(px: Column) -> Column:
-    return (F.array_max(px) - F.array_min(px) > 60) & (F.size(F.array_distinct(px)) < 24)
+    """A wide range of values of which few occur."""
+    return _per_raster(lambda p: bool(len(p)) and bool(int(p.max()) - int(p.min()) > 60 and len(np.unique(p)) < 24), "boolean", px)
 
 
-def line_is_banded(line: Column) -> Column:
+def line_is_banded(line: np.ndarray) -> bool:
     """A gradient in few wide steps: regular jumps of at least 4, most in one direction."""
-    length = F.size(line)
-    every_step = F.transform(
-        F.sequence(F.lit(1), length - 1), lambda i: F.struct(i.alias("at"), (F.get(line, i) - F.get(line, i - 1)).alias("d"))
-    )
-
-    def regular(jumps):
-        count = F.size(jumps)
-        up = F.size(F.filter(jumps, lambda s: s["d"] > 0))
-        spread = F.try_element_at(jumps, F.lit(-1))["at"] - F.get(jumps, F.lit(0))["at"]
-        return (
-            (count >= 3)
-            & (F.greatest(up, count - up) * 5 >= count * 4)
-            & (F.coalesce(spread / F.nullif(count - 1, F.lit(0)), F.lit(0.0)) >= 4)
-        )
-
-    def few(steps):
-        return (
-            (F.size(steps) >= 4)
-            & (F.size(steps) <= _div(length, 8))
-            & let(F.filter(steps, lambda s: F.abs(s["d"]) >= 4), regular)
-        )
-
-    return let(F.filter(every_step, lambda s: s["d"] != 0), few)
+    steps = np.diff(line.astype(np.int64))
+    places = np.flatnonzero(steps)
+    if not 4 <= len(places) <= len(line) // 8:
+        return False
+    jumps = places[np.abs(steps[places]) >= 4]
+    if len(jumps) < 3:
+        return False
+    up = int((steps[jumps] > 0).sum())
+    return max(up, len(jumps) - up) * 5 >= len(jumps) * 4 and (jumps[-1] - jumps[0]) / (len(jumps) - 1) >= 4
 
 
 def is_banded(px: Column, w: Column, h: Column) -> Column:
     """At least three suspicious lines among sampled columns and rows of the middle half."""
 
-    def sampled(n):
-        return F.sequence(_div(n, 4), _div(n * 3, 4) - 1, F.greatest(_div(n, 16), F.lit(1)))
+    def banded(p, w, h):
+        if w < 32 or h < 32:
+            return False
+        page = p.reshape(h, w)
+        columns = (page[:, x] for x in range(w // 4, w * 3 // 4, max(w // 16, 1)))
+        rows = (page[y] for y in range(h // 4, h * 3 // 4, max(h // 16, 1)))
+        return sum(line_is_banded(x) for x in (*columns, *rows)) >= 3
 
-    def lines(p):
-        columns = F.transform(sampled(w), lambda x: F.transform(grid(h), lambda y: F.get(p, y * w + x)))
-        return F.concat(columns, F.transform(sampled(h), lambda y: F.slice(p, y * w + 1, w)))
-
-    suspicious = F.size(F.filter(let(px, lines), line_is_banded))
-    return F.when((w < 32) | (h < 32), F.lit(False)).otherwise(suspicious >= 3)
+    return _per_raster(banded, "boolean", px, w, h)
 
 
 # ---- colour comparison ----
 
 
-def luminance(p: Column) -> Column:
-    return p["r"] * 0.299 + p["g"] * 0.587 + p["b"] * 0.114
+def _on_white(p: dict, c: str) -> np.ndarray:
+    """A colour plane as it looks on white paper."""
+    plane = p[c].astype(np.float64)
+    if "a" not in p:
+        return plane
+    alpha = p["a"] / 255.0
+    return plane * alpha + 255.0 * (1.0 - alpha)
+
+
+def _luminance(p: dict) -> np.ndarray:
+    light = p["r"] * WEIGHTS["r"] + p["g"] * WEIGHTS["g"] + p["b"] * WEIGHTS["b"]
+    return light if "a" not in p else light * (p["a"] / 255.0) + 255.0 * (1.0 - p["a"] / 255.0)
 
 
 def to_grey(px: Column) -> Column:
     """Luminance of colour pixels, truncated to an integer."""
-    return F.transform(px, lambda p: F.floor(luminance(p)).cast("int"))
+    return _per_raster(_luminance, "array<int>", px)
+
+
+def _canvas(plane: np.ndarray, w: int, h: int, width: int, height: int, dx: int = 0, dy: int = 0) -> np.ndarray:
+    """A page of w x h on a white canvas, moved by (dx, dy); what leaves the canvas is cut off."""
+    out = np.full((height, width), 255.0)
+    x0, y0, x1, y1 = max(dx, 0), max(dy, 0), min(w + dx, width), min(h + dy, height)
+    if x0 < x1 and y0 < y1:
+        out[y0:y1, x0:x1] = plane.reshape(h, w)[y0 - dy : y1 - dy, x0 - dx : x1 - dx]
+    return out.ravel()
 
 
-def classify(a: Column, b: Column, threshold: float = 0.05) -> Column:
-    """same, removed, added or recoloured, for two pixels on white."""
+def _classes(p: dict, w_a: int, h_a: int, q: dict, w_b: int, h_b: int, threshold: float, dx: int, dy: int) -> np.ndarray:
+    width, height = max(w_a, w_b), max(h_a, h_b)
 
-    def kind(p, q):
-        distance = F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in "rgb")) / LONGEST_RGB
-        lighter = luminance(q) - luminance(p)
-        return (
-            F.when(distance <= threshold, "same")
-            .when(F.abs(lighter) <= 8.0, "recoloured")
-            .when(lighter > 0, "removed")
-            .otherwise("added")
-        )
+    def pair(plane):
+        return _canvas(plane(p), w_a, h_a, width, height), _canvas(plane(q), w_b, h_b, width, height, dx, dy)
 
-    return let(a, lambda p: let(b, lambda q: kind(p, q)))
+    square = 0.0
+    for c in "rgb":
+        one, other = pair(lambda page, c=c: _on_white(page, c))
+        square = square + (one - other) * (one - other)
+    distance = np.sqrt(square) / LONGEST_RGB
+    one, other = pair(_luminance)
+    lighter = other - one
+    kind = np.where(np.abs(lighter) <= SAME_WEIGHT, 3, np.where(lighter > 0, 1, 2))
+    return np.where(distance <= threshold, 0, kind).astype(np.int8)
 
 
 def changes(
     a: Column, w_a: Column, h_a: Column, b: Column, w_b: Column, h_b: Column, threshold: float = 0.05,
     dx: Column | int = 0, dy: Column | int = 0,
 ) -> Column:
-    """Class of every pixel of the union canvas; outside a page is white. ``b`` is moved by (dx, dy)."""
-    white = F.struct(*[F.lit(255).alias(c) for c in "rgb"])
-    width = F.greatest(w_a, w_b)
+    """Class (a number, see CLASSES) of every pixel of the union canvas; outside a page is white. ``b`` is moved by (dx, dy)."""
+    kernel = lambda p, w, h, q, v, u, x, y: _classes(p, w, h, q, v, u, threshold, x, y)
+    return _per_raster(kernel, "array<tinyint>", a, w_a, h_a, b, w_b, h_b, dx, dy)
 
-    def at(px, w, h, x, y):
-        inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
-        return F.when(inside, F.get(px, y * w + x)).otherwise(white)
 
-    def one(i, p, q):
-        x, y = i % width, _div(i, width)
-        return classify(at(p, w_a, h_a, x, y), at(q, w_b, h_b, x - dx, y - dy), threshold)
-
-    canvas = grid(width * F.greatest(h_a, h_b))
-    return let(a, lambda p: let(b, lambda q: F.transform(canvas, lambda i: one(i, p, q))))
+def class_name(number: Column) -> Column:
+    return F.get(F.array(*map(F.lit, CLASSES)), number.cast("int"))
 
 
 def diff_percent(classes: Column) -> Column:
-    return F.size(F.filter(classes, lambda c: c != "same")) / F.size(classes) * 100
+    return _per_raster(lambda c: float(np.count_nonzero(c) / len(c) * 100) if len(c) else None, "double", classes)
 
 
-def changed_blocks(classes: Column, width: Column, block: int = 32) -> Column:
-    """Distinct block numbers (by row, then column) that hold a changed pixel."""
-    across = _div(width + (block - 1), block)
+def _blocks(classes: np.ndarray, width: int, block: int) -> np.ndarray:
+    i = np.flatnonzero(classes)
+    return np.unique(i // width // block * (-(-width // block)) + i % width // block)
 
-    def number(c, i):
-        return F.when(c != "same", _div(_div(i, width), block) * across + _div(i % width, block))
 
-    return F.sort_array(F.array_distinct(F.array_compact(F.transform(classes, number))))
+def changed_blocks(classes: Column, width: Column, block: int = 32) -> Column:
+    """Distinct block numbers (by row, then column) that hold a changed pixel."""
+    return _per_raster(lambda c, w: _blocks(c, w, block), "array<int>", classes, width)
 
 
 def block_region(number: Column, width: Column, height: Column, block: int = 32) -> Column:
@@ -279,101 +290,130 @@ def block_region(number: Column, width: Column, height: Column, block: int = 32)
     )
 
 
-def blur(px: Column, w: Column, h: Column, radius: int) -> Column:
-    """Separable box mean of one channel; edge pixels repeat, divisions truncate."""
+def _box_mean(plane: np.ndarray, w: int, h: int, radius: int) -> np.ndarray:
+    page = plane.reshape(h, w).astype(np.int64)
+    for axis in (1, 0):
+        wide = np.pad(page, [(radius, radius) if d == axis else (0, 0) for d in (0, 1)], mode="edge")
+        sums = np.cumsum(wide, axis=axis)
+        n = page.shape[axis]
+        upper = np.take(sums, np.arange(2 * radius, 2 * radius + n), axis=axis)
+        lower = np.take(sums, np.arange(n), axis=axis) - np.take(wide, np.arange(n), axis=axis)
+        page = (upper - lower) // (2 * radius + 1)
+    return page.ravel()
 
-    def one_pass(values, neighbour):
-        def mean(i, v):
-            total = sum(F.get(v, neighbour(i, k)) for k in range(-radius, radius + 1))
-            return _div(total, 2 * radius + 1)
 
-        return let(values, lambda v: F.transform(grid(w * h), lambda i: mean(i, v)))
+def blur(px: Column, w: Column, h: Column, radius: int) -> Column:
+    """Separable box mean of one channel; edge pixels repeat, divisions truncate."""
+    return _per_raster(lambda p, w, h: _box_mean(p, w, h, radius), "array<int>", px, w, h)
 
-    def across(i, k):
-        return i - i % w + F.least(F.greatest(i % w + k, F.lit(0)), w - 1)
 
-    def down(i, k):
-        return F.least(F.greatest(_div(i, w) + k, F.lit(0)), h - 1) * w + i % w
+# ---- alignment of shifted pages ----
 
-    return one_pass(one_pass(px, across), down)
 
-
-# ---- alignment of shifted pages ----
+def _boxes(plane: np.ndarray, w: int, h: int, scale: int) -> np.ndarray:
+    """h x w means of scale x scale boxes, truncated; boxes at the edge average what they have."""
+    sums = np.add.reduceat(np.add.reduceat(plane.reshape(h, w).astype(np.int64), np.arange(0, h, scale), axis=0), np.arange(0, w, scale), axis=1)
+    rows, columns = np.minimum(scale, h - np.arange(0, h, scale)), np.minimum(scale, w - np.arange(0, w, scale))
+    return sums // (rows[:, None] * columns[None, :])
 
 
 def downsample(px: Column, w: Column, h: Column, scale: int) -> Column:
     """Means of scale x scale boxes, truncated; boxes at the edge average what they have."""
-    across = _div(w + (scale - 1), scale)
-
-    def box(i, p):
-        cells = F.array(
-            *[
-                F.when(
-                    ((i % across) * scale + sx < w) & (_div(i, across) * scale + sy < h),
-                    F.get(p, (_div(i, across) * scale + sy) * w + (i % across) * scale + sx),
-                )
-                for sy in range(scale)
-                for sx in range(scale)
-            ]
-        )
-        return let(
-            F.array_compact(cells),
-            lambda known: _div(F.aggregate(known, F.lit(0), lambda acc, v: acc + v), F.size(known)),
-        )
-
-    boxes = grid(across * _div(h + (scale - 1), scale))
-    return let(px, lambda p: F.transform(boxes, lambda i: box(i, p)))
+    return _per_raster(lambda p, w, h: _boxes(p, w, h, scale).ravel(), "array<int>", px, w, h)
+
+
+def _rough(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    h, w = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
+    return float((np.abs(a[:h, :w] - b[:h, :w]) / 255 > threshold).sum() / (h * w) * 100) if h * w else 0.0
 
 
 def rough_diff(a: Column, b: Column, threshold: float = 0.05) -> Column:
     """Percentage of grey values that differ by more than the threshold."""
-    over = F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y) / 255 > threshold), lambda t: t)
-    return F.size(over) / F.size(a) * 100
+    return _per_raster(lambda p, q: _rough(p[None, :], q[None, :], threshold), "double", a, b)
+
+
+def _shift(a: np.ndarray, b: np.ndarray, centre_x: int, centre_y: int, reach: int) -> tuple[int, int]:
+    best = None
+    for dy in range(centre_y - reach, centre_y + reach + 1):
+        for dx in range(centre_x - reach, centre_x + reach + 1):
+            y0, y1 = max(0, -dy), min(a.shape[0], b.shape[0] - dy)
+            x0, x1 = max(0, -dx), min(a.shape[1], b.shape[1] - dx)
+            mean = math.inf
+            if y0 < y1 and x0 < x1:
+                mean = int(np.abs(a[y0:y1, x0:x1] - b[y0 + dy : y1 + dy, x0 + dx : x1 + dx]).sum()) / ((y1 - y0) * (x1 - x0))
+            if best is None or mean < best[0]:
+                best = (mean, dx, dy)
+    return best[1], best[2]
 
 
 def best_shift(a: Column, b: Column, w: Column, h: Column, centre_x: Column, centre_y: Column, reach: int) -> Column:
     """Struct (dx, dy): the shift around the centre with the least mean difference, first in scan order."""
-    offsets = F.array(
-        *[
-            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-            for dy in range(-reach, reach + 1)
-            for dx in range(-reach, reach + 1)
-        ]
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("n"))
 
-    def score(o, p, q):
-        dx, dy = centre_x + o["dx"], centre_y + o["dy"]
+    def search(p, q, w, h, x, y):
+        dx, dy = _shift(p.reshape(h, w), q.reshape(h, w), x, y, reach)
+        return {"dx": dx, "dy": dy}
+
+    return _per_raster(search, "struct<dx:int,dy:int>", a, b, w, h, centre_x, centre_y)
+
+
+def compare(
+    a: Column, w_a: Column, h_a: Column, b: Column, w_b: Column, h_b: Column, threshold: float = 0.05, blur: int = 0, align: bool = True,
+    align_above: float = 3.0, max_offset: int = 32, coarse: int = 8, fine: int = 2, block: int = 32,
+) -> Column:
+    """Everything about a pair of colour pages in one pass: struct (dx, dy, diff_percent, areas, width, height).
+
+    Both pages are blurred, the second is moved to where it fits best, and each pixel is classified; null
+    where a page has no pixels.
+    """
+
+    def blurred(p, w, h):
+        return {c: _box_mean(v, w, h, blur) for c, v in p.items()} if blur else p
 
-        def add(acc, i):
-            x, y = i % w + dx, _div(i, w) + dy
-            inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
-            difference = F.abs(F.get(p, i) - F.get(q, y * w + x))
-            return F.struct(
-                (acc["total"] + F.when(inside, difference).otherwise(0)).alias("total"),
-                (acc["n"] + F.when(inside, 1).otherwise(0)).alias("n"),
-            )
+    def find(p, w_a, h_a, q, w_b, h_b):
+        light = [(_luminance(x).astype(np.int64), w, h) for x, w, h in ((p, w_a, h_a), (q, w_b, h_b))]
+        rough = [_boxes(*x, coarse) for x in light]
+        if _rough(*rough, threshold) < align_above:
+            return 0, 0
+        dx, dy = _shift(*rough, 0, 0, max(max_offset // coarse, 2))
+        dx, dy = _shift(*(_boxes(*x, fine) for x in light), int(dx * coarse / fine), int(dy * coarse / fine), coarse // fine)
+        return -dx * fine, -dy * fine
 
-        mean = F.aggregate(
-            grid(w * h), zero, add, lambda s: F.when(s["n"] == 0, F.lit(1.7976931348623157e308)).otherwise(s["total"] / s["n"])
-        )
-        return F.struct(mean.alias("score"), dy.alias("dy"), dx.alias("dx"))
+    def run(p, w_a, h_a, q, w_b, h_b):
+        if not (w_a * h_a and w_b * h_b):
+            return None
+        p, q = blurred(p, w_a, h_a), blurred(q, w_b, h_b)
+        dx, dy = find(p, w_a, h_a, q, w_b, h_b) if align else (0, 0)
+        classes = _classes(p, w_a, h_a, q, w_b, h_b, threshold, dx, dy)
+        width, height = max(w_a, w_b), max(h_a, h_b)
+        return {"dx": dx, "dy": dy, "diff_percent": float(np.count_nonzero(classes) / len(classes) * 100), "areas": len(_blocks(classes, width, block)), "width": width, "height": height}
 
-    best = let(a, lambda p: let(b, lambda q: F.array_min(F.transform(offsets, lambda o: score(o, p, q)))))
-    return F.struct(best["dx"].alias("dx"), best["dy"].alias("dy"))
+    return _per_raster(run, "struct<dx:int,dy:int,diff_percent:double,areas:int,width:int,height:int>", a, w_a, h_a, b, w_b, h_b)
 
 
 # ---- ink estimates ----
 
 
+def _tac(p: dict) -> np.ndarray:
+    r, g, b = (p[c] / 255 for c in "rgb")
+    black = 1 - np.maximum(np.maximum(r, g), b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inks = [(1 - c - black) / (1 - black) for c in (r, g, b)]
+        return np.where(black >= 1, 100.0, (inks[0] + inks[1] + inks[2] + black) * 100)
+
+
 def tac_of_pixels(px: Column) -> Column:
     """Total ink (%) of every colour pixel."""
-    return F.transform(px, lambda p: color.tac_rgb(p["r"] / 255, p["g"] / 255, p["b"] / 255))
+    return _per_raster(_tac, "array<double>", px)
+
+
+def highest_tac(px: Column) -> Column:
+    """Highest total ink (%) of colour pixels; null where there are none."""
+    return _per_raster(lambda p: float(_tac(p).max()) if len(p["r"]) else None, "double", px)
 
 
-def mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(total / F.size(values))
+def mean_tac(px: Column) -> Column:
+    """Mean total ink (%) of colour pixels; 0 where there are none."""
+    return _per_raster(lambda p: float(_tac(p).mean()) if len(p["r"]) else 0.0, "double", px)
 
 
 def crop(px: Column, w: Column, h: Column, region: tuple[float, float, float, float], page: tuple[float, float]) -> Column:

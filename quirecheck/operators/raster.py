@@ -10,6 +10,7 @@ from quirecheck.functions import raster as X
 from quirecheck.functions.values import rounded
 from quirecheck.operators.checks import ERROR
 
+# Similarity of a page that stayed in place, and of one found elsewhere.
 IN_PLACE, MOVED = 0.995, 0.98
 
 
@@ -152,19 +153,38 @@ def page_differences(changed: DataFrame, block: int = 32) -> DataFrame:
     )
 
 
+def compare_rasters(
+    pairs: DataFrame, threshold: float = 0.05, blur: int = 0, align: bool = True, max_offset: int = 32, coarse: int = 8, fine: int = 2, block: int = 32
+) -> DataFrame:
+    """(doc_id, page_no, dx, dy, diff_percent, areas) of pairs of colour pages: blurred, lined up and compared in one pass.
+
+    Pixels may have an alpha plane; what is transparent, and what lies outside a page, is white.
+    """
+    c = F.col
+    found = X.compare(c("px_a"), c("w_a"), c("h_a"), c("px_b"), c("w_b"), c("h_b"), threshold, blur, align, 3.0, max_offset, coarse, fine, block)
+    return pairs.select("doc_id", "page_no", found.alias("found")).select("doc_id", "page_no", "found.dx", "found.dy", "found.diff_percent", "found.areas")
+
+
 def pixel_findings(differences: DataFrame, max_diff: float = 0.0) -> DataFrame:
+    """A finding for every page that differs by more than ``max_diff`` percent; it names the shift, if pages were moved."""
     message = F.format_string(
         "page %d: %.2f%% of the pixels differ, in %d area(s)", "page_no", F.bround("diff_percent", 2), "areas"
     )
+    if "dx" in differences.columns:
+        moved = (F.col("dx") != 0) | (F.col("dy") != 0)
+        message = F.concat(message, F.when(moved, F.format_string(" (aligned by %d, %d px)", "dx", "dy")).otherwise(""))
     return differences.filter(F.col("diff_percent") > max_diff).select(
         "doc_id", F.lit(ERROR).alias("severity"), F.lit("pixel difference").alias("check_name"), message.alias("message")
     )
 
 
-def pixel_similarity(differences: DataFrame) -> DataFrame:
-    """100 minus the mean difference of the pages compared."""
+def pixel_similarity(differences: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """100 minus the mean difference of the pages compared; with ``docs``, 0 where no page was."""
     total = F.round(F.sum("diff_percent"), 6)
-    return differences.groupBy("doc_id").agg((100 - total / F.count("*")).alias("similarity"))
+    found = differences.groupBy("doc_id").agg((100 - total / F.count("*")).alias("similarity"))
+    if docs is None:
+        return found
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def change_regions(changed: DataFrame, block: int = 32) -> DataFrame:

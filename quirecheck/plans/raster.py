@@ -310,7 +310,8 @@ def _sql_changes(body: str) -> str:
 def pixel_classify(spark, d):
     changed = R.with_changes(_color_pairs(spark, d)).select("page_id", "width", F.posexplode("classes").alias("i", "class"))
     return changed.select(
-        "page_id", (F.col("i") % F.col("width")).cast("bigint").alias("x"), F.floor(F.col("i") / F.col("width")).alias("y"), "class"
+        "page_id", (F.col("i") % F.col("width")).cast("bigint").alias("x"), F.floor(F.col("i") / F.col("width")).alias("y"),
+        X.class_name(F.col("class")).alias("class"),
     )
 
 
@@ -446,10 +447,8 @@ _SQL_TAC = """select page_id, x, y, case when k >= 1 then 100.0 else ((1-r-k)/(1
     O.sql("rgb", "select page_id, round(max(tac), 6) as tac_max, round(avg(tac), 6) as tac_avg from tacs group by page_id", tacs=_SQL_TAC),
 )
 def tac_pixels(spark, d):
-    tac = F.col("tac")
-    return S.color_rasters(spark, d).select("page_id", X.tac_of_pixels(F.col("px")).alias("tac")).select(
-        "page_id", F.round(F.array_max(tac), 6).alias("tac_max"), F.round(X.mean(tac), 6).alias("tac_avg")
-    )
+    px = F.col("px")
+    return S.color_rasters(spark, d).select("page_id", F.round(X.highest_tac(px), 6).alias("tac_max"), F.round(X.mean_tac(px), 6).alias("tac_avg"))
 
 
 @query(
@@ -464,11 +463,10 @@ def tac_pixels(spark, d):
 def tac_by_region(spark, d):
     """A region of a 160 x 160 pt page; the raster counts from the top."""
     inside = X.crop(F.col("px"), F.col("w"), F.col("h"), (20.0, 20.0, 80.0, 80.0), (160.0, 160.0))
-    tac = F.col("tac")
-    return S.color_rasters(spark, d).select("page_id", X.tac_of_pixels(inside).alias("tac")).select(
-        "page_id",
-        rounded(F.coalesce(F.array_max(tac), F.lit(0.0)), 1).alias("tac_max"),
-        rounded(F.round(X.mean(tac), 6), 1).alias("coverage"),
+    px = F.col("px")
+    found = S.color_rasters(spark, d).select("page_id", inside.alias("px")).select("page_id", X.highest_tac(px).alias("highest"), X.mean_tac(px).alias("mean"))
+    return found.select(
+        "page_id", rounded(F.coalesce("highest", F.lit(0.0)), 1).alias("tac_max"), rounded(F.round("mean", 6), 1).alias("coverage")
     )
 
 

@@ -95,3 +95,78 @@ def test_json_and_sarif_are_whole(spark):
     sarif = {r["doc_id"]: json.loads(r["sarif"]) for r in reports.sarif_reports(found, "s").collect()}
     regions = [r["locations"][0]["physicalLocation"]["region"] for r in sarif[1]["runs"][0]["results"]]
     assert regions == [{}, {}, {"startLine": 2}]
+
+
+def _colour(rng, w, h):
+    return [(rng.randrange(256), rng.randrange(256), rng.randrange(256)) for _ in range(w * h)]
+
+
+def _plain_compare(a, wa, ha, b, wb, hb, threshold=0.05, block=4):
+    """Share of differing pixels and touched blocks, pixel by pixel on a white canvas."""
+    w, h = max(wa, wb), max(ha, hb)
+    at = lambda p, pw, ph, x, y: p[y * pw + x] if x < pw and y < ph else (255, 255, 255)
+    white = lambda p: [v * (p[3] / 255) + 255 * (1 - p[3] / 255) for v in p[:3]] if len(p) == 4 else list(p)
+    differ = {(x, y) for y in range(h) for x in range(w)
+              if sum((u - v) ** 2 for u, v in zip(white(at(a, wa, ha, x, y)), white(at(b, wb, hb, x, y)))) ** 0.5 / 441.67 > threshold}
+    return len(differ) / (w * h) * 100, len({(x // block, y // block) for x, y in differ})
+
+
+def _pages(spark, rows, planes="rgb"):
+    pixel = ", ".join(f"{c}: int" for c in planes)
+    schema = f"doc_id long, page_no long, w_a int, h_a int, px_a array<struct<{pixel}>>, w_b int, h_b int, px_b array<struct<{pixel}>>"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_compare_rasters_against_single_pixels(spark):
+    import random
+
+    rng = random.Random(9)
+    rows, want = [], {}
+    for n in range(1, 7):
+        wa, ha, wb, hb = (rng.randrange(5, 14) for _ in range(4))
+        a, b = _colour(rng, wa, ha), _colour(rng, wb, hb)
+        b = [a[i] if i < len(a) and rng.random() < 0.6 and (wa, ha) == (wb, hb) else p for i, p in enumerate(b)]
+        rows.append((1, n, wa, ha, a, wb, hb, b))
+        want[n] = _plain_compare(a, wa, ha, b, wb, hb)
+    got = {r["page_no"]: r for r in X.compare_rasters(_pages(spark, rows), align=False, block=4).collect()}
+    for n, (percent, areas) in want.items():
+        assert got[n]["diff_percent"] == pytest.approx(percent) and got[n]["areas"] == areas and got[n]["dx"] == 0
+
+
+def test_transparent_pixels_are_white(spark):
+    clear, white = [(10, 20, 30, 0)] * 9, [(255, 255, 255, 255)] * 9
+    row = X.compare_rasters(_pages(spark, [(1, 1, 3, 3, clear, 3, 3, white)], "rgba")).first()
+    assert row["diff_percent"] == 0.0 and row["areas"] == 0
+
+
+def test_shifted_page_is_lined_up_and_told(spark):
+    w, h = 160, 120
+
+    def page(dx, dy):
+        """Blots inside a white border, moved by (dx, dy)."""
+        inside = lambda x, y: 20 <= x < 140 and 20 <= y < 100
+        return [(0, 0, 0) if inside(x - dx, y - dy) and ((x - dx) // 5 * 31 + (y - dy) // 7 * 17) % 11 < 4 else (255, 255, 255) for y in range(h) for x in range(w)]
+
+    pairs = _pages(spark, [(1, 1, w, h, page(0, 0), w, h, page(6, 4)), (1, 2, w, h, page(0, 0), w, h, page(0, 0))])
+    still = {r["page_no"]: r["diff_percent"] for r in X.compare_rasters(pairs, align=False).collect()}
+    rows = {r["page_no"]: r for r in X.compare_rasters(pairs).collect()}
+    assert (rows[1]["dx"], rows[1]["dy"]) == (-6, -4) and rows[1]["diff_percent"] == 0.0 < still[1] and rows[2]["dx"] == 0
+    inked = page(6, 4)
+    inked[5 * w + 80] = (200, 0, 0)
+    found = X.pixel_findings(X.compare_rasters(_pages(spark, [(1, 7, w, h, page(0, 0), w, h, inked)]))).first()["message"]
+    assert found == "page 7: 0.01% of the pixels differ, in 1 area(s) (aligned by -6, -4 px)"
+
+
+def test_blur_hides_single_pixels(spark):
+    white = [(255, 255, 255)] * 81
+    dotted = list(white)
+    dotted[40] = (200, 200, 200)
+    pairs = _pages(spark, [(1, 1, 9, 9, white, 9, 9, dotted)])
+    assert X.compare_rasters(pairs, align=False).first()["diff_percent"] > 0
+    assert X.compare_rasters(pairs, blur=1, align=False).first()["diff_percent"] == 0
+
+
+def test_no_compared_page_is_no_similarity(spark):
+    differences = spark.createDataFrame([(1, 1, 20.0), (1, 2, 0.0)], "doc_id long, page_no long, diff_percent double")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    assert {r["doc_id"]: r["similarity"] for r in X.pixel_similarity(differences, docs).collect()} == {1: 90.0, 2: 0.0}

@@ -129,8 +129,9 @@ def test_rasters(spark):
 
     shift = best_offset(moved.join(other), coarse=4, fine=1, max_offset=8).first()["shift"]
     assert (shift.dx, shift.dy) == (-4, -2)
-    blocks = X.changed_blocks(F.array(*[F.lit("added" if i in (0, 9) else "same") for i in range(10)]), F.lit(5), 4)
+    blocks = X.changed_blocks(F.array(*[F.lit(int(i in (0, 9))).cast("tinyint") for i in range(10)]), F.lit(5), 4)
     assert value(spark, blocks) == [0, 1]
     assert tuple(value(spark, X.block_region(F.lit(1), F.lit(5), F.lit(2), 4))) == (4, 0, 1, 2)
-    kinds = X.classify(F.struct(*[F.lit(0).alias(c) for c in "rgb"]), F.struct(*[F.lit(255).alias(c) for c in "rgb"]))
-    assert value(spark, kinds) == "removed"
+    black, white = (F.array(F.struct(*[F.lit(v).alias(c) for c in "rgb"])) for v in (0, 255))
+    one = F.lit(1)
+    assert value(spark, F.transform(X.changes(black, one, one, white, one, one), X.class_name)) == ["removed"]
