@@ -16,6 +16,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 #: Pre-tokens of a generation that a worker remembers, and the longest one it remembers, in characters.
 REMEMBERED, LONGEST = 1 << 18, 48
-#: Matches handled at once, and characters of text in one output batch.
+#: Matches handled at once, and bytes of text in one output batch.
 MATCHES, CHARACTERS = 1 << 16, 1 << 21
 #: Bits of a word of the lower level of the bitmap; the upper level has a bit for each word.
 STEP = 8
@@ -40,43 +41,6 @@ def read_ranks(path: str) -> list[bytes]:
     return words
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank first, and of one rank the lowest position. Empty, it can be used again."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((ranks >> STEP) + 1)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        word = rank >> STEP
-        if not self.low[word]:
-            self.top |= 1 << word
-        self.low[word] |= 1 << (rank & MASK)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        word = (top & -top).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << STEP) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.low[word] = bits
-            if not bits:
-                self.top = top & (top - 1)
-        return rank, at
-
-
 class Remembered(dict):
     """Ids of pre-tokens, in two generations: what is asked for again survives, memory stays bounded."""
 
@@ -103,23 +67,52 @@ class Encoder:
         self.ids = {w: i for i, w in enumerate(words) if w}
         self.longest = max(map(len, words), default=0)
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(len(words))
+        self.low = [0] * ((len(words) >> STEP) + 1)  # the lower level of the bitmap; all zero between merges
+        self.pairs = {(a, b): self.ids.get(bytes((a, b))) for a in range(256) for b in range(256)}
         self.remembered = Remembered(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
-        ids, longest, queue = self.ids, self.longest, self.queue
-        whole = ids.get(piece)
+        """Ids of one pre-token. The queue is written out in place, as calls would cost more than its steps."""
+        rank_of = self.ids.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n, rank_of, push, pop = len(piece), ids.get, queue.push, queue.pop
+        n, longest, low, buckets = len(piece), self.longest, self.low, {}
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # of the pair that starts there
-        rank_at.append(None)
-        for at, rank in enumerate(rank_at):
-            if rank is not None:
-                push(rank, at)
-        while (found := pop()) is not None:
-            rank, at = found
+        rank_at = [*map(self.pairs.__getitem__, zip(piece, piece[1:])), None]  # of the pair that starts there
+        fresh, top = [(rank, at) for at, rank in enumerate(rank_at) if rank is not None], 0
+        while True:
+            for rank, at in fresh:  # into the queue; a bucket is a place or, of several, a heap
+                held = buckets.get(rank)
+                if held is None:
+                    buckets[rank] = at
+                    word = rank >> STEP
+                    bits = low[word]
+                    if not bits:
+                        top |= 1 << word
+                    low[word] = bits | 1 << (rank & MASK)
+                elif held.__class__ is int:
+                    buckets[rank] = [held, at] if held < at else [at, held]
+                else:
+                    heapq.heappush(held, at)
+            fresh = []
+            if not top:
+                break
+            # Out of the queue: first set bits give the lowest rank, its bucket the leftmost place.
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << STEP) + (bits & -bits).bit_length() - 1
+            at = buckets[rank]
+            if at.__class__ is not int and len(held := at) > 1:
+                at = heapq.heappop(held)
+            else:
+                if at.__class__ is not int:
+                    at = at[0]
+                del buckets[rank]
+                bits &= bits - 1
+                low[word] = bits
+                if not bits:
+                    top &= top - 1
             if rank_at[at] != rank:
                 continue  # stale
             gone = after[at]
@@ -132,16 +125,15 @@ class Encoder:
                 if end - at <= longest:
                     rank_at[at] = new = rank_of(piece[at:end])
                     if new is not None:
-                        push(new, at)
+                        fresh.append((new, at))
             left = before[at]
             if left >= 0:
-                new = rank_of(piece[left:middle]) if middle - left <= longest else None
-                rank_at[left] = new
+                rank_at[left] = new = rank_of(piece[left:middle]) if middle - left <= longest else None
                 if new is not None:
-                    push(new, left)
+                    fresh.append((new, left))
         out, at = [], 0
         while at < n:
-            out.append(ids[piece[at : after[at]]])
+            out.append(self.ids[piece[at : after[at]]])
             at = after[at]
         return out
 
@@ -171,7 +163,7 @@ def _encoder(words: list[bytes], pattern: str, vocabulary: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > most:
@@ -182,33 +174,46 @@ def _slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[tupl
         yield start, len(sizes)
 
 
-def _carried(df: DataFrame, source: str, out: str) -> list[str]:
-    return [c for c in df.columns if c not in (source, out)]
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    ids = [encoder.encode(t) for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
 
 
-def encode(df: DataFrame, words: list[bytes], pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def _decoded(words: list[bytes], lists: pa.ListArray) -> pa.Array:
+    of = words.__getitem__
+    return pa.array([b"".join(map(of, x.values.to_pylist())) if x.is_valid else None for x in lists], pa.binary())
+
+
+def _kept(df: DataFrame, *replaced: str) -> list[str]:
+    return [c for c in df.columns if c not in replaced]
+
+
+def encode(df: DataFrame, words: list[bytes], pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Replace the text by ``out_col``, the array of its ids; all other columns are carried.
 
     Each match of ``pattern`` is encoded by itself and no special tokens are known. A null text counts as
-    empty; empty texts give an empty array. A column that is called like ``out_col`` is replaced. The
-    vocabulary is broadcast; its size is that of the tokenizer's file. Every single byte should be in it:
-    a byte that is missing raises KeyError.
+    empty; empty texts give an empty array. With ``decoded_col``, the ids are decoded again in the same pass,
+    to the bytes they stand for. Columns that are called like a new one are replaced. The vocabulary is
+    broadcast; its size is that of the tokenizer's file. Every single byte should be in it: a byte that is
+    missing raises KeyError.
     """
-    kept = _carried(df, text_col, out_col)
+    kept = _kept(df, text_col, out_col, *([decoded_col] if decoded_col else []))
     held = df.sparkSession.sparkContext.broadcast(words)
     vocabulary = zlib.crc32(b"\n".join(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value, pattern, vocabulary)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _slices(batch, [len(t) for t in texts], CHARACTERS):
-                ids = [encoder.encode(t) for t in texts[a:b]]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[1:], values], names=[*kept, out_col])
+            for a, b in _slices(pc.binary_length(batch.column(0)).to_pylist(), CHARACTERS):
+                part = batch.slice(a, b - a)
+                ids = _encoded(encoder, part.column(0))
+                new = {out_col: ids} | ({decoded_col: _decoded(held.value, ids)} if decoded_col else {})
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new.values()], names=[*kept, *new])
 
     schema = df.select(*kept).schema.add(out_col, T.ArrayType(T.IntegerType()))
+    if decoded_col:
+        schema = schema.add(decoded_col, T.BinaryType())
     apart = "_" * (1 + max(map(len, df.columns)))  # no column has this name
     return df.select(F.coalesce(F.col(text_col), F.lit("")).alias(apart), *kept).mapInArrow(run, schema)
 
@@ -219,20 +224,16 @@ def decode(df: DataFrame, words: list[bytes], ids_col: str = "ids", out_col: str
     Null ids give null, an empty array empty bytes; an id that the vocabulary lacks raises an error. Bytes
     need not be valid UTF-8 when ids were not made by ``encode``. A column called like ``out_col`` is replaced.
     """
-    kept = _carried(df, out_col, out_col)
+    kept = _kept(df, out_col)
     held = df.sparkSession.sparkContext.broadcast(words)
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = held.value.__getitem__
         for batch in batches:
-            column = batch.column(at)
-            sizes = [4 * (s or 0) for s in column.value_lengths().to_pylist()]
-            for a, b in _slices(batch, sizes, CHARACTERS):
+            sizes = [4 * (s or 0) for s in batch.column(at).value_lengths().to_pylist()]
+            for a, b in _slices(sizes, CHARACTERS):
                 part = batch.slice(a, b - a)
-                lists = part.column(at)
-                decoded = [b"".join(map(of, x.values.to_pylist())) if x.is_valid else None for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*kept, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(held.value, part.column(at))], names=[*kept, out_col])
 
     schema = df.select(*kept).schema.add(out_col, T.BinaryType())
     return df.select(*kept).mapInArrow(run, schema)

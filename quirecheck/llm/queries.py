@@ -27,8 +27,7 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words, public_tokenizers.PATTERN)
-    return token_digests(bpe.decode(encoded, words))
+    return token_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words, public_tokenizers.PATTERN, decoded_col="decoded"))
 
 
 def token_digests(decoded: DataFrame, *more: str) -> DataFrame:

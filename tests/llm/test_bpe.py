@@ -31,13 +31,11 @@ def test_long_pre_token_is_near_linear():
     assert bpe.Encoder(WORDS, public_tokenizers.PATTERN).encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
-def test_queue_order():
-    queue = bpe.RankQueue(50_256)
-    entries = [(random.Random(i).randrange(50_256) if i % 3 else 77, i) for i in range(500)]
-    for rank, at in reversed(entries):
-        queue.push(rank, at)
-    assert [queue.pop() for _ in entries] == sorted(entries)
-    assert queue.pop() is None
+def test_the_queue_is_empty_again():
+    encoder = bpe.Encoder(WORDS, public_tokenizers.PATTERN)
+    for text in TEXTS:
+        encoder.encode(text or "")
+        assert not any(encoder.low)
 
 
 def test_round_trip_keeps_rows_and_columns():
@@ -50,6 +48,8 @@ def test_round_trip_keeps_rows_and_columns():
     for r in rows:
         text = TEXTS[r["doc_id"]] or ""
         assert bytes(r["decoded"]) == text.encode() and r["ids"] == LIBRARY.encode_ordinary(text) and r["t"] == 2 * r["doc_id"]
+    both = bpe.encode(df, WORDS, public_tokenizers.PATTERN, decoded_col="decoded")
+    assert both.columns == out.columns and sorted(map(str, both.collect())) == sorted(map(str, rows))
     assert bpe.encode(df.limit(0), WORDS, public_tokenizers.PATTERN).count() == 0
     assert bpe.decode(out.select("doc_id", F.lit(None).cast("array<int>").alias("ids")), WORDS).where("decoded is not null").count() == 0
 
