@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from quirecheck.functions.validators import cnpj_valid, cpf_valid
@@ -130,25 +133,34 @@ def personal_data(c: Column) -> Column:
     return F.concat(*[found(label, shape) for label, shape in PII_SHAPES.items()])
 
 
+def _only(mine: list, other: list) -> list[str]:
+    """Lines of ``mine`` that ``other`` lacks; copies kept. Linear, as ``other`` is looked up by hash."""
+    known = set(other)
+    return [x for x in mine if x not in known]
+
+
 def line_diff(a: Column, b: Column) -> Column:
-    """Lines of ``a`` missing from ``b`` as ``-line``, then the reverse as ``+line``; copies kept."""
+    """Lines of ``a`` missing from ``b`` as ``-line``, then the reverse as ``+line``; copies kept. Null where a text is null."""
 
-    def only(mine, other, sign):
-        return F.transform(
-            F.filter(mine, lambda x: ~F.array_contains(other, x)), lambda x: F.concat(F.lit(sign), x)
-        )
+    def changed(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = zip(left.to_pylist(), right.to_pylist())
+        found = [None if x is None or y is None else ["-" + v for v in _only(x, y)] + ["+" + v for v in _only(y, x)] for x, y in rows]
+        return pa.array(found, pa.list_(pa.string()))
 
-    return let(lines(a), lambda la: let(lines(b), lambda lb: F.concat(only(la, lb, "-"), only(lb, la, "+"))))
+    return F.arrow_udf(changed, "array<string>")(lines(a), lines(b))
 
 
 def diff_sample(a: Column, b: Column, limit: int = 3) -> Column:
-    """The first lines that changed, at most ``limit`` from each side, each after `` | ``."""
+    """The first lines that changed, at most ``limit`` from each side, each after `` | ``. Null where a text is null."""
+
+    def sample(left: pa.Array, right: pa.Array) -> pa.Array:
+        def side(mine, other, sign):
+            return "".join(f" | {sign}{x}" for x in islice(_only(mine, other), limit))
 
-    def side(mine, other, sign):
-        first = F.slice(F.filter(mine, lambda x: ~F.array_contains(other, x)), 1, limit)
-        return F.array_join(F.transform(first, lambda x: F.concat(F.lit(f" | {sign}"), x)), "")
+        rows = zip(left.to_pylist(), right.to_pylist())
+        return pa.array([None if x is None or y is None else side(x, y, "-") + side(y, x, "+") for x, y in rows], pa.string())
 
-    return let(lines(a), lambda la: let(lines(b), lambda lb: F.concat(side(la, lb, "-"), side(lb, la, "+"))))
+    return F.arrow_udf(sample, "string")(lines(a), lines(b))
 
 
 def mask_dates(c: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.operators.checks import ERROR
 
-REPORT_FIELDS = ["status", "error_count", "warning_count", "info_count", "total_pages_analyzed"]
+# The fields of a report that a recording is compared by, in the order of their differences.
+REPORT_FIELDS = ["schema_version", "status", "error_count", "warning_count", "info_count", "total_pages_analyzed", "profile"]
 DIAGNOSTIC = ["id", "severity", "check_name", "message"]
 
 
@@ -115,14 +116,20 @@ def golden_diff(
 ) -> DataFrame:
     """(doc_id, difference): report fields that changed, findings that are missing or unexpected.
 
-    A changed list of executed checks (doc_id, checks_run) is told only where nothing else differs.
+    Of ``fields`` those are compared that either side has; a side without one counts as null. Findings are
+    compared null-safely. A changed list of executed checks (doc_id, checks_run) is told only where nothing
+    else differs.
     """
+    fields = [f for f in fields if f in expected.columns or f in actual.columns]
+
+    def whole(df):
+        return F.struct(*[F.col(f) if f in df.columns else F.lit(None).cast(dict(expected.dtypes + actual.dtypes)[f]).alias(f) for f in fields])
 
     def shown(c):
         return F.coalesce(c.cast("string"), F.lit("null"))
 
-    left = expected.select("doc_id", F.struct(*fields).alias("e"))
-    right = actual.select("doc_id", F.struct(*fields).alias("a"))
+    left = expected.select("doc_id", whole(expected).alias("e"))
+    right = actual.select("doc_id", whole(actual).alias("a"))
     changed = F.array_compact(
         F.array(
             *[
@@ -138,16 +145,21 @@ def golden_diff(
 
     def only(mine, other, label):
         key = ["doc_id", *DIAGNOSTIC]
-        rest = mine.select(*key).join(other.select(*key), key, "left_anti")
-        return rest.select("doc_id", F.concat(F.lit(label), F.concat_ws(" | ", *DIAGNOSTIC)).alias("difference"))
+        known = other.select(*[F.col(k).alias(f"_{k}") for k in key])
+        same = F.col("doc_id") == F.col("_doc_id")
+        for k in DIAGNOSTIC:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rest = mine.select(*key).join(known, same, "left_anti")
+        said = F.concat_ws(" | ", *[F.coalesce(k, F.lit("null")) for k in DIAGNOSTIC])
+        return rest.select("doc_id", F.concat(F.lit(label), said).alias("difference"))
 
     found = in_fields.unionByName(only(expected_findings, actual_findings, "missing: ")).unionByName(
         only(actual_findings, expected_findings, "unexpected: ")
     )
     if expected_run is None:
         return found
-    runs = expected_run.join(actual_run.withColumnRenamed("checks_run", "_got"), "doc_id").filter("checks_run <> _got")
+    runs = expected_run.join(actual_run.withColumnRenamed("checks_run", "_got"), "doc_id", "full").filter("not checks_run <=> _got")
     other = runs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(
-        "doc_id", F.concat(F.lit("checks that ran: expected "), "checks_run", F.lit(", got "), "_got").alias("difference")
+        "doc_id", F.concat(F.lit("checks that ran: expected "), shown(F.col("checks_run")), F.lit(", got "), shown(F.col("_got"))).alias("difference")
     )
     return found.unionByName(other)

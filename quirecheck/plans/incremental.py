@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirecheck.operators import checks as K, incremental as J
+from quirecheck.operators import checks as K, incremental as J, reports as R
 from quirecheck.plans import catalogue as C, oracle_tables as O
 from quirecheck.plans.registry import query
 from quirecheck.sources import standins as S
@@ -156,47 +156,55 @@ def timeout_findings(spark, d):
 
 # ---- golden reports ----
 
+_REPORTED = """select d.doc_id, case when count(i.id) filter (where severity = 'error') = 0 then 'PASS' else 'FAIL' end as status,
+    count(i.id) filter (where severity = 'error') as error_count, count(i.id) filter (where severity = 'warning') as warning_count,
+    count(i.id) filter (where severity = 'info') as info_count from documents d left join {} i on i.doc_id = d.doc_id group by d.doc_id"""
 _GOLDEN = {
-    "ereport": """select doc_id, count(*) filter (where severity = 'error') as error_count, count(*) filter (where severity = 'warning') as warning_count
-        from ident group by doc_id""",
+    "ereport": _REPORTED.format("ident"),
     "actual": """select doc_id, severity, check_name, case when doc_id % 7 = 0 then message || '!' else message end as message, page_no,
         occurrence from ident where doc_id % 5 <> 0""",
     "aident": """select *, 'Q-' || substr(sha256(check_name || chr(31) || message || chr(31) || occurrence::varchar), 1, 8) as id from actual""",
-    "areport": """select doc_id, count(*) filter (where severity = 'error') as error_count, count(*) filter (where severity = 'warning') as warning_count
-        from aident group by doc_id""",
+    "areport": _REPORTED.format("aident"),
+    "told": """select doc_id, f || ': expected ' || want || ', got ' || coalesce(got, 'null') as difference from
+             (select e.doc_id, unnest(['status', 'error_count', 'warning_count', 'info_count', 'profile']) as f,
+              unnest([e.status, e.error_count::varchar, e.warning_count::varchar, e.info_count::varchar, 'strict']) as want,
+              unnest([a.status, a.error_count::varchar, a.warning_count::varchar, a.info_count::varchar, case when e.doc_id % 11 <> 0 then 'strict' end]) as got
+              from ereport e left join areport a on a.doc_id = e.doc_id) e
+             where want is distinct from got
+           union all select doc_id, 'missing: ' || id || ' | ' || severity || ' | ' || check_name || ' | ' || message from ident i where not exists
+             (select 1 from aident a where a.doc_id = i.doc_id and a.id = i.id and a.severity = i.severity and a.message = i.message)
+           union all select doc_id, 'unexpected: ' || id || ' | ' || severity || ' | ' || check_name || ' | ' || message from aident a where not exists
+             (select 1 from ident i where a.doc_id = i.doc_id and a.id = i.id and a.severity = i.severity and a.message = i.message)""",
 }
 
 
 @query(
     "golden_diff",
     C.sql_findings(
-        """select e.doc_id, f || ': expected ' || want || ', got ' || coalesce(got::varchar, 'null') as difference from
-             (select e.doc_id, unnest(['error_count', 'warning_count']) as f, unnest([e.error_count, e.warning_count]) as want,
-              unnest([a.error_count, a.warning_count]) as got from ereport e left join areport a on a.doc_id = e.doc_id) e
-             where want is distinct from got
-           union all select doc_id, 'missing: ' || id || ' | ' || severity || ' | ' || check_name || ' | ' || message from ident i where not exists
-             (select 1 from aident a where a.doc_id = i.doc_id and a.id = i.id and a.severity = i.severity and a.message = i.message)
-           union all select doc_id, 'unexpected: ' || id || ' | ' || severity || ' | ' || check_name || ' | ' || message from aident a where not exists
-             (select 1 from ident i where a.doc_id = i.doc_id and a.id = i.id and a.severity = i.severity and a.message = i.message)""",
+        """select * from told union all
+           select doc_id, 'checks that ran: expected Enough words, No e-mail, Ends with a stop, Page length, got Enough words, No e-mail, Ends with a stop' as difference
+           from documents where doc_id % 3 = 0 and doc_id not in (select doc_id from told)""",
         **_GOLDEN,
     ),
 )
 def golden_diff(spark, d):
-    """Recorded findings against a run that lost some documents' findings and reworded others."""
+    """Recorded reports against a run that lost some documents' findings, reworded others, and ran fewer checks on some."""
     expected = checkpointed(K.identified(C.findings(spark, d)))  # a recording is written once and read often
     reworded = F.when(F.col("doc_id") % 7 == 0, F.concat("message", F.lit("!"))).otherwise(F.col("message"))
     actual = expected.filter(F.col("doc_id") % 5 != 0).withColumn("message", reworded)
     actual = actual.withColumn("id", K.fingerprint(F.col("check_name"), F.col("message"), F.col("occurrence")))
+    docs = S.documents(spark, d).select("doc_id", F.lit(1).cast("bigint").alias("page_count"))
 
-    def report(findings):
-        return findings.groupBy("doc_id").agg(
-            F.count_if(F.col("severity") == K.ERROR).alias("error_count"),
-            F.count_if(F.col("severity") == K.WARNING).alias("warning_count"),
-        )
+    def report(findings, profile):
+        return R.report_rollup(docs, findings).withColumn("profile", profile).withColumn("schema_version", F.lit(R.SCHEMA_VERSION))
 
-    return J.golden_diff(
-        report(expected), report(actual), expected, actual, fields=["error_count", "warning_count"]
-    )
+    def names(checks):
+        return F.lit(", ".join(c.name for c in checks))
+
+    strict = F.lit("strict")
+    run = docs.select("doc_id", names(C.all_checks()).alias("checks_run"))
+    fewer = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, names(C.document_checks())).otherwise(names(C.all_checks())).alias("checks_run"))
+    return J.golden_diff(report(expected, strict), report(actual, F.when(F.col("doc_id") % 11 != 0, strict)), expected, actual, run, fewer)
 
 
 @query(

@@ -170,3 +170,28 @@ def test_no_compared_page_is_no_similarity(spark):
     differences = spark.createDataFrame([(1, 1, 20.0), (1, 2, 0.0)], "doc_id long, page_no long, diff_percent double")
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     assert {r["doc_id"]: r["similarity"] for r in X.pixel_similarity(differences, docs).collect()} == {1: 90.0, 2: 0.0}
+
+
+def test_golden_difference_sees_nulls_and_every_field(spark):
+    from quirecheck.operators import incremental as J
+
+    report = "doc_id long, schema_version int, status string, profile string"
+    finding = "doc_id long, id string, severity string, check_name string, message string"
+    e, a = spark.createDataFrame([(1, 1, "PASS", "a")], report), spark.createDataFrame([(1, 2, "PASS", None)], report)
+    same = spark.createDataFrame([(1, "Q", "error", "c", None)], finding)
+    got = sorted(r["difference"] for r in J.golden_diff(e, a, same, same).collect())
+    assert got == ["profile: expected a, got null", "schema_version: expected 1, got 2"]
+    none = same.limit(0)
+    assert [r["difference"] for r in J.golden_diff(e, e, same, none).collect()] == ["missing: Q | error | c | null"]
+
+
+def test_line_differences_are_linear(spark):
+    import time
+
+    from quirecheck.functions import text
+
+    n = 200_000
+    df = spark.createDataFrame([("\n".join(f"old {i}" for i in range(n)), "\n".join(f"old {i}" if i % 2 else f"new {i}" for i in range(n)))], "a string, b string")
+    start = time.time()
+    row = df.select(F.size(text.line_diff(F.col("a"), F.col("b"))).alias("n"), text.diff_sample(F.col("a"), F.col("b"), 1).alias("s")).first()
+    assert row["n"] == n and row["s"] == " | -old 0 | +new 0" and time.time() - start < 60
