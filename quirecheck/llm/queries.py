@@ -123,3 +123,33 @@ ORACLES = {
         select query_id, rank::int as rank, vec_id, score from r where rank <= 5
     """,
 }
+
+
+def _secrets_sql() -> str:
+    """Every rule cut out of every text; the places follow from the lengths of pieces and matches."""
+    cuts = []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("(?<![0-9a-f])", "").replace("'", "''")  # runs are maximal from the left anyway
+        cuts.append(
+            f"select doc_id, {number} as number, '{rule.kind}' as kind, {rule.base} as base, {rule.least} as least, string_split_regex(text, '{pattern}') as pieces, "
+            f"regexp_extract_all(text, '{pattern}', 0) as matches, regexp_extract_all(text, '{pattern}', {rule.group}) as checked from t"
+        )
+    counted = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secrets.RULES if r.base)
+    sizes = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: length(x))), 0)"
+    return f"""
+        with t as (select doc_id, coalesce(text, '') as text from documents),
+        cuts as ({" union all ".join(cuts)}),
+        matched as (select *, unnest(range(1, len(matches) + 1)) as i from cuts),
+        spans as (
+            select doc_id, number, kind, base, ({sizes("pieces[1:i]")} + {sizes("matches[1:i-1]")})::bigint as start,
+                length(matches[i]) as size from matched where length(checked[i]) >= least
+        ),
+        listed as (select *, kind || ':' || start || ':' || (start + size) as span from spans)
+        select t.doc_id, {counted},
+            sha256(coalesce(string_agg(span, ',' order by start, number) filter (where base), '')) as base_sha256,
+            coalesce(string_agg(span, ',' order by start, number), '') as spans
+        from t left join listed on listed.doc_id = t.doc_id group by t.doc_id
+    """
+
+
+ORACLES["op5_secrets"] = _secrets_sql()
