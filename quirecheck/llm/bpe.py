@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirecheck.llm.shared import slices
+
 #: Pre-tokens of a generation that a worker remembers, and the longest one it remembers, in characters.
 REMEMBERED, LONGEST = 1 << 18, 48
 #: Matches handled at once, and bytes of text in one output batch.
@@ -163,17 +165,6 @@ def _encoder(words: list[bytes], pattern: str, vocabulary: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if held and held + size > most:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
     ids = [encoder.encode(t) for t in texts.to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -205,7 +196,7 @@ def encode(df: DataFrame, words: list[bytes], pattern: str, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value, pattern, vocabulary)
         for batch in batches:
-            for a, b in _slices(pc.binary_length(batch.column(0)).to_pylist(), CHARACTERS):
+            for a, b in slices(pc.binary_length(batch.column(0)).to_pylist(), CHARACTERS):
                 part = batch.slice(a, b - a)
                 ids = _encoded(encoder, part.column(0))
                 new = {out_col: ids} | ({decoded_col: _decoded(held.value, ids)} if decoded_col else {})
@@ -231,7 +222,7 @@ def decode(df: DataFrame, words: list[bytes], ids_col: str = "ids", out_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [4 * (s or 0) for s in batch.column(at).value_lengths().to_pylist()]
-            for a, b in _slices(sizes, CHARACTERS):
+            for a, b in slices(sizes, CHARACTERS):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, _decoded(held.value, part.column(at))], names=[*kept, out_col])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,18 @@ def in_fraction(hashed: Column, fraction: float) -> Column:
     return F.shiftrightunsigned(hashed, 11) < F.lit(int(fraction * (1 << 53)))
 
 
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows whose sizes add up to ``most`` at most, or of one row that is larger."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _changed(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
     return row["n"], row["h"]
