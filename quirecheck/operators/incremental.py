@@ -84,10 +84,14 @@ def timeout_findings(starts: DataFrame, finishes: DataFrame, seconds: int) -> Da
     )
     in_time = (F.col("last_here") >= at) | (F.col("first_next") <= at + span)
     late = starts.withColumn("slot", slot).join(reach, ["key", "slot"], "left").filter(~F.coalesce(in_time, F.lit(False)))
+    return late.select("key", "seq", *timeout_finding(seconds))
+
+
+def timeout_finding(seconds: int) -> list[Column]:
+    """Severity, check name and message of a timeout."""
+    # Fixed value: the message.
     message = F.lit(f"analysis did not finish within {seconds}s and was killed")
-    return late.select(
-        "key", "seq", F.lit(ERROR).alias("severity"), F.lit("timeout").alias("check_name"), message.alias("message")
-    )
+    return [F.lit(ERROR).alias("severity"), F.lit("timeout").alias("check_name"), message.alias("message")]
 
 
 # ---- golden reports ----

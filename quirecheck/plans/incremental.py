@@ -122,22 +122,39 @@ def settle_stream(spark, d):
     )
 
 
-_WATCHED = "select arg_max(seq, seq) as seq, path, arg_max(sha256, seq) as sha256, arg_max(exit, seq) as exit from arr group by path"
+_WATCHED = """select seq, path, sha256, case when sha256 >= 'c' then 2 when right(sha256, 1) <= '4' then 1 else 0 end::bigint as exit,
+    case when sha256 >= 'c' then 'FAIL' else 'PASS' end as status, (sha256 >= 'c')::bigint + (right(sha256, 1) <= '4')::bigint as findings
+    from (select arg_max(seq, seq) as seq, path, arg_max(sha256, seq) as sha256 from arr group by path)"""
+
+
+def _hash_checks():
+    """A catalogue for arrivals, of which only the hash is known."""
+    return [
+        K.Check("First half", F.col("sha256") < "c", F.concat(F.lit("starts with "), F.substring("sha256", 1, 1))),
+        K.Check("Last letter", F.substring("sha256", -1, 1) > "4", F.lit("ends low"), severity=K.WARNING),
+    ]
+
+
+def _watched(spark, d, kept):
+    arrivals = _arrival_stream(spark, d)
+    return arrivals, Y.checked(_hash_checks(), "hashes"), kept, scratch_path(spark, "watch-state"), scratch_path(spark, "watch-reports")
 
 
 @query("watch_stream", O.sql("arr", _WATCHED))
 def watch_stream(spark, d):
-    """Every path validated once, with its last content; the journal is what was written."""
-    journal, state = scratch_path(spark, "journal"), scratch_path(spark, "journal-state")
-    Y.watch(_arrival_stream(spark, d), lambda pending: pending, journal, state).awaitTermination()
-    return Y.journal(spark, journal).select("seq", "path", "sha256", "exit")
+    """Every path checked once, with its last content; journal and reports are what was written."""
+    arrivals, validate, journal, state, reports = _watched(spark, d, scratch_path(spark, "journal"))
+    Y.watch(arrivals, validate, journal, state, reports_path=reports).awaitTermination()
+    report = spark.read.parquet(reports).select(
+        "path", F.get_json_object("report", "$.status").alias("status"),
+        F.json_array_length(F.get_json_object("report", "$.diagnostics")).cast("bigint").alias("findings"),
+    )
+    return Y.journal(spark, journal).select("seq", "path", "sha256", "exit").join(report, "path")
 
 
 @query("watch_once", O.sql("arr", "select max(exit) as exit from (" + _WATCHED + ")"))
 def watch_once(spark, d):
-    return Y.watch_once(
-        _arrival_stream(spark, d), lambda pending: pending, scratch_path(spark, "journal"), scratch_path(spark, "journal-state")
-    )
+    return Y.watch_once(*_watched(spark, d, scratch_path(spark, "journal")))
 
 
 @query(
