@@ -31,6 +31,8 @@ MATCHES, CHARACTERS = 1 << 16, 1 << 21
 #: Bits of a word of the lower level of the bitmap; the upper level has a bit for each word.
 STEP = 8
 MASK = (1 << STEP) - 1
+#: Rank of what is no pair.
+NONE = 1 << 60
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -70,19 +72,29 @@ class Encoder:
         self.longest = max(map(len, words), default=0)
         self.pattern = regex.compile(pattern)
         self.low = [0] * ((len(words) >> STEP) + 1)  # the lower level of the bitmap; all zero between merges
-        self.pairs = {(a, b): self.ids.get(bytes((a, b))) for a in range(256) for b in range(256)}
+        self.pairs = [[self.ids.get(bytes((a, b)), NONE) for b in range(256)] for a in range(256)]
         self.remembered = Remembered(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token. The queue is written out in place, as calls would cost more than its steps."""
+        """Ids of one pre-token. The queue is written out in place, as calls would cost more than its steps.
+
+        Only pairs that no neighbour comes before are queued: the lowest rank of all is always such a pair,
+        and a merge can bring up four others, itself, its left neighbour and the pairs next to these two.
+        """
         rank_of = self.ids.get
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n, longest, low, buckets = len(piece), self.longest, self.low, {}
+        n, longest, low, buckets, pairs = len(piece), self.longest, self.low, {}, self.pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [*map(self.pairs.__getitem__, zip(piece, piece[1:])), None]  # of the pair that starts there
-        fresh, top = [(rank, at) for at, rank in enumerate(rank_at) if rank is not None], 0
+        ranks = [pairs[x][y] for x, y in zip(piece, piece[1:])]  # of the pair that starts there
+        ranks.append(NONE)
+        fresh, left_rank = [], NONE
+        for at, rank in enumerate(ranks):
+            if rank < left_rank and rank <= (ranks[at + 1] if at + 1 < n else NONE):
+                fresh.append((rank, at))
+            left_rank = rank
+        top = 0
         while True:
             for rank, at in fresh:  # into the queue; a bucket is a place or, of several, a heap
                 held = buckets.get(rank)
@@ -97,9 +109,9 @@ class Encoder:
                     buckets[rank] = [held, at] if held < at else [at, held]
                 else:
                     heapq.heappush(held, at)
-            fresh = []
             if not top:
                 break
+            fresh = []
             # Out of the queue: first set bits give the lowest rank, its bucket the leftmost place.
             word = (top & -top).bit_length() - 1
             bits = low[word]
@@ -115,24 +127,34 @@ class Encoder:
                 low[word] = bits
                 if not bits:
                     top &= top - 1
-            if rank_at[at] != rank:
+            if ranks[at] != rank:
                 continue  # stale
             gone = after[at]
-            rank_at[gone] = None
+            old_gone, ranks[gone] = ranks[gone], NONE
             after[at] = middle = after[gone]
-            rank_at[at] = None
+            new, middle_rank = NONE, NONE
             if middle < n:
                 before[middle] = at
-                end = after[middle]
+                middle_rank, end = ranks[middle], after[middle]
                 if end - at <= longest:
-                    rank_at[at] = new = rank_of(piece[at:end])
-                    if new is not None:
-                        fresh.append((new, at))
-            left = before[at]
+                    new = rank_of(piece[at:end], NONE)
+            ranks[at] = new
+            left, new_left = before[at], NONE
             if left >= 0:
-                rank_at[left] = new = rank_of(piece[left:middle]) if middle - left <= longest else None
-                if new is not None:
-                    fresh.append((new, left))
+                old_left = ranks[left]
+                if middle - left <= longest:
+                    new_left = rank_of(piece[left:middle], NONE)
+                ranks[left] = new_left
+                far = before[left]
+                far_rank = ranks[far] if far >= 0 else NONE
+                if new_left <= new and new_left < far_rank:
+                    fresh.append((new_left, left))
+                if old_left < far_rank <= new_left and far_rank < NONE and (before[far] < 0 or far_rank < ranks[before[far]]):
+                    fresh.append((far_rank, far))
+            if new <= middle_rank and new < new_left:
+                fresh.append((new, at))
+            if old_gone <= middle_rank < new and middle_rank <= (ranks[after[middle]] if after[middle] < n else NONE):
+                fresh.append((middle_rank, middle))
         out, at = [], 0
         while at < n:
             out.append(self.ids[piece[at : after[at]]])
@@ -172,8 +194,8 @@ def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
 
 
 def _decoded(words: list[bytes], lists: pa.ListArray) -> pa.Array:
-    of = words.__getitem__
-    return pa.array([b"".join(map(of, x.values.to_pylist())) if x.is_valid else None for x in lists], pa.binary())
+    of, ids, at = words.__getitem__, lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
+    return pa.array([b"".join(map(of, ids[a:b])) if known else None for a, b, known in zip(at, at[1:], lists.is_valid().to_pylist())], pa.binary())
 
 
 def _kept(df: DataFrame, *replaced: str) -> list[str]:
