@@ -16,9 +16,13 @@ from quirecheck.functions.values import rounded
 from quirecheck.operators.checks import ERROR, WARNING
 from quirecheck.operators.layout import printed
 from quirecheck.operators.ordinals import around
+from quirecheck.operators.unions import union_all
 from quirecheck.sources.checkpoints import checkpointed
 
-SLACK = 25  # pages by which the band is wider than the difference in length
+# Pages by which the band is wider than the difference in length, and the word overlap of a match.
+SLACK, OVERLAP = 25, 0.6
+#: Distinct words that both sides of one pair of pages can share: code points above the surrogates.
+MOST_WORDS = 0x10FFFF - 0xE001
 
 
 def prepared(pages: DataFrame, ignore_dates: bool = False, normalized: bool = False) -> DataFrame:
@@ -45,7 +49,7 @@ def changed_metadata(a: DataFrame, b: DataFrame) -> DataFrame:
 # ---- candidate pairs ----
 
 
-def _word_sets(pages: DataFrame, counts: DataFrame) -> DataFrame:
+def _word_sets(pages: DataFrame, counts: DataFrame, slack: int) -> DataFrame:
     """Distinct words of each page, the pair's band, and the words that must meet a match.
 
     Two sets with a Jaccard index of at least 3/5 share at least 3/5 of either set, so they share
@@ -56,7 +60,7 @@ def _word_sets(pages: DataFrame, counts: DataFrame) -> DataFrame:
     some = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
     ranked = F.sort_array(F.transform("words", lambda w: F.struct((-F.char_length(w)).alias("rank"), w.alias("word"))))
     keep = F.col("size") - F.floor((F.col("size") * 3 + 4) / 5).cast("int") + 1
-    band = F.abs(F.col("n") - F.col("m")) + SLACK
+    band = F.abs(F.col("n") - F.col("m")) + slack
     return (
         pages.select("doc_id", "page_no", some.alias("words"))
         .withColumn("size", F.size("words"))
@@ -65,15 +69,15 @@ def _word_sets(pages: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def page_matches(a: DataFrame, b: DataFrame) -> DataFrame:
+def page_matches(a: DataFrame, b: DataFrame, slack: int = SLACK) -> DataFrame:
     """(doc_id, i, j, band): pages that may be the same page of two versions.
 
     They have equal word sets, both none, or a Jaccard index of at least 0.6, and their numbers
-    differ by no more than the band, ``|n - m| + 25``. The band also cuts the join into diagonal
-    blocks, so a word on every page meets only the pages near it.
+    differ by no more than the band, ``|n - m| + slack``; pages further apart are not matched. The band
+    also cuts the join into diagonal blocks, so a word on every page meets only the pages near it.
     """
     counts = page_counts(a, b)
-    left, right = _word_sets(a, counts), _word_sets(b, counts)
+    left, right = _word_sets(a, counts, slack), _word_sets(b, counts, slack)
     block = F.floor(F.col("page_no") / (F.col("band") + 1))
     lefts = left.select(
         "doc_id", F.col("page_no").alias("i"), F.col("size").alias("size_a"), "band", block.alias("block"),
@@ -99,7 +103,7 @@ def page_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return (
         candidates.join(left.select("doc_id", F.col("page_no").alias("i"), F.col("words").alias("words_a")), ["doc_id", "i"])
         .join(right.select("doc_id", F.col("page_no").alias("j"), F.col("words").alias("words_b")), ["doc_id", "j"])
-        .filter(shared / union >= 0.6)
+        .filter(shared / union >= OVERLAP)
         .select("doc_id", "i", "j", "band")
     )
 
@@ -192,7 +196,7 @@ def align(matches: DataFrame) -> DataFrame:
     )
     unclear = matches.join(stretches, ["doc_id", "i"]).select("doc_id", "low_j", "i", "j", "band")
     searched = unclear.groupBy("doc_id", "low_j").applyInArrow(_align_segment, "doc_id long, i long, j long")
-    return anchors.unionByName(searched)
+    return union_all(anchors, searched)
 
 
 def structure_findings(counts: DataFrame, a: DataFrame, b: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def structure_findings(counts: DataFrame, a: DataFrame, b: DataFrame, aligned: D
         "doc_id",
         F.concat(F.lit("page count changed: "), F.col("n").cast("string"), F.lit(" → "), F.col("m").cast("string")).alias("message"),
     )
-    every = changed.unionByName(lost(a, "i", "removed")).unionByName(lost(b, "j", "inserted"))
+    every = union_all(changed, lost(a, "i", "removed"), lost(b, "j", "inserted"))
     return every.select("doc_id", F.lit(ERROR).alias("severity"), F.lit("structure").alias("check_name"), "message")
 
 
@@ -223,19 +227,16 @@ def _common_prefix(x: Column, y: Column) -> Column:
 def with_word_similarity(pairs: DataFrame, out: str = "similarity") -> DataFrame:
     """Adds 1 - word edit distance / longer word count of ``text_a`` and ``text_b``.
 
-    Words common to both ends change no distance and are cut off first. Each distinct word left
-    becomes one code point above the surrogates, and the built-in distance of characters counts words.
+    Words common to both ends change no distance and are cut off first. Each word left that both sides
+    have becomes one code point above the surrogates, and the built-in distance of characters counts
+    words. A word of one side only equals nothing, so one code point stands for all of them. More than
+    MOST_WORDS shared words raise an error.
     """
 
-    def coded(words):
-        return F.decode(
-            F.unhex(
-                F.array_join(
-                    F.transform(words, lambda w: F.lpad(F.hex(F.array_position("_vocabulary", w) + 0xE000), 8, "0")), ""
-                )
-            ),
-            "UTF-32",
-        )
+    def coded(words, alone):
+        place = lambda w: F.array_position("_shared", w)
+        code = lambda w: F.when(place(w) > 0, place(w) + 0xE001).otherwise(F.lit(alone))
+        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
 
     def rest(words, start):
         return F.slice(words, F.col(start) + 1, F.size(words) + 1)
@@ -253,12 +254,13 @@ def with_word_similarity(pairs: DataFrame, out: str = "similarity") -> DataFrame
         .withColumn("_tail", _common_prefix(F.col("_a"), F.col("_b")))
         .withColumn("_a", rest(F.col("_a"), "_tail"))
         .withColumn("_b", rest(F.col("_b"), "_tail"))
-        .withColumn("_vocabulary", F.array_union("_a", "_b"))
+        .withColumn("_shared", F.array_intersect("_a", "_b"))
         .withColumn(
             out,
             F.when(longest == 0, F.lit(1.0))
-            .when(F.size("_vocabulary") == 0, F.lit(1.0))
-            .otherwise(1 - F.levenshtein(coded(F.col("_a")), coded(F.col("_b"))) / longest),
+            .when((F.size("_a") == 0) & (F.size("_b") == 0), F.lit(1.0))
+            .when(F.size("_shared") > MOST_WORDS, F.raise_error(F.lit("too many distinct words on one page")).cast("double"))
+            .otherwise(1 - F.levenshtein(coded(F.col("_a"), 0xE000), coded(F.col("_b"), 0xE001)) / longest),
         )
         .select(*kept, out)
     )
@@ -311,16 +313,15 @@ def compare_versions(
     ignore_dates: bool = False,
     normalized: bool = False,
     threshold: float = 100.0,
+    slack: int = SLACK,
 ) -> tuple[DataFrame, DataFrame]:
-    """All page findings, and the overall similarity of each pair."""
+    """All page findings, and the overall similarity of each pair; ``slack`` as in :func:`page_matches`."""
     a, b = prepared(a, ignore_dates, normalized), prepared(b, ignore_dates, normalized)
     counts = page_counts(a, b)
-    aligned = align(page_matches(a, b))
+    aligned = align(page_matches(a, b, slack))
     similar = with_word_similarity(aligned_texts(a, b, aligned))
     overall = overall_similarity(counts, similar)
-    findings = (
-        structure_findings(counts, a, b, aligned)
-        .unionByName(text_findings(similar, threshold))
-        .unionByName(overall_findings(overall, threshold))
+    findings = union_all(
+        structure_findings(counts, a, b, aligned), text_findings(similar, threshold), overall_findings(overall, threshold)
     )
     return findings, overall

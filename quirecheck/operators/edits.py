@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.functions.values import half_away
 from quirecheck.operators.layout import printed
+from quirecheck.operators.unions import union_all
 
 N = "page_count"
 
@@ -95,7 +96,7 @@ def merge_documents(pages: DataFrame, appended: DataFrame) -> DataFrame:
     """Append pages (doc_id, page_no, ...) after the last page of the document of that number."""
     counts = pages.groupBy("doc_id").agg(F.count("*").alias(N))
     moved = appended.join(counts, "doc_id").withColumn("page_no", F.col("page_no") + F.col(N)).drop(N)
-    return pages.unionByName(moved)
+    return union_all(pages, moved)
 
 
 def rotate_pages(pages: DataFrame, degrees: int, page: int = 0) -> DataFrame:

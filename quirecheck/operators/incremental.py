@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.operators.checks import ERROR
+from quirecheck.operators.unions import union_all
 
 # The fields of a report that a recording is compared by, in the order of their differences.
 REPORT_FIELDS = ["schema_version", "status", "error_count", "warning_count", "info_count", "total_pages_analyzed", "profile"]
@@ -32,7 +33,7 @@ def journal_resume(arrivals: DataFrame, journal: DataFrame, validated: DataFrame
     """(path, exit): verdicts just reached, and the journal's for the paths that were skipped."""
     done = journal_latest(journal).filter(F.col("sha256") != "")
     skipped = done.join(arrivals.select("path", "sha256").distinct(), ["path", "sha256"], "left_semi")
-    return validated.select("path", "exit").unionByName(skipped.select("path", "exit"))
+    return union_all(validated.select("path", "exit"), skipped.select("path", "exit"))
 
 
 def batch_verdict(verdicts: DataFrame) -> DataFrame:
@@ -157,8 +158,8 @@ def golden_diff(
         said = F.concat_ws(" | ", *[F.coalesce(k, F.lit("null")) for k in DIAGNOSTIC])
         return rest.select("doc_id", F.concat(F.lit(label), said).alias("difference"))
 
-    found = in_fields.unionByName(only(expected_findings, actual_findings, "missing: ")).unionByName(
-        only(actual_findings, expected_findings, "unexpected: ")
+    found = union_all(
+        in_fields, only(expected_findings, actual_findings, "missing: "), only(actual_findings, expected_findings, "unexpected: ")
     )
     if expected_run is None:
         return found
@@ -166,4 +167,4 @@ def golden_diff(
     other = runs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id", F.concat(F.lit("checks that ran: expected "), shown(F.col("checks_run")), F.lit(", got "), shown(F.col("_got"))).alias("difference")
     )
-    return found.unionByName(other)
+    return union_all(found, other)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quirecheck.functions.text import normalize
 from quirecheck.functions.validators import digits_of
 from quirecheck.functions.values import let
+from quirecheck.operators.unions import union_all
 
 GRAM = 3
 
@@ -75,7 +76,7 @@ def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") ->
     # Only the first row of a name can answer.
     names = rows.groupBy("_name").agg(F.min("row_no").alias("row_no"))
     inside = containing(keys.filter(F.octet_length("_key") >= GRAM), names, "_key", "_name", "row_no")
-    first = equal.unionByName(inside).groupBy("_key").agg(F.min("row_no").alias("row_no"))
+    first = union_all(equal, inside).groupBy("_key").agg(F.min("row_no").alias("row_no"))
     answers = first.join(reference.select("row_no", "cells"), "row_no").select("_key", "cells")
     return asked.join(answers, "_key", "left").drop("_key")
 

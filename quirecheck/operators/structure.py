@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.sources.checkpoints import checkpointed
+from quirecheck.operators.unions import union_all
 
 # Actions worth reporting, file infrastructure, and marks of a resource kind.
 SUSPICIOUS = ["JavaScript", "Launch", "URI", "SubmitForm", "ImportData", "GoToR"]
@@ -57,7 +58,7 @@ def reachable(edges: DataFrame, roots: DataFrame, compact_every: int = 8) -> Dat
         step = edges.join(frontier.withColumnRenamed("node", "src"), ["doc_id", "src"], "left_semi")
         found = step.select("doc_id", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(found.join(seen, ["doc_id", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        seen = union_all(seen, frontier)
         rounds += 1
         if rounds % compact_every == 0:
             seen = checkpointed(seen)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quirecheck.functions import text as T
 from quirecheck.operators.checks import INFO, WARNING, Check, Rule, run_checks
+from quirecheck.operators.unions import union_all
 from quirecheck.plans import oracle_tables as O
 from quirecheck.sources import standins as S
 
@@ -52,7 +53,7 @@ def findings(spark, d) -> DataFrame:
     """Findings of the whole catalogue: one pass over documents, one over their pages."""
     docs = run_checks(counted(spark, d), document_checks())
     pages = run_checks(S.text_pages(spark, d), page_rules(), first_no=4)
-    return docs.unionByName(pages)
+    return union_all(docs, pages)
 
 
 SQL_COUNTED = f"select doc_id, text, len({O.words('text')})::bigint as words from documents"

@@ -11,6 +11,7 @@ from quirecheck.operators.ordinals import nth_element
 from quirecheck.plans import oracle_tables as O
 from quirecheck.plans.registry import query
 from quirecheck.sources import standins as S
+from quirecheck.operators.unions import union_all
 
 SEP = " ¦ "
 
@@ -120,7 +121,7 @@ def lookup_value(spark, d):
             (F.col(key) + start).cast("bigint").alias("row_no"), F.array(F.col(key).cast("string"), F.col(value)).alias("cells")
         )
 
-    reference = rows("nation", "n_nationkey", "n_name", 0).unionByName(rows("region", "r_regionkey", "r_name", 1000))
+    reference = union_all(rows("nation", "n_nationkey", "n_name", 0), rows("region", "r_regionkey", "r_name", 1000))
     requests = S.table(spark, d, "customer").select(
         F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40).cast("string").alias("key")
     )
@@ -205,7 +206,7 @@ def _postal_table(spark, d):
         (F.col("c_custkey") + 1).alias("row_no"),
         F.array((F.col("c_custkey") * 7 + 10000000).cast("string"), F.col("c_name"), F.col("n_name")).alias("cells"),
     )
-    return header.unionByName(rows)
+    return union_all(header, rows)
 
 
 def _postal_requests(spark, d):

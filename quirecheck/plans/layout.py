@@ -10,6 +10,7 @@ from quirecheck.operators import layout as L
 from quirecheck.plans import oracle_tables as O
 from quirecheck.plans.registry import query
 from quirecheck.sources import standins as S
+from quirecheck.operators.unions import union_all
 
 SEP = " ¦ "
 
@@ -73,7 +74,7 @@ def exact_tac(spark, d):
     """Per page, and per document on the row without a page number."""
     pages = S.inks(spark, d, numbered=True).groupBy("doc_id", "page_no").agg(L.exact_tac().alias("tac"))
     docs = pages.groupBy("doc_id").agg(F.max("tac").alias("tac"))
-    return pages.unionByName(docs.withColumn("page_no", F.lit(None).cast("bigint")))
+    return union_all(pages, docs.withColumn("page_no", F.lit(None).cast("bigint")))
 
 
 @query(

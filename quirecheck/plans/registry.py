@@ -17,18 +17,7 @@ class Query:
     oracle: str | None
 
     def build(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.builder(sound_session(spark), sf_dir)
-
-
-def sound_session(spark: SparkSession) -> SparkSession:
-    """Turn off a union optimisation that gives wrong groups.
-
-    Spark 4.1 plans a union of equally partitioned children without a shuffle for the grouping above
-    it. When adaptive execution then reuses one child's exchange, the union runs as a plain
-    concatenation and a group appears once per child.
-    """
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return spark
+        return self.builder(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {}

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirecheck.functions.text import strip
+from quirecheck.operators.unions import union_all
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -117,4 +118,4 @@ def json_rows(files: DataFrame) -> DataFrame:
     names = items.filter((F.col("i") == 0) & (kind(F.col("first")) == "an object")).select(
         F.lit(0).cast("bigint").alias("row_no"), header.alias("cells"), F.lit(None).cast("string").alias("error")
     )
-    return names.unionByName(rows)
+    return union_all(names, rows)

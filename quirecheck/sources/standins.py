@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quirecheck.functions.values import let
 from quirecheck.sources.reading import spread
+from quirecheck.operators.unions import union_all
 
 MAX_PIXEL = 255
 
@@ -162,7 +163,7 @@ def reference_rows(spark, d) -> DataFrame:
             F.col("p_brand"),
         ).alias("cells"),
     )
-    return header.unionByName(rows)
+    return union_all(header, rows)
 
 
 # ---- text pages, versions, conversations, web metadata ----
@@ -283,7 +284,7 @@ def edges(spark, d) -> DataFrame:
     nation = table(spark, d, "nation").select(node("r", "n_regionkey").alias("src"), node("n", "n_nationkey").alias("dst"))
     customer = table(spark, d, "customer").select(node("n", "c_nationkey").alias("src"), node("c", "c_custkey").alias("dst"))
     order = table(spark, d, "orders").select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"))
-    return nation.unionByName(customer).unionByName(order)
+    return union_all(nation, customer, order)
 
 
 def nodes(spark, d) -> DataFrame:
@@ -297,9 +298,9 @@ def nodes(spark, d) -> DataFrame:
             size.cast("bigint").alias("size"),
         )
 
-    return (
-        listed("region", "r", "r_regionkey", "Catalog", F.length("r_name"))
-        .unionByName(listed("nation", "n", "n_nationkey", "XRef", F.length("n_name")))
-        .unionByName(listed("customer", "c", "c_custkey", "Font", F.length("c_name")))
-        .unionByName(listed("orders", "o", "o_orderkey", "Stream/Image", F.floor("o_totalprice")))
+    return union_all(
+        listed("region", "r", "r_regionkey", "Catalog", F.length("r_name")),
+        listed("nation", "n", "n_nationkey", "XRef", F.length("n_name")),
+        listed("customer", "c", "c_custkey", "Font", F.length("c_name")),
+        listed("orders", "o", "o_orderkey", "Stream/Image", F.floor("o_totalprice")),
     )

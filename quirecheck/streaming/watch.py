@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quirecheck.operators import incremental as J, reports as R
 from quirecheck.operators.checks import Check, identified, run_checks
+from quirecheck.operators.unions import union_all
 
 JOURNAL_SCHEMA = "seq long, path string, sha256 string, exit long"
 JOURNAL = [c.split()[0] for c in JOURNAL_SCHEMA.split(", ")]
@@ -59,7 +60,7 @@ def _known(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
         latest = spark.read.schema(f"{JOURNAL_SCHEMA}, upto long").parquet(compacted).filter(F.col("upto") < batch_id)
         upto = latest.agg(F.max("upto")).first()[0]
         upto = -1 if upto is None else upto
-        return latest.filter(F.col("upto") == upto).select(*JOURNAL).unionByName(entries.filter(F.col("batch") > upto).select(*JOURNAL))
+        return union_all(latest.filter(F.col("upto") == upto).select(*JOURNAL), entries.filter(F.col("batch") > upto).select(*JOURNAL))
     return entries.select(*JOURNAL)
 
 
