@@ -157,7 +157,8 @@ def with_copies(df: DataFrame, plan: DataFrame, id_col: str, sources_col: str, s
     df = df.drop("copies")
     first = (_high() < F.col("_high")) | ((_high() == F.col("_high")) & F.coalesce(_rank() <= F.col("_last"), F.lit(False)))
     taken = F.col("_whole") + F.when((F.col("_more") > 0) & F.coalesce(first, F.lit(True)), 1).otherwise(0)
-    return _keyed(df, id_col, sources_col, seed).join(plan, "_pattern").select(*df.columns, taken.cast("int").alias("copies"))
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(sources_col).alias("sources"))
+    return _keyed(packed, "id", "sources", seed).join(plan, "_pattern").select("row.*", taken.cast("int").alias("copies"))
 
 
 def mix(df: DataFrame, quotas: dict, id_col: str = "id", sources_col: str = "sources", size_col: str = "size", most: int = 2, seed: int = 17) -> DataFrame:
@@ -200,5 +201,6 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """The rows of ``df`` as the mix of ``mix_by_source`` takes them: each as often as its copies say."""
     slim = _slim(df, id_col, source_col, text_col)
     plan = plan_mix(slim, _quotas(slim, weights, share, most)[1], most)
-    taken = with_copies(df.withColumn("_sources", F.array(source_col)), plan, id_col, "_sources")
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+    packed = df.select(F.struct(*df.columns).alias("doc"), F.col(id_col).alias("id"), F.array(source_col).alias("sources"))
+    taken = with_copies(packed, plan, "id", "sources").where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

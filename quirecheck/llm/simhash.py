@@ -209,5 +209,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("hash"))
     groups = near_duplicates(df.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", radius, shingle)
     kept = groups.where(F.col("_row") == F.col("component_id")).select("_row.hash", F.col("_row.id").alias("_id")).distinct()
-    found = df.withColumn("hash_", F.xxhash64(*df.columns)).join(kept, (F.col("hash_") == F.col("hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["hash_"]).select(*df.columns)
+    packed = df.select(F.struct(*df.columns).alias("row"), F.xxhash64(*df.columns).alias("row_hash"))
+    found = packed.join(kept, (F.col("row_hash") == F.col("hash")) & F.col(f"row.{id_col}").eqNullSafe(F.col("_id")), "left_semi")
+    return found.dropDuplicates(["row_hash"]).select("row.*")

@@ -80,6 +80,10 @@ def test_odd_documents():
     spark = session()
     rows = [(1, None, "en", None, None), (1, None, "en", None, None), (None, "", None, "a", 0), (2, "token=" + "a" * 50, "en", "a", 56), (2, "other words stand in this one", "en", "b", 9), (3, "word " * 100_000, None, "b", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    named = docs.selectExpr("*", "1 as copies", "2 as hash", "3 as row", "4 as id", "5 as _pattern", "6 as _whole", "7 as kinds", "8 as ids", "9 as doc")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, SF_DIR)
+        assert out.columns == named.columns and {r["copies"] for r in out.collect()} <= {1}
     for docs in (docs, docs.limit(0)):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES:
