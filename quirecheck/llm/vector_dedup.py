@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quirecheck.llm.shared import components, in_fraction
 from quirecheck.sources.checkpoints import checkpointed
 
-#: Vectors that the centres are fitted on, about; all vectors are assigned.
-SAMPLE = 20_000
+#: Vectors of WIDTH numbers that the centres are fitted on, about, and as many numbers of longer ones; all vectors are assigned.
+SAMPLE, WIDTH = 20_000, 64
 #: Vectors a cell should own, the most cells, and the rounds of k-means.
 CELL, CELLS, ROUNDS = 2_000, 1_024, 8
 #: Rows on either side of one matrix product.
@@ -33,9 +33,10 @@ def usable(vector: Column) -> Column:
 
 
 def fit_centres(nodes: DataFrame, total: int, dim: int, seed: int = 7) -> np.ndarray:
-    """Unit centres of spherical k-means, fitted on a sample of about SAMPLE vectors of length ``dim``."""
-    k = max(1, min(CELLS, total // CELL))
-    drawn = nodes.where((F.size("v") == dim) & in_fraction(F.xxhash64("node"), SAMPLE / max(total, 1))).select("node", "v").collect()
+    """Unit centres of spherical k-means, fitted on a sample of bounded size of the vectors of length ``dim``."""
+    most = SAMPLE * WIDTH / max(dim, WIDTH)
+    k = max(1, min(CELLS, total // CELL, int(most)))
+    drawn = nodes.where((F.size("v") == dim) & in_fraction(F.xxhash64("node"), most / max(total, 1))).select("node", "v").collect()
     points = np.array([r["v"] for r in sorted(drawn)], np.float64).reshape(-1, dim)
     points = _units(points)
     k = max(1, min(k, len(points)))
