@@ -306,6 +306,43 @@ def _sql_changes(body: str) -> str:
     return O.sql("rgb", body, **_CHANGES)
 
 
+def _sql_blur(source: str, last_x: int) -> dict[str, str]:
+    """Means of three along both axes, edges repeated; the second step is the blurred page."""
+
+    def one(table, axis, other, last):
+        means = ", ".join(f"sum(q.{c})::int // 3 as {c}" for c in "rgb")
+        return f"""select p.page_id, p.x, p.y, {means} from {table} p cross join (select unnest([-1, 0, 1]) as k) join {table} q on q.page_id = p.page_id
+            and q.{other} = p.{other} and q.{axis} = least(greatest(p.{axis} + k, 0), {last}) group by p.page_id, p.x, p.y"""
+
+    cut = f"(select * from rgb where x <= {last_x})"
+    return {f"{source}_mid": one(cut, "x", "y", last_x), source: one(f"{source}_mid", "y", "x", 7)}
+
+
+_BLURRED = {
+    **_sql_blur("soft_a", 7),
+    **_sql_blur("soft_b", 5),
+    "soft_canvas": """select a.page_id, a.x, a.y, a.r as r1, a.g as g1, a.b as b1, coalesce(b.r, 255) as r2, coalesce(b.g, 255) as g2,
+        coalesce(b.b, 255) as b2 from soft_a a left join soft_b b on b.page_id = a.page_id + 1 and b.x = a.x and b.y = a.y
+        where a.page_id + 1 in (select page_id from rgb)""",
+}
+
+
+@query(
+    "pixel_compare",
+    O.sql(
+        "rgb",
+        """select page_id // 10 as doc_id, page_id % 10 + 1 as page_no, 0 as dx, 0 as dy,
+           round(count(*) filter (where differs) / count(*)::double * 100, 6) as diff_percent, count(distinct case when differs then (x // 2, y // 2) end) as areas
+           from (select *, sqrt((r1-r2)^2 + (g1-g2)^2 + (b1-b2)^2) / 441.67 > 0.05 as differs from soft_canvas) group by page_id""",
+        **_BLURRED,
+    ),
+)
+def pixel_compare(spark, d):
+    """Blurred pages compared in one pass; where they lie is fixed, as pages so small fit best at any place."""
+    found = R.compare_rasters(_color_pairs(spark, d), blur=1, align=False, block=2)
+    return found.select("doc_id", "page_no", "dx", "dy", F.round("diff_percent", 6).alias("diff_percent"), F.col("areas").cast("bigint").alias("areas"))
+
+
 @query("pixel_classify", _sql_changes("select page_id, x, y, class from cls"))
 def pixel_classify(spark, d):
     changed = R.with_changes(_color_pairs(spark, d)).select("page_id", "width", F.posexplode("classes").alias("i", "class"))
