@@ -105,10 +105,11 @@ def _products(k: int):
                 scores = _inner(np.pad(q, ((0, 0), (0, width - q.shape[1]))), np.pad(c, ((0, 0), (0, width - c.shape[1]))))
                 best = []
                 for q_id, line in zip(q_ids, scores):
-                    # One more than k, as the query itself may be among them.
-                    least = np.partition(line, len(line) - k - 1)[len(line) - k - 1] if len(line) > k + 1 else None
-                    at = np.arange(len(line)) if least is None else np.concatenate([np.flatnonzero(line > least), np.flatnonzero(line == least)[: k + 1]])
-                    at = at[ids[at] != q_id]
+                    # The query's own rows, however many they are, take no places.
+                    others = np.flatnonzero(ids != q_id)
+                    kept = line[others]
+                    least = np.partition(kept, len(kept) - k)[len(kept) - k] if len(kept) > k else None
+                    at = others if least is None else others[np.concatenate([np.flatnonzero(kept > least), np.flatnonzero(kept == least)[:k]])]
                     at = at[_order(line[at], ids[at])][:k]
                     best.append([{"minus": -int(line[i]), "id": int(ids[i])} for i in at])
                 yield pa.RecordBatch.from_arrays(

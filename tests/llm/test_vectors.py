@@ -96,6 +96,20 @@ def test_top_k_equals_a_full_sort(monkeypatch, tile, big):
     assert not got and topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df.limit(1), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 10])
+def test_top_k_of_a_repeated_query(copies):
+    spark = session()
+    rows = [(0, [10])] * copies + [(i, [6 - i]) for i in range(1, 6)]  # scores of the others: 50, 40, 30, 20, 10
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").coalesce(1)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")  # one tile
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0, k=5).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shards))
+    assert got == [(i, i, 10 * (6 - i)) for i in range(1, 6)]
+
+
 def test_quantised():
     spark = session()
     rows = [([0.5, -0.001],), ([float("nan")],), ([None, 1.0],), (None,), ([],), ([float("-inf")],)]
