@@ -39,7 +39,8 @@ RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # The whole key: its body up to the END line or the end of the text, over header lines such as DEK-Info.
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:(?:-[A-Za-z]+)+: *[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*[^-]*)*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quirecheck.llm import secrets
-from quirecheck.llm.queries import op5_secrets
-from tests.support import session
+from quirecheck.llm.queries import ORACLES, op5_secrets
+from tests.support import compare, session
 
 SF_DIR = "/root/testdata/sf0.01"
 KINDS = ["assign", "access", "hex"]
@@ -67,6 +68,24 @@ def test_redaction():
     assert sorted(r["t"] for r in out) == ["", "clean", "é [SECRET] end"]
 
 
+def test_no_part_of_a_private_key_is_left(tmp_path):
+    spark, rng = session(), random.Random(9)
+    lines = ["".join(rng.choice("QRSTUVWXYZ+/0123456789") for _ in range(64)) for _ in range(400)]
+    body = "\n".join(lines) + "\n"
+    coded = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,7A01B2C3D4E5F60718293A4B5C6D7E8F\n\n"
+    head, end = "-----BEGIN {}PRIVATE KEY-----", "-----END {}PRIVATE KEY-----"
+    keys = [head.format(k) + "\n" + c + b + e for k in ("", "RSA ") for c in ("", coded) for b in (body, body.replace("\n", "\\n"), body[:-9] + "==\n") for e in (end.format(k), "")]
+    texts = {i: f"see é-below: {k}" + (" and-after" if "END" in k else "") for i, k in enumerate(keys)}
+    texts[900] = f"{keys[0]}\nbetween-keys\n{keys[0]}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["t"] for r in secrets.find_secrets(df).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert out == {i: "see é-below: [SECRET]" + (" and-after" if "END" in k else "") for i, k in enumerate(keys)} | {900: "[SECRET]\nbetween-keys\n[SECRET]"}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(op5_secrets(spark, str(tmp_path)), con, ORACLES["op5_secrets"])[0] == ""
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_every_match_satisfies_its_query(rule):
     examples = {
