@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirecheck.llm import bpe, class_lm, licenses, mixing, quality, secrets, simhash, topk, url_filter, vector_dedup
+from quirecheck.llm import bpe, class_lm, licenses, mixing, quality, runs, secrets, simhash, topk, url_filter, vector_dedup
+from quirecheck.llm.shared import WORD, whole_text
 
 #: Fixed rules: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -72,7 +73,26 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k)}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = runs.longest_run(F.col("runs"))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text); each tenth text, by h = crc32(doc_id), repeats itself from word a on, with a period that h gives."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("long")
+    words = F.when(h % 10 == 0, F.regexp_extract_all(whole_text(), F.lit(WORD), 0))
+    cut = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words").cast("long"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    planted = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k, op13_runs)}
 
 ORACLES = {
     "op1_url_filter": r"""
