@@ -33,3 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so lost executors cost no replay."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet in a ``scratch_path``, to be discarded after its last reader."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders whose readers are done; on a shared disk they would pile up."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
