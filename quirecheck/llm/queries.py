@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirecheck.llm import bpe, class_lm, licenses, mixing, quality, runs, secrets, simhash, topk, url_filter, vector_dedup
+from quirecheck.llm import bpe, class_lm, collocations, licenses, mixing, quality, runs, secrets, simhash, topk, url_filter, vector_dedup
 from quirecheck.llm.shared import WORD, whole_text
 
 #: Fixed rules: host, path, verdict.
@@ -73,6 +73,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
     best = runs.longest_run(F.col("runs"))
@@ -92,7 +96,7 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k, op13_runs)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k, op11_collocations, op13_runs)}
 
 ORACLES = {
     "op1_url_filter": r"""
@@ -130,6 +134,38 @@ ORACLES = {
         )
         select id as vec_id, (select count(*) from links where a = id) as n_links, component_id, id = component_id as kept from parts
     """,
+    "op11_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents where text is not null
+        ), w as materialized (
+            select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+        ), f as materialized (
+            select lang, p, m, count(*) as f from (
+                select lang, 1 as m, unnest(w) as p from w
+                union all select lang, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) from w where len(w) > 1
+                union all select lang, 3, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3])) from w where len(w) > 2
+            ) group by lang, p, m
+        ), n as (
+            select lang, sum(f) as n from f where m = 1 group by lang
+        ), often as materialized (
+            select * from f where f >= 10
+        ), parts as (
+            select lang, p, m, f as a, k, array_to_string(string_split(p, ' ')[1:k], ' ') as p_l, array_to_string(string_split(p, ' ')[k+1:], ' ') as p_r from often, range(1, 3) as t(k) where k < m
+        ), cuts as (
+            select c.lang, c.p, c.m, c.a, k, l.f as l, r.f as r, c.a::hugeint * c.a * 1000000 // (l.f::hugeint * r.f) as score
+            from parts c join often l on l.lang = c.lang and l.p = p_l join often r on r.lang = c.lang and r.p = p_r
+        ), best as (
+            select lang, p, m, a, l, r, score from cuts qualify row_number() over (partition by lang, p order by score, k) = 1
+        ), around as (
+            select lang, p, max(a) as f from (select lang, unnest([p_l, p_r]) as p, a from parts where m = 3) group by lang, p
+        ), kept as (
+            select b.*, b.p as phrase from best b left join around on b.m = 2 and around.lang = b.lang and around.p = b.p where around.f is null or 100 * around.f < 50 * b.a
+        ), ranked as (
+            select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+        )
+        select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked join n using (lang) where rank <= 2000
+    """,
     "op10_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
