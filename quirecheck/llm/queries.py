@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirecheck.llm import bpe, class_lm, collocations, licenses, mixing, quality, runs, secrets, simhash, topk, url_filter, vector_dedup
+from quirecheck.llm import bpe, class_lm, collocations, licenses, mixing, neighbours, quality, runs, secrets, simhash, topk, url_filter, vector_dedup
 from quirecheck.llm.shared import WORD, whole_text
 
 #: Fixed rules: host, path, verdict.
@@ -77,6 +77,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
     best = runs.longest_run(F.col("runs"))
@@ -96,7 +100,7 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k, op11_collocations, op13_runs)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_vector_dedup, op3_bpe, op4_quality, op5_secrets, op6_simhash, op7_mixing, op8_licenses, op9_class_lm, op10_top_k, op11_collocations, op12_neighbours, op13_runs)}
 
 ORACLES = {
     "op1_url_filter": r"""

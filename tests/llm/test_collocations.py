@@ -103,10 +103,13 @@ def rows_for_tests():
     return rows + [("de", None), (None, None), ("fr", ""), ("de", "New York City " * 400), ("de", "a a a a a a a a a a a a a")]
 
 
-@pytest.mark.parametrize("held, slice_, range_, step", [(2_000_000, 1 << 22, 2_000_000, 50_000), (300, 64, 40, 8)])
-def test_collocations_equal_a_plain_count(monkeypatch, held, slice_, range_, step):
-    for name, value in (("HELD", held), ("SLICE", slice_), ("RANGE", range_), ("STEP", step)):
-        monkeypatch.setattr(collocations, name, value)
+CUTS = {"de": [(b"\x01",), (b"a", b"a"), (b"b", b"c", b"new"), (b"c",), (b"city", b"new", b"york"), (b"new", b"york"), (b"x",), (b"york", b"b")], "und": [(b"c", b"c")], "": [(b"a",)]}
+
+
+@pytest.mark.parametrize("cuts", [None, CUTS])
+def test_collocations_equal_a_plain_count(monkeypatch, cuts):
+    if cuts:
+        monkeypatch.setattr(collocations, "boundaries", lambda shards: cuts)
     rows = rows_for_tests()
     df = session().createDataFrame([(lang, text, 1, "x") for lang, text in rows], "lang string, text string, n int, phrase string").repartition(5)
     want = plain(rows)
@@ -117,6 +120,28 @@ def test_collocations_equal_a_plain_count(monkeypatch, held, slice_, range_, ste
     assert sorted(map(tuple, few.collect())) == plain(rows, 5, 90, 3)
 
 
+def test_shards_of_bounded_size(monkeypatch):
+    for name, value in (("HELD", 50), ("SLICE", 16), ("STEP", 7)):
+        monkeypatch.setattr(collocations, name, value)
+    text = b"New york, new York city. a b c a b c\td e f " * 20 + b"x" * 100
+    held = collocations._Held()
+    held.add(text)
+    assert len(held.ids) > 20
+    shards = [r for batch in collocations._rows("de", held) for r in batch.to_pylist()]
+    assert len(shards) > 3 and all(len(r["marks"]) >= r["entries"] // 7 for r in shards)
+    words, levels = automata.union([CountAutomaton.from_bytes(r["automaton"]) for r in shards], 3)
+    got = {" ".join(words[i].decode() for i in row): n for ids, weight in levels for row, n in zip(ids.tolist(), weight.tolist())}
+    assert sum(r["tokens"] for r in shards) == 20 * 14 + 1 and got["new york city"] == 20 and got["a b c"] == 40 and got["c d e"] == 20 and "york new york" not in got and got["e f new"] == 19
+
+
+def test_ranges_follow_the_marks(monkeypatch):
+    monkeypatch.setattr(collocations, "RANGE", 2)
+    monkeypatch.setattr(collocations, "STEP", 1)
+    df = session().createDataFrame([("x", [[b"%03d" % i] for i in range(100)]), ("y", [])], "lang string, marks array<array<binary>>")
+    cuts = collocations.boundaries(df)["x"]
+    assert 50 <= len(cuts) <= 60 and cuts == sorted(set(cuts))
+
+
 def test_products_beyond_64_bits():
     words = [b"a", b"b"]
     big = 3 << 58
