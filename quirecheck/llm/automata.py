@@ -82,7 +82,7 @@ def _registered(edges: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.n
     state = np.zeros(len(starts), np.int64)
     single = np.flatnonzero(size == 1)
     rows = edges[starts[single]]
-    order = np.lexsort(rows.T[::-1])
+    order = np.argsort(codes(rows, apart=True))
     rows = rows[order]
     new = np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)]
     state[single[order]] = first + np.cumsum(new) - 1
@@ -100,14 +100,15 @@ def _registered(edges: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.n
     return state, np.concatenate(sizes), np.concatenate(kept)
 
 
-def codes(ids: np.ndarray) -> np.ndarray:
-    """One number for each row of ``ids``, in the order of the rows."""
+def codes(ids: np.ndarray, apart: bool = False) -> np.ndarray:
+    """One number for each row of ``ids``, in the order of the rows; columns of very different size may be kept ``apart``."""
     if not ids.shape[1]:
         return np.zeros(len(ids), np.int64)
     bits = int(ids.max(initial=0)).bit_length()
     code = ids[:, 0].astype(np.int64)
-    used = bits
+    used = int(code.max(initial=0)).bit_length()
     for c in range(1, ids.shape[1]):
+        bits = int(ids[:, c].max(initial=0)).bit_length() if apart else bits
         if used + bits > 63:  # the rank of what stands before is enough
             code = np.unique(code, return_inverse=True)[1].astype(np.int64)
             used = len(code).bit_length()

@@ -1,14 +1,15 @@
 """Collocations mined with weighted acyclic automata.
 
-Each task counts the phrases of its texts and builds, from the sorted phrases, acyclic automata whose edges
-carry counts, equal states of one depth once. The automata are cut at common boundaries into ranges of phrases; the parts of one range meet
-in a task, which forms their union with summed weights and keeps the frequent phrases. To look up the parts
+Each task counts the phrases of its texts, sorts them, cuts them at common boundaries into ranges, and builds
+for each range an acyclic automaton whose edges carry counts, equal states of one depth once. The automata of
+one range meet in a task, which forms their union with summed weights and keeps the frequent phrases. To look up the parts
 of its candidates a range sends the automaton of those parts to the ranges that hold them; composing it with
 the automaton there gives their counts. A part is asked for once per range, however many candidates share it.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -24,48 +25,49 @@ from quirecheck.sources.checkpoints import checkpointed, discard, scratch_path,
 
 #: Longest phrase.
 WORDS = 3
-#: Tokens a task holds before it builds an automaton, and bytes of a text taken apart at once.
-HELD, SLICE = 2_000_000, 1 << 22
-#: Phrases of the shards' automata that make a range, about, and how many of them stand for themselves when boundaries are chosen.
-RANGE, STEP = 2_000_000, 50_000
+#: Tokens a task holds before it builds automata, and bytes of a text taken apart at once.
+HELD, SLICE = 1_000_000, 1 << 22
+#: Phrases of the tasks that make a range, about; the share of the texts that boundaries are drawn from, and marks for each range.
+RANGE, SHARE, MARKS = 2_000_000, 1 / 32, 16
 #: Bytes that part a text into pieces, as they stand in the table of a translation to full stops.
 _PARTED = bytes(ord(".") if i in b".,;:!?\n\x0b\x0c\r" else i for i in range(256)).lower()
-#: The number of what parts pieces; words have numbers from 0.
+#: The number of what parts pieces; words have numbers from 0 when they are in order.
 _MARK = -1
 
 
 class _Held:
-    """Tokens of texts of one language, as numbers."""
+    """Tokens of texts of one language, as numbers in order of appearance; 0 is what parts pieces."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[b"."]
         self.ids: list[np.ndarray] = []
         self.size = 0
 
     def add(self, text: bytes) -> None:
-        number, end = self.number, 0
+        end = 0
         while end < len(text):
             start, end = end, end + SLICE
             while end < len(text) and text[end] not in b" \t":  # words stay whole
                 end += 1
             tokens = text[start:end].translate(_PARTED).replace(b".", b" . ").split()
-            self.ids.append(np.fromiter((_MARK if t == b"." else number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens)))
+            self.ids.append(np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens)))
             self.size += len(tokens)
-        self.ids.append(np.array([_MARK], np.int64))
+        self.ids.append(np.zeros(1, np.int64))
         self.size += 1
 
-    def shards(self) -> Iterator[tuple[int, list[bytes], list[Level]]]:
-        """(words counted, words, levels) of stretches of bounded size; every phrase is counted where it starts."""
-        words = sorted(self.number)
+    def shards(self) -> Iterator[tuple[list[bytes], list[Level]]]:
+        """(words, levels) of stretches of bounded size; every phrase is counted where it starts."""
+        words = sorted(w for w in self.number if w != b".")
         rank = np.empty(len(words) + 1, np.int64)
         rank[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
-        rank[_MARK] = _MARK
+        rank[0] = _MARK
         ids = np.concatenate([rank[np.concatenate(self.ids)], np.full(WORDS, _MARK)])
         self.ids = []
         for at in range(0, len(ids) - WORDS, HELD):
             n = min(HELD, len(ids) - WORDS - at)
-            levels = _counted([ids[at + k : at + k + n] for k in range(WORDS)], len(words))
-            yield int(levels[0][1].sum()), words, levels
+            yield words, _counted([ids[at + k : at + k + n] for k in range(WORDS)], len(words))
 
 
 def _counted(columns: list[np.ndarray], size: int) -> list[Level]:
@@ -82,36 +84,23 @@ def _counted(columns: list[np.ndarray], size: int) -> list[Level]:
     return out
 
 
-def shard_automata(texts: DataFrame) -> DataFrame:
-    """(lang, tokens, entries, automaton, marks) over (lang, text): automata of parts of the texts, and every STEP-th phrase of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, _Held] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                if text.is_valid and len(text.as_buffer()):
-                    held.setdefault(lang, _Held()).add(text.as_buffer().to_pybytes())
-                while sum(h.size for h in held.values()) > HELD:
-                    largest = max(held, key=lambda k: held[k].size)
-                    yield from _rows(largest, held.pop(largest))
-        for lang in list(held):
-            yield from _rows(lang, held.pop(lang))
-
-    return texts.mapInArrow(run, "lang string, tokens long, entries long, automaton binary, marks array<array<binary>>")
-
-
-def _rows(lang: str, held: _Held) -> Iterator[pa.RecordBatch]:
-    for tokens, words, levels in held.shards():
-        words, levels = renumbered(words, levels)
-        automaton = CountAutomaton.build(words, levels)
-        entries = sum(len(weight) for _, weight in levels)
-        # Where the first mark stands depends on the phrases, so small automata count with their share.
-        offset = int(np.bitwise_xor.reduce(levels[-1][0].sum(1) * 0x9E3779B1 + levels[-1][1], initial=entries)) % STEP if entries else 0
-        marks = _phrases_at(words, levels, np.arange(offset, entries, STEP))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([tokens], pa.int64()), pa.array([entries], pa.int64()), pa.array([automaton.to_bytes()], pa.binary()), pa.array([marks], pa.list_(pa.list_(pa.binary())))],
-            names=["lang", "tokens", "entries", "automaton", "marks"],
-        )
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], list[Level]]]:
+    """Sorted phrase counts of parts of the texts (lang, text)."""
+    held: dict[str, _Held] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            if text.is_valid and len(text.as_buffer()):
+                own = held.setdefault(lang, _Held())
+                size -= own.size
+                own.add(text.as_buffer().to_pybytes())
+                size += own.size
+            while size > HELD:
+                largest = max(held, key=lambda k: held[k].size)
+                size -= held[largest].size
+                yield from ((largest, *shard) for shard in held.pop(largest).shards())
+    for lang in list(held):
+        yield from ((lang, *shard) for shard in held.pop(lang).shards())
 
 
 def _phrases_at(words: list[bytes], levels: list[Level], at: np.ndarray) -> list[list[bytes]]:
@@ -123,13 +112,26 @@ def _phrases_at(words: list[bytes], levels: list[Level], at: np.ndarray) -> list
     return [[words[(x - 2) // 2] for x in row if x] for row in chosen.tolist()]
 
 
-def boundaries(shards: DataFrame) -> dict[str, list[tuple[bytes, ...]]]:
-    """Phrases that cut each language into ranges of about RANGE phrases, twice that at most: one phrase per range comes to the driver."""
-    marks = shards.select("lang", F.explode("marks").alias("mark"))
-    ordered = marks.repartitionByRange(partitions(shards.sparkSession), "lang", "mark").sortWithinPartitions("lang", "mark")
+def boundaries(texts: DataFrame) -> dict[str, list[tuple[bytes, ...]]]:
+    """Phrases that cut each language into ranges of about RANGE phrases: one phrase per range comes to the driver.
+
+    They are drawn from a share of the texts; which ones decides how large the ranges are and nothing else.
+    """
+    step = max(1, int(RANGE * SHARE / MARKS))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, levels in _shards(batches):
+            entries = sum(len(weight) for _, weight in levels)
+            # Where the first mark stands depends on the phrases, so that small parts count with their share.
+            first = int((levels[0][0].sum() * 0x9E3779B1 + entries) % step)
+            found = _phrases_at(words, levels, np.arange(first, entries, step))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.list_(pa.binary()))], names=["lang", "mark"])
+
+    drawn = texts.sample(SHARE, seed=7).mapInArrow(marks, "lang string, mark array<binary>")
+    ordered = drawn.repartitionByRange(partitions(texts.sparkSession), "lang", "mark").sortWithinPartitions("lang", "mark")
     # The low bits number the rows of each sorted part.
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    chosen = ordered.select("lang", "mark", number.alias("number")).where(F.col("number") % max(1, RANGE // STEP) == 0)
+    chosen = ordered.select("lang", "mark", number.alias("number")).where(F.col("number") % MARKS == 0)
     out: dict[str, list] = {}
     for row in chosen.select("lang", "mark").distinct().collect():
         out.setdefault(row["lang"], []).append(tuple(map(bytes, row["mark"])))
@@ -150,34 +152,30 @@ def _grouped(df: DataFrame, work: Callable[[str, int, Iterator[tuple]], Iterator
 
 #: What a row of a range is: its counts, parts others ask for, counts they answer, what longer candidates contain.
 _COUNTS, _ASKED, _ANSWERED, _CONTAINED = range(4)
-_PIECE = "lang string, range int, kind int, origin int, automaton binary"
+_PIECE = "lang string, range int, kind int, origin long, automaton binary"
 
 
 def _piece(lang: str, number: int, kind: int, origin: int, words: list[bytes], levels: list[Level]) -> pa.RecordBatch:
     automaton = CountAutomaton.build(*renumbered(words, levels)).to_bytes()
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang]), pa.array([number], pa.int32()), pa.array([kind], pa.int32()), pa.array([origin], pa.int32()), pa.array([automaton], pa.binary())], names=["lang", "range", "kind", "origin", "automaton"]
+        [pa.array([lang]), pa.array([number], pa.int32()), pa.array([kind], pa.int32()), pa.array([origin], pa.int64()), pa.array([automaton], pa.binary())], names=["lang", "range", "kind", "origin", "automaton"]
     )
 
 
-def frequent_phrases(shards: DataFrame, cuts, least: int) -> DataFrame:
-    """(lang, range, kind, origin, automaton): of every range one automaton of its phrases that occur ``least`` times or more."""
+def frequent_phrases(texts: DataFrame, cuts, least: int) -> DataFrame:
+    """Of every range one automaton of its phrases that occur ``least`` times or more; the origin is the number of all its words."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                automaton = CountAutomaton.from_bytes(data.as_py())
-                for number, levels in cut(automaton.words, _padded(automaton.levels()), cuts.value.get(lang, [])):
-                    yield _piece(lang, number, _COUNTS, 0, automaton.words, levels)
+        for lang, words, levels in _shards(batches):
+            for number, part in cut(words, levels, cuts.value.get(lang, [])):
+                yield _piece(lang, number, _COUNTS, 0, words, part)
 
     def united(lang: str, number: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         words, levels = union([CountAutomaton.from_bytes(row[2]) for row in rows], WORDS)
         often = [weight >= least for _, weight in levels]
-        levels = [(ids[o], weight[o]) for (ids, weight), o in zip(levels, often)]
-        if any(len(weight) for _, weight in levels):
-            yield _piece(lang, number, _COUNTS, 0, words, levels)
+        yield _piece(lang, number, _COUNTS, int(levels[0][1].sum()), words, [(ids[o], weight[o]) for (ids, weight), o in zip(levels, often)])
 
-    return _grouped(shards.select("lang", "automaton").mapInArrow(parts, _PIECE), united, _PIECE)
+    return _grouped(texts.mapInArrow(parts, _PIECE), united, _PIECE)
 
 
 def _padded(levels: list[Level]) -> list[Level]:
@@ -306,17 +304,15 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     without candidates gives no rows. Other columns are not read. Arithmetic is exact below 2^63.
     """
     spark = df.sparkSession
-    paths = [scratch_path(spark, f"collocations-{name}") for name in ("shards", "counts", "asked", "answered", "scored")]
+    paths = [scratch_path(spark, f"collocations-{name}") for name in ("counts", "asked", "answered", "scored")]
     texts = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = stored(shard_automata(texts), paths[0])
-    cuts = spark.sparkContext.broadcast(boundaries(shards))  # one phrase for each range
-    counts = stored(frequent_phrases(shards, cuts, least), paths[1])
-    totals = checkpointed(shards.groupBy("lang").agg(F.sum("tokens").alias("n")))
-    discard(spark, paths[0])
-    asked = stored(asked_parts(counts, cuts), paths[2])
-    answered = stored(answers(counts, asked), paths[3])
-    found = stored(scored(counts, answered, percent), paths[4])
-    discard(spark, *paths[1:4])
+    cuts = spark.sparkContext.broadcast(boundaries(texts))  # one phrase for each range
+    counts = stored(frequent_phrases(texts, cuts, least), paths[0])
+    totals = checkpointed(counts.groupBy("lang").agg(F.sum("origin").alias("n")))
+    asked = stored(asked_parts(counts, cuts), paths[1])
+    answered = stored(answers(counts, asked), paths[2])
+    found = stored(scored(counts, answered, percent), paths[3])
+    discard(spark, *paths[:3])
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

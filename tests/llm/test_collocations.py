@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirecheck.llm import automata, collocations
@@ -109,7 +110,7 @@ CUTS = {"de": [(b"\x01",), (b"a", b"a"), (b"b", b"c", b"new"), (b"c",), (b"city"
 @pytest.mark.parametrize("cuts", [None, CUTS])
 def test_collocations_equal_a_plain_count(monkeypatch, cuts):
     if cuts:
-        monkeypatch.setattr(collocations, "boundaries", lambda shards: cuts)
+        monkeypatch.setattr(collocations, "boundaries", lambda texts: cuts)
     rows = rows_for_tests()
     df = session().createDataFrame([(lang, text, 1, "x") for lang, text in rows], "lang string, text string, n int, phrase string").repartition(5)
     want = plain(rows)
@@ -121,25 +122,23 @@ def test_collocations_equal_a_plain_count(monkeypatch, cuts):
 
 
 def test_shards_of_bounded_size(monkeypatch):
-    for name, value in (("HELD", 50), ("SLICE", 16), ("STEP", 7)):
+    for name, value in (("HELD", 50), ("SLICE", 16)):
         monkeypatch.setattr(collocations, name, value)
-    text = b"New york, new York city. a b c a b c\td e f " * 20 + b"x" * 100
-    held = collocations._Held()
-    held.add(text)
-    assert len(held.ids) > 20
-    shards = [r for batch in collocations._rows("de", held) for r in batch.to_pylist()]
-    assert len(shards) > 3 and all(len(r["marks"]) >= r["entries"] // 7 for r in shards)
-    words, levels = automata.union([CountAutomaton.from_bytes(r["automaton"]) for r in shards], 3)
+    text = "New york, new York city. a b c a b c\td e f ".lower() * 20 + "x" * 100
+    shards = list(collocations._shards([pa.record_batch({"lang": ["de", "en", "de"], "text": [text, "a", None]})]))
+    assert len(shards) > 3 and {s[0] for s in shards} == {"de", "en"}
+    words, levels = automata.union([CountAutomaton.build(w, lev) for lang, w, lev in shards if lang == "de"], 3)
     got = {" ".join(words[i].decode() for i in row): n for ids, weight in levels for row, n in zip(ids.tolist(), weight.tolist())}
-    assert sum(r["tokens"] for r in shards) == 20 * 14 + 1 and got["new york city"] == 20 and got["a b c"] == 40 and got["c d e"] == 20 and "york new york" not in got and got["e f new"] == 19
+    assert int(levels[0][1].sum()) == 20 * 14 + 1 and got["new york city"] == 20 and got["a b c"] == 40 and got["c d e"] == 20 and "york new york" not in got and got["e f new"] == 19
 
 
-def test_ranges_follow_the_marks(monkeypatch):
-    monkeypatch.setattr(collocations, "RANGE", 2)
-    monkeypatch.setattr(collocations, "STEP", 1)
-    df = session().createDataFrame([("x", [[b"%03d" % i] for i in range(100)]), ("y", [])], "lang string, marks array<array<binary>>")
+def test_boundaries_cut_the_phrases_evenly(monkeypatch):
+    for name, value in (("RANGE", 200), ("SHARE", 0.5), ("MARKS", 4)):
+        monkeypatch.setattr(collocations, name, value)
+    df = session().createDataFrame([("x", f"w{i:05d} a{i:05d}") for i in range(4_000)], "lang string, text string").repartition(3)
     cuts = collocations.boundaries(df)["x"]
-    assert 50 <= len(cuts) <= 60 and cuts == sorted(set(cuts))
+    assert 40 <= len(cuts) <= 120 and cuts == sorted(set(cuts))
+    assert collocations.boundaries(df.limit(0)) == {}
 
 
 def test_products_beyond_64_bits():
