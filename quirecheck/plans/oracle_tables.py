@@ -133,6 +133,20 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """select a.page_id, a.x, a.y, a.v as r, 255 - a.v as g, b.v as b from pix a join pix b
            on a.page_id = b.page_id and b.y * 8 + b.x = (a.y * 8 + a.x + 1) % 64""",
     ),
+    "scan_a": (
+        (),
+        """select doc_id, (i % 96)::int as x, (i // 96)::int as y, case when v < 0 then 255 else v * 7 % 256 end as r, case when v < 0 then 255 else v * 13 % 256 end as g,
+               case when v < 0 then 255 else v * 29 % 256 end as b
+           from (select doc_id, unnest(vs) as v, unnest(range(len(vs))) as i from (
+               select doc_id, list_concat(vs, list_transform(range((96 - len(vs) % 96) % 96), lambda k: -1)) as vs
+               from (select doc_id, list_transform(regexp_extract_all(hex(text), '..'), lambda h: ('0x' || h)::int) as vs from documents where text is not null)))""",
+    ),
+    "scan_b": (
+        ("scan_a",),
+        """select doc_id, x, y, case when odd then 255 - r else r end as r, case when odd then 255 - g else g end as g, case when odd then 255 - b else b end as b
+           from (select a.doc_id, a.x, a.y, (a.x * 31 + a.y * 17 + a.doc_id) % 97 = 0 as odd, coalesce(o.r, 255) as r, coalesce(o.g, 255) as g, coalesce(o.b, 255) as b
+               from scan_a a left join scan_a o on o.doc_id = a.doc_id and o.x = a.x - 2 * (a.doc_id % 4) and o.y = a.y - 2 * (a.doc_id // 4 % 3))""",
+    ),
     "arr": (
         (),
         """select event_id as seq, user_id::varchar as path, sha256(floor(value)::bigint::varchar) as sha256,

@@ -7,6 +7,8 @@ Derivations that need no element number avoid the window that computes it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quirecheck.functions.values import let
@@ -256,6 +258,39 @@ def color_rasters(spark, d) -> DataFrame:
     return rasters(spark, d).select("page_id", "w", "h", let(F.col("px"), colored).alias("px"))
 
 
+SCAN_WIDTH = 96
+
+
+def text_scans(spark, d) -> DataFrame:
+    """Texts as colour pages, (page, side, page_w, page_h, planes): a pixel for each byte, white to the end of the last row.
+
+    The new version, side 1, is moved right and down by a few pixels, and some of its pixels are inverted.
+    """
+
+    def run(batches):
+        values = np.arange(256, dtype=np.int64)
+        ink = np.stack([values * k % 256 for k in (7, 13, 29)]).astype(np.uint8)
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.empty(0, np.uint8)
+                w, h, doc = SCAN_WIDTH, -(-len(data) // SCAN_WIDTH), batch.column("page")[i].as_py()["doc_id"]
+                old = np.full((3, w * h), MAX_PIXEL, np.uint8)
+                old[:, : len(data)] = ink[:, data]
+                old = old.reshape(3, h, w)
+                new, dx, dy = np.full_like(old, MAX_PIXEL), 2 * (doc % 4), 2 * (doc // 4 % 3)
+                new[:, dy:, dx:] = old[:, : max(h - dy, 0), : w - dx]
+                y, x = np.mgrid[:h, :w]
+                inverted = (x * 31 + y * 17 + doc) % 97 == 0
+                new[:, inverted] = MAX_PIXEL - new[:, inverted]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("page").take(pa.array([i, i])), pa.array([0, 1], pa.int32()), pa.array([w, w], pa.int32()), pa.array([h, h], pa.int32()), pa.array([old.tobytes(), new.tobytes()], pa.binary())],
+                    names=["page", "side", "page_w", "page_h", "planes"],
+                )
+
+    pages = documents(spark, d).select(F.struct("doc_id").alias("page"), "text")
+    return pages.mapInArrow(run, "page struct<doc_id: bigint>, side int, page_w int, page_h int, planes binary")
+
+
 # ---- arrivals and the object graph ----
 
 
