@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirecheck.functions.text import strip
 from quirecheck.operators.unions import union_all
+from quirecheck.sources.records import csv_records, json_items
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -43,36 +44,43 @@ def load_glossary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dataset_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, cells) of a CSV file, no row taken as header; a quoted field may span lines.
+    """(row_no, cells) of CSV files, no row taken as header; a quoted field may span lines.
 
-    Every row keeps the cells it has, more or fewer than the first. Row numbers follow the file. A
-    file whose fields may span lines cannot be split, so a large table should be kept as rows already
-    numbered instead.
+    Every row keeps the cells it has, more or fewer than the first; empty lines are no rows. Rows are numbered
+    from 0 in the order of the files' paths. A file of any size is read by many tasks.
     """
-    # One column is declared, so the reader hands on the text of every longer record, which is cut here.
-    rows = spark.read.csv(
-        path, schema="cell string, record string", columnNameOfCorruptRecord="record", multiLine=True, quote='"', escape='"', header=False
-    )
-    cells = F.when(F.col("record").isNull(), F.array(F.coalesce("cell", F.lit("")))).otherwise(csv_cells(F.col("record")))
-    return rows.select(F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
+    return csv_records(spark, path).select("row_no", csv_cells(F.col("record")).alias("cells"))
 
 
 def csv_cells(record: Column) -> Column:
-    """Cells of one CSV record. A cell is quoted if it starts with a quote; a quote inside it is doubled."""
-    pieces = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',(?:"(?:[^"]|"")*+"[^,]*|[^,]*)'), 0)
+    """Cells of one CSV record. A cell is quoted if it starts with a quote; a quote inside it is doubled.
+
+    A quote that is not closed holds for the rest of the record. Carriage returns outside quotes are dropped.
+    """
+    pieces = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r'(?s),(?:"(?:[^"]|"")*+(?:"[^,]*+|\z)|[^,]*+)'), 0)
+    bare = lambda text: F.replace(text, F.lit("\r"), F.lit(""))
 
     def plain(piece):
-        cell = F.replace(F.substring(piece, F.lit(2), F.length(piece)), F.lit("\r"), F.lit(""))
-        inner = F.replace(F.regexp_extract(cell, r'\A"((?:[^"]|"")*+)"', 1), F.lit('""'), F.lit('"'))
-        rest = F.regexp_extract(cell, r'\A"(?:[^"]|"")*+"([^,]*)\z', 1)
-        return F.when(F.startswith(cell, F.lit('"')), F.concat(inner, rest)).otherwise(cell)
+        cell = F.substring(piece, F.lit(2), F.length(piece))
+        inner = F.replace(F.regexp_extract(cell, r'(?s)\A"((?:[^"]|"")*+)', 1), F.lit('""'), F.lit('"'))
+        rest = F.regexp_extract(cell, r'(?s)\A"(?:[^"]|"")*+"(.*)\z', 1)
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(inner, bare(rest))).otherwise(bare(cell))
 
     return F.transform(pieces, plain)
 
 
 def load_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every JSON file under ``path``; see :func:`json_rows`."""
-    return json_rows(spark.read.text(path, wholetext=True))
+    """Rows of every JSON file under ``path``, as of :func:`json_rows`; a file of any size is read by many tasks."""
+    items = json_items(spark, path)
+    files = items.groupBy("file").agg(F.min("row_no").alias("low"), F.max("row_no").alias("high"), F.min_by("record", "row_no").alias("head"))
+    opened = lambda c: F.regexp_replace(c, r"\A\s*\[", "")
+    closed = lambda c: F.regexp_replace(c, r"\]\s*\z", "")
+    item = F.when(F.col("row_no") == F.col("low"), opened(F.col("record"))).otherwise(F.col("record"))
+    item = F.when(F.col("row_no") == F.col("high"), closed(item)).otherwise(item)
+    head = F.when(F.col("low") == F.col("high"), closed(opened(F.col("head")))).otherwise(opened(F.col("head")))
+    found = items.join(files, "file").select((F.col("row_no") - F.col("low")).alias("i"), item.alias("item"), head.alias("first"))
+    one = lambda c: F.try_element_at(F.from_json(_quoted_numbers(F.concat(F.lit("["), c, F.lit("]"))), "array<string>"), F.lit(1))
+    return _item_rows(found.where(~F.col("item").rlike(r"\A\s*\z")).select(one(F.col("first")).alias("first"), "i", one(F.col("item")).alias("item")))
 
 
 def _quoted_numbers(text: Column) -> Column:
@@ -96,6 +104,11 @@ def json_rows(files: DataFrame) -> DataFrame:
     items = files.select(F.from_json(_quoted_numbers(F.col("value")), "array<string>").alias("items")).select(
         F.element_at("items", 1).alias("first"), F.posexplode("items").alias("i", "item")
     )
+    return _item_rows(items)
+
+
+def _item_rows(items: DataFrame) -> DataFrame:
+    """Rows of items (first, i, item) of arrays, the first item next to each."""
 
     def kind(c):
         start = F.substring(F.ltrim(c), 1, 1)
