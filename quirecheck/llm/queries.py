@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,6 +192,7 @@ def _secrets_sql() -> str:
     cuts = []
     for number, rule in enumerate(secrets.RULES):
         pattern = rule.pattern.replace("(?<![0-9a-f])", "").replace("'", "''")  # runs are maximal from the left anyway
+        pattern = re.sub(r"(?<=[*+}?])\+(?=[^+]|$)", "", pattern) if rule.kind == "private_key" else pattern  # nothing is ever given back
         cuts.append(
             f"select doc_id, {number} as number, '{rule.kind}' as kind, {rule.base} as base, {rule.least} as least, string_split_regex(text, '{pattern}') as pieces, "
             f"regexp_extract_all(text, '{pattern}', 0) as matches, regexp_extract_all(text, '{pattern}', {rule.group}) as checked from t"

@@ -33,14 +33,24 @@ class Rule:
     base: bool = False
 
 
+# A private key: its BEGIN line, named header lines, then either key characters up to the END line, or lines of
+# at least 40 key characters and a last, shorter one. Line ends may be written as \\n. Other text stays outside.
+# All repeats are possessive, which Java runs as loops, so the length of a text takes no stack.
+_KEY, _BREAK = r"[A-Za-z0-9+/=]", r"(?:[ \t\r\n]|\\[nr])*+"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Comment): [^\r\n\\]*+)*+"
+    r"(?:[A-Za-z0-9+/= \t\r\n\\]*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:(?:{_BREAK}{_KEY}{{40,}}+)++(?:[\r\n]++{_KEY}++(?:[ \t]*+[\r\n]|$)|[\r\n]++$|(?:\\[nr])++{_KEY}*+)?+)?+)"
+)
+
 # The base rules come first, in the order that breaks ties. Runs of a class are greedy, so
 # a run of at least 32 characters is the same as a run that is then checked for its length.
 RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32, True),
-    # The whole key: its body up to the END line or the end of the text, over header lines such as DEK-Info.
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:(?:-[A-Za-z]+)+: *[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*[^-]*)*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

@@ -99,3 +99,17 @@ def test_every_match_satisfies_its_query(rule):
         assert re.search(rule.pattern, text)
         grams = {text.lower()[i : i + 3] for i in range(len(text) - 2)}
         assert not query or any(c <= grams for c in query)
+
+
+def test_text_after_a_key_header_stays(tmp_path):
+    spark = session()
+    head, line = "-----BEGIN PRIVATE KEY-----", "Q" * 64
+    prose = ["\nThis line only tells of a key. It has words, and so it stays\n", " and then the text goes on for a long while without a single mark or number " * 20, "\nX-a: b" * 200_000, "\nComment: x" * 200_000 + "\nprose stays here", f"\n{line}\nthen prose - more", f"\n{line}\nshort\nthen prose", "\n" + f"{line}\n" * 200_000 + "short=="]
+    left = prose[:3] + ["\nprose stays here", "\nthen prose - more", "then prose", ""]
+    df = spark.createDataFrame([(i, head + p) for i, p in enumerate(prose)], "doc_id long, text string")
+    out = {r["doc_id"]: r["t"] for r in secrets.find_secrets(df).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert out == {i: "[SECRET]" + t for i, t in enumerate(left)}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(op5_secrets(spark, str(tmp_path)), con, ORACLES["op5_secrets"])[0] == ""
