@@ -1,9 +1,9 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
-Templates are sequences of words. How rare their words are is counted over all documents; the rarest words
-of a template are its anchors. An anchor at word i of a document and at word j of a template puts the
-template at i - j, and only those places are compared, word by word. A template holds there if enough of
-its words, weighed by rarity, agree, and its key phrase stands in full.
+Templates are sequences of words. How rare their words are is counted over all documents; the two rarest words
+of a template's key phrase, which must stand in full, are its anchors. The rarer one is looked up in a document;
+where the other stands at its distance from it, the template is put, and only those places are compared, word
+by word. A template holds there if enough of its words, weighed by rarity, agree, and its key phrase stands.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quirecheck.llm.shared import LOWER, UPPER, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Anchors of a template, and the weight that must agree where not all of it must.
-ANCHORS, ENOUGH = 2, 0.8
+#: The weight that must agree where not all of it must.
+ENOUGH = 0.8
 
 
 @dataclass(frozen=True)
@@ -73,30 +73,32 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     ``start`` counts words from 0; a place needs its key phrase in full and ENOUGH of its weight, a base
     phrase all of it. Null and empty texts have no words and no places. Rows are judged one by one, so
-    repeated rows and null ids need no care; other columns are not carried.
+    repeated rows and null ids need no care; other columns are not carried. A text of any length is scanned in
+    time that grows with its length, however often its words are anchors.
     """
     texts = df.select(F.col(id_col).alias("id"), words_of(whole_text(text_col)).alias("words"))
     split = [t.words.split() for t in templates]
     weights = rarity(texts, sorted({w for words in split for w in words}))
-    anchors = [sorted(range(len(words)), key=lambda i, words=words: (-weights[words[i]], i))[:ANCHORS] for words in split]
-    posted: dict[str, list[tuple[int, int]]] = {}
-    for number, places in enumerate(anchors):
-        for offset in places:
-            posted.setdefault(split[number][offset], []).append((number, offset))
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("template"))
+    keys = [t.key.split() for t in templates]
+    key_at = [next(i for i in range(len(words)) if words[i : i + len(key)] == key) for words, key in zip(split, keys)]
+    posted: dict[str, list[tuple[int, int, int, str]]] = {}
+    for number, (words, key, begin) in enumerate(zip(split, keys, key_at)):
+        first, second = (sorted(range(begin, begin + len(key)), key=lambda i, words=words: (-weights[words[i]], i)) * 2)[:2]
+        posted.setdefault(words[first], []).append((number, first, second - first, words[second]))
     rare = F.array(*map(F.lit, posted))
-    index = F.create_map(*(x for w, found in posted.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(n).alias("template"), F.lit(o).alias("offset")) for n, o in found)))))
+    entry = lambda n, o, d, w: F.struct(F.lit(n).alias("template"), F.lit(o).alias("offset"), F.lit(d).alias("on"), F.lit(w).alias("second"))
+    index = F.create_map(*(x for w, found in posted.items() for x in (F.lit(w), F.array(*(entry(*f) for f in found)))))
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
     hits = texts.select("id", "words", at.alias("at"))
-    placed = F.flatten(F.transform("at", lambda i: F.transform(F.element_at(index, F.get("words", i)), lambda p: pair(i - p["offset"], p["template"]))))
+    # The rarer anchor stands once in a template, so no place is found twice.
+    met = lambda i: F.filter(F.element_at(index, F.get("words", i)), lambda p: F.coalesce(F.get("words", i + p["on"]) == p["second"], F.lit(False)))
+    placed = F.flatten(F.transform("at", lambda i: F.transform(met(i), lambda p: F.struct((i - p["offset"]).alias("start"), p["template"].alias("template")))))
     sizes = F.array(*(F.lit(len(words)) for words in split))
-    inside = F.filter(F.array_distinct(placed), lambda p: (p["start"] >= 0) & (p["start"] + F.get(sizes, p["template"]) <= F.size("words")))
+    inside = F.filter(placed, lambda p: (p["start"] >= 0) & (p["start"] + F.get(sizes, p["template"]) <= F.size("words")))
     # Templates as arrays, to compare the document's words at a place in one pass.
     wanted = F.array(*(F.array(*map(F.lit, words)) for words in split))
     weight = F.array(*(F.array(*(F.lit(weights[w]) for w in words)) for words in split))
     whole = F.array(*(F.lit(sum(weights[w] for w in words)) for words in split))
-    keys = [t.key.split() for t in templates]
-    key_at = [next(i for i in range(len(words)) if words[i : i + len(key)] == key) for words, key in zip(split, keys)]
     key_from, key_size = (F.array(*map(F.lit, x)) for x in (key_at, list(map(len, keys))))
 
     def judged(p: Column) -> Column:

@@ -1,5 +1,6 @@
 """Places of licence phrases against plain scanning."""
 
+import math
 import random
 import re
 
@@ -60,3 +61,51 @@ def test_fuzzy_places_need_their_key_phrase():
     assert rows[0] == rows[1] == (1, "bsd", True)
     assert rows[2][0] == 2 and rows[2][1] == "bsd" and not rows[2][2]
     assert rows[3] == (3, "", False)
+
+
+def plain_places(texts):
+    """Every template compared at every word of every text, as {id: [(start, template, score)]}."""
+    words_of = {i: plain_words(t) for i, t in texts.items()}
+    seen: dict = {}
+    for words in words_of.values():
+        for w in set(words):
+            seen[w] = seen.get(w, 0) + 1
+    weight = lambda w: math.log((1 + len(texts)) / (1 + seen.get(w, 0))) + 1
+    out = {}
+    for i, words in words_of.items():
+        found = []
+        for number, t in enumerate(licenses.TEMPLATES):
+            want, key = t.words.split(), t.key.split()
+            begin = next(k for k in range(len(want)) if want[k : k + len(key)] == key)
+            starts = [k - begin for k in range(begin, len(words)) if words[k : k + len(key)] == key]  # the key must stand
+            for start in starts:
+                if start + len(want) <= len(words):
+                    agreed = sum(weight(a) for a, b in zip(want, words[start:]) if a == b) / sum(map(weight, want))
+                    if agreed > 1 - 1e-9 or not t.base and agreed >= licenses.ENOUGH:
+                        found.append((start, number, round(min(agreed, 1.0), 9)))
+        out[i] = sorted(found)
+    return out
+
+
+def test_all_places_equal_a_plain_comparison():
+    spark, rng = session(), random.Random(12)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    for i in range(600):  # templates with words altered anywhere, key phrases and anchors too
+        words = [rng.choice("the of a software use permission granted".split()) for _ in range(10)]
+        for _ in range(3):
+            part = rng.choice(licenses.TEMPLATES).words.split()
+            for _ in range(rng.randrange(4)):
+                part[rng.randrange(len(part))] = rng.choice(["changed", "the", "license"])
+            words += part + ["and"] * rng.randrange(3)
+        texts[10**6 + i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: [(p["start"], p["template"], round(p["score"], 9)) for p in r["places"]] for r in licenses.scan(df).collect()}
+    want = plain_places(texts)
+    assert got == want and sum(1 for found in want.values() for p in found if p[2] < 1) > 50
+
+
+def test_a_million_rare_words_end():
+    spark = session()
+    df = spark.createDataFrame([(1, "mit " * 1_000_000), (2, "under the mit license " * 100_000)] + [(i, "some other words") for i in range(3, 50)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["n_words"], r["n_base"]) for r in licenses.summary(licenses.scan(df)).collect()}
+    assert rows[1] == (1_000_000, 0) and rows[2] == (400_000, 100_000)
