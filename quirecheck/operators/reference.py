@@ -1,22 +1,26 @@
 """Lookups in reference tables and glossaries.
 
-A reference table is (row_no, cells): untyped rows of text in file order, a header row first. The
-tables may be large, so nothing is broadcast by hand: equality is a join, and "contains" is a join
-on the rarest three letters of the key followed by the exact test.
+A reference table is (row_no, cells): untyped rows of text in file order, a header row first. Equality is a
+join; "contains" walks the texts once with automata of the keys, each of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from quirecheck.functions.terms import Terms
 from quirecheck.functions.text import normalize
 from quirecheck.functions.validators import digits_of
-from quirecheck.functions.values import let
 from quirecheck.operators.unions import union_all
 
-GRAM = 3
-#: Share of the texts that the rarity of pieces is counted on.
-RARITY_SHARE = 0.02
+#: Shortest key, in bytes, that is sought inside a name.
+INSIDE = 3
+#: Letters of the keys of one automaton, about.
+SHARD = 4_000_000
 
 
 def lookup_value(requests: DataFrame, reference: DataFrame, key: str = "key") -> DataFrame:
@@ -27,40 +31,33 @@ def lookup_value(requests: DataFrame, reference: DataFrame, key: str = "key") ->
     return requests.join(first, key, "left")
 
 
-def _grams(text: Column) -> Column:
-    """Distinct pieces of one to three letters.
-
-    A key is sought by pieces as long as itself, three letters at most; the letters are cut once.
-    """
-
-    def of(letters, n):
-        starts = F.filter(F.sequence(F.lit(0), F.size(letters)), lambda i: i + n <= F.size(letters))
-        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
-
-    cut = let(F.split(text, ""), lambda letters: F.concat(of(letters, 3), of(letters, 2), of(letters, 1)))
-    return F.filter(F.array_distinct(cut), lambda g: g != "")
-
-
-def _rarest_gram(keys: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
-    """(key, gram): the piece of each key that the fewest texts contain."""
-    length = F.least(F.char_length(key), F.lit(GRAM))
-    pieces = keys.select(key, F.explode(F.filter(_grams(F.col(key)), lambda g: F.char_length(g) == length)).alias("gram"))
-    return pieces.join(frequency, "gram", "left").groupBy(key).agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
-    )
+def _shards(terms: DataFrame, term: str) -> Iterator[list]:
+    """The rows of ``terms`` in parts of about SHARD letters, one part on the driver at a time."""
+    letters = terms.agg(F.sum(F.char_length(term))).first()[0] or 0
+    parts = -(-letters // SHARD)
+    for part in range(parts):
+        yield terms.where(F.pmod(F.xxhash64(term), F.lit(parts)) == part).collect()
 
 
 def containing(keys: DataFrame, texts: DataFrame, key: str, text: str, id_col: str) -> DataFrame:
-    """(key, id) of every text that contains the key, for keys that are not empty.
+    """(key, id) of every text that contains the key, for distinct keys that are not empty.
 
-    Only pieces travel to the keys; a text is joined once, to the candidates it has. Which piece of a key
-    is rare is told from a share of the texts: any piece is right, a rare one only saves work.
+    Keys become automata of bounded size; each walks the texts where they are, so no text is shuffled. Null texts contain nothing.
     """
-    pieces = texts.select(id_col, F.explode(_grams(F.col(text))).alias("gram"))
-    sample = texts.sample(RARITY_SHARE, seed=1).select(F.explode(_grams(F.col(text))).alias("gram"))
-    chosen = _rarest_gram(keys, key, sample.groupBy("gram").agg(F.count("*").alias("n")))
-    candidates = chosen.join(pieces, "gram").select(key, id_col)
-    return candidates.join(texts.select(id_col, text), id_col).filter(F.contains(text, F.col(key))).select(key, id_col)
+    kinds = f"{key} string, {id_col} {dict(texts.dtypes)[id_col]}"
+    found = [keys.sparkSession.createDataFrame([], kinds)]
+    for rows in _shards(keys.select(key), key):
+        known = keys.sparkSession.sparkContext.broadcast([r[0] for r in rows])  # SHARD letters, about
+
+        def walk(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            terms = Terms(known.value)
+            for batch in batches:
+                hits = [sorted(terms.within(t)) if t else [] for t in batch.column(1).to_pylist()]
+                at = [i for i, h in enumerate(hits) for _ in h]
+                yield pa.RecordBatch.from_arrays([pa.array([known.value[n] for h in hits for n in h], pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], names=[key, id_col])
+
+        found.append(texts.select(id_col, text).mapInArrow(walk, kinds))
+    return union_all(*found)
 
 
 def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") -> DataFrame:
@@ -79,7 +76,7 @@ def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") ->
     equal = keys.join(rows.select("_key", "row_no"), "_key")
     # Only the first row of a name can answer.
     names = rows.groupBy("_name").agg(F.min("row_no").alias("row_no"))
-    inside = containing(keys.filter(F.octet_length("_key") >= GRAM), names, "_key", "_name", "row_no")
+    inside = containing(keys.filter(F.octet_length("_key") >= INSIDE), names, "_key", "_name", "row_no")
     first = union_all(equal, inside).groupBy("_key").agg(F.min("row_no").alias("row_no"))
     answers = first.join(reference.select("row_no", "cells"), "row_no").select("_key", "cells")
     return asked.join(answers, "_key", "left").drop("_key")
@@ -104,28 +101,48 @@ def validate_address(requests: DataFrame, reference: DataFrame, key: str, fragme
     return found.withColumn("ok", F.coalesce(contained, F.lit(False))).drop("cells")
 
 
+def missing_rows(docs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(row, doc_id, missing): for each row of ``docs`` and each part of the glossary the terms (term_no, term) that the text lacks.
+
+    ``row`` numbers the rows of ``docs``. A null text counts as empty; an empty term is in every text and a null
+    term is no term. Parts are bounded by SHARD; a glossary of usual size is one, and every text is walked once.
+    """
+    plain = normalize(F.col("term")).alias("plain")
+    terms = glossary.where(F.col("term").isNotNull()).select(F.col("term_no").cast("bigint").alias("term_no"), "term", plain).where("plain <> ''")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normalize(F.coalesce("text", F.lit(""))).alias("text"))
+    kinds = f"row long, doc_id {dict(docs.dtypes)['doc_id']}, missing array<struct<term_no:bigint,term:string>>"
+    out = []
+    for rows in _shards(terms, "plain"):
+        ordered = sorted(rows, key=lambda r: (r["term_no"], r["term"]))
+        known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in ordered])
+
+        def walk(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            rows = known.value
+            distinct = list(dict.fromkeys(r[2] for r in rows))
+            place = {t: i for i, t in enumerate(distinct)}
+            of_term = np.array([place[r[2]] for r in rows])
+            terms = Terms(distinct)
+            listed = pa.StructArray.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], names=["term_no", "term"])
+            for batch in batches:
+                present = np.zeros((batch.num_rows, len(distinct)), bool)
+                for i, t in enumerate(batch.column(2).to_pylist()):
+                    present[i, list(terms.within(t))] = True
+                row, at = np.nonzero(~present[:, of_term])
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed.take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["row", "doc_id", "missing"])
+
+        out.append(texts.mapInArrow(walk, kinds))
+    if not out:
+        return texts.select("row", "doc_id", F.array().cast("array<struct<term_no:bigint,term:string>>").alias("missing"))
+    return union_all(*out)
+
+
 def missing_terms(docs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Glossary terms (term_no, term) absent from each text, in glossary order.
+    """(doc_id, missing): the glossary terms absent from each text, in glossary order.
 
-    A null text counts as empty; an empty term is in every text and a null term is no term. Terms meet
-    texts by their rarest pieces, whatever the size of the glossary. The answer of a document lists
-    nearly the whole glossary, so that much is one value by definition and has to fit a row.
+    The list of a document has nearly the whole glossary, so that much has to fit a row; :func:`missing_rows` has it in parts.
     """
-    terms = glossary.filter(F.col("term").isNotNull()).withColumn("_plain", normalize(F.col("term"))).filter("_plain <> ''")
-    texts = docs.select("doc_id", normalize(F.coalesce("text", F.lit(""))).alias("_text"))
-    found = containing(terms.select("_plain").distinct(), texts, "_plain", "_text", "doc_id").join(terms, "_plain")
-    present = found.groupBy("doc_id").agg(F.collect_set("term_no").alias("_present"))
-    everything = terms.agg(F.sort_array(F.collect_list(F.struct("term_no", "term")))).scalar()
-
-    def absent(found):
-        return F.filter(F.col("_all"), lambda t: ~F.map_contains_key(found, t["term_no"]))
-
-    number = dict(glossary.dtypes)["term_no"]
-    found = F.coalesce(F.map_from_arrays("_present", F.transform("_present", lambda n: F.lit(True))), F.create_map().cast(f"map<{number},boolean>"))
-    missing = let(found, absent)
-    return (
-        docs.select("doc_id")
-        .join(present, "doc_id", "left")
-        .withColumn("_all", everything)
-        .select("doc_id", F.transform(missing, lambda t: t["term"]).alias("missing"))
-    )
+    parts = missing_rows(docs, glossary)
+    whole = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("missing"))).alias("missing"))
+    return whole.select("doc_id", F.transform("missing", lambda t: t["term"]).alias("missing"))
