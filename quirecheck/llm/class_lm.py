@@ -1,9 +1,11 @@
 """Brown's class-based bigrams: words are exchanged between classes, classes predict each other.
 
-The model of a token is P(class | class before) x P(word | class). Counts cover all training texts. Only
-the most frequent words are clustered; all others form one class of their own, with exact counts. Frequent
-words are looked up where the text is; only rare words travel, to meet their counts in a join, so no
-common word is ever a join key.
+The model of a token is P(class | class before) x P(word | class). Counts cover all training texts. A core
+of the most frequent words is clustered by exchange. Every other frequent word then joins the class that
+its neighbours make likeliest: how often each class of the core stands before and after it is counted over
+all training texts, and so are the transitions between the classes of all words. Words rarer than that form
+one class of their own, with exact counts. Frequent words are looked up where the text is; only rare words
+travel, to meet their counts in a join, so no common word is ever a join key.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from quirecheck.llm.shared import id_remainder, slices
 from quirecheck.sources.checkpoints import checkpointed
 
-#: Words looked up in place, words that are clustered, classes, rounds of exchange.
-FREQUENT, CLUSTERED, CLASSES, ROUNDS = 30_000, 1_200, 40, 4
+#: Words looked up in place, which all have a class; words of the core, classes, rounds of exchange.
+FREQUENT, CLUSTERED, CLASSES, ROUNDS = 200_000, 1_200, 40, 4
 #: Words a counting task holds before it hands them on, and bigrams.
 HELD = 200_000
 #: Bytes of text scored in one piece.
@@ -112,6 +114,75 @@ def _codes(codes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
 
+def context_counts(texts: DataFrame, index: dict, core: np.ndarray, classes: int) -> DataFrame:
+    """(word, side, n): how often each class of the core stands before (side = class) or after (classes + class) a word outside the core.
+
+    ``core`` has the class of each word of ``index``, -1 for words that have none yet; the last entry is any other word.
+    """
+    held = texts.sparkSession.sparkContext.broadcast((index, core))  # FREQUENT words at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, group = held.value
+        other = len(places)
+        codes: list[np.ndarray] = []
+        for batch in batches:
+            for text in _texts(batch, "text"):
+                ids = np.fromiter(map(places.get, tokens(text), repeat(other)), np.int64)
+                of = group[ids]
+                before, after = np.concatenate([[group[places[END]]], of[:-1]]), np.concatenate([of[1:], [-1]])
+                wanted = (of < 0) & (ids < other)
+                for side, shift in ((before, 0), (after, classes)):
+                    at = np.flatnonzero(wanted & (side >= 0))
+                    codes.append(ids[at] * (2 * classes) + shift + side[at])
+                if sum(map(len, codes)) > HELD * 20:
+                    yield _codes(codes)
+                    codes = []
+        if codes:
+            yield _codes(codes)
+
+    counts = texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return counts.select(F.floor(F.col("code") / (2 * classes)).alias("word"), (F.col("code") % (2 * classes)).alias("side"), "n")
+
+
+def likeliest(contexts: DataFrame, table: np.ndarray, own: int) -> DataFrame:
+    """(word, class): the class, ``own`` or above, under which the transitions to and from a word's neighbours are likeliest."""
+    smooth = np.log(table + TRANSITION_ADD)
+    into, out = smooth - np.log((table + TRANSITION_ADD).sum(0)), smooth.T - np.log((table + TRANSITION_ADD).sum(1))
+    weights = np.concatenate([into, out])[:, own:]  # rows: what stands before, what stands after
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            around = np.zeros((batch.num_rows, len(weights)))
+            for i, sides in enumerate(batch.column("sides")):
+                found = sides.values
+                around[i, found.field("side").to_numpy()] = found.field("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(own + (around @ weights).argmax(1))], names=["word", "class"])
+
+    gathered = contexts.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("sides"))  # two entries for each class at most
+    return gathered.select("word", "sides").mapInArrow(choose, "word long, class long")
+
+
+def transition_counts(texts: DataFrame, index: dict, group: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring classes over all tokens; the driver gets classes x classes numbers at most."""
+    size = int(group.max()) + 1
+    held = texts.sparkSession.sparkContext.broadcast((index, group))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, classes = held.value
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for text in _texts(batch, "text"):
+                of = classes[np.fromiter(map(places.get, tokens(text), repeat(len(places))), np.int64)]
+                total += np.bincount(np.concatenate([[classes[places[END]]], of[:-1]]) * size + of, minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
+
+    table = np.zeros(size * size)
+    rows = texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    table[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return table.reshape(size, size)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -189,24 +260,30 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int]:
     group_of = exchange(bigrams, fixed=[size - 1, size])  # the end and the rare words stay apart
     table = np.zeros((group_of.max() + 1,) * 2)
     np.add.at(table, (group_of[:, None], group_of[None, :]), bigrams)
-    transition = np.log10((table + TRANSITION_ADD) / (table.sum(1, keepdims=True) + TRANSITION_ADD * len(table)))
-    # Words that are no more than frequent share the class of the rare ones.
-    rare_n, rare_v = n - sum(held.get(w, 0) for w in clustered), v - sum(w in held for w in clustered)
-    rare_total = np.log10(rare_n + ADD * (rare_v + 1))
-    place = {w: group_of[i] for i, w in enumerate(clustered)}
-    in_class = np.bincount(group_of[:size], [held.get(w, 0) for w in clustered], len(table))
     every = [w for w, _ in words]
     if END not in every:
         every.append(END)
+    index = {w: i for i, w in enumerate(every)}
+    place = {w: group_of[i] for i, w in enumerate(clustered)}
+    core = np.array([place.get(w, -1) for w in every] + [-1])
+    found = likeliest(context_counts(train, index, core, len(table)), table, own=2).toPandas()  # FREQUENT rows at most
+    group = np.where(core >= 0, core, group_of[size])  # a word without neighbours in the core stays with the rare
+    group[found["word"].to_numpy(np.int64)] = found["class"].to_numpy(np.int64)
+    table = transition_counts(train, index, group)
+    transition = np.log10((table + TRANSITION_ADD) / (table.sum(1, keepdims=True) + TRANSITION_ADD * len(table)))
     c = np.array([held.get(w, 0) for w in every] + [0], np.float64)
-    group = np.array([place.get(w, group_of[size]) for w in every] + [group_of[size]])
+    # Words without a class of the core, and all that are rarer than the frequent ones.
+    apart = group[:-1] != group_of[size]
+    rare_n, rare_v = n - c[:-1][apart].sum(), v - int((apart & (c[:-1] > 0)).sum())
+    rare_total = np.log10(rare_n + ADD * (rare_v + 1))
+    in_class = np.bincount(group[:-1], c[:-1], len(table))
     rare = group == group_of[size]
     with np.errstate(divide="ignore"):
         emission = np.where(rare, np.log10(c + ADD) - rare_total, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(in_class[group], 1)))
     emission[-1] = -rare_total
     known = np.log10(c + ADD)
     known[-1] = 0
-    return Model({w: i for i, w in enumerate(every)}, known, emission, group, transition, rare, float(np.log10(n + ADD * (v + 1)))), least, n
+    return Model(index, known, emission, group, transition, rare, float(np.log10(n + ADD * (v + 1)))), least, n
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10) -> DataFrame:

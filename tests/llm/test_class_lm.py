@@ -104,3 +104,61 @@ def test_odd_rows(texts):
     spark = session()
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, word string")
     check(class_lm.score_texts(df).collect(), texts)
+
+
+def test_scores_equal_a_plain_model(monkeypatch):
+    """With the classes as given, everything is counted again word by word."""
+    monkeypatch.setattr(class_lm, "frequent_words", lambda counts, most=1_500, f=class_lm.frequent_words: f(counts, 1_500))
+    spark = session()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: plain_tokens(r["text"]) for r in docs.collect()}
+    train = docs.where(class_lm.id_remainder("doc_id", 10) != 0).select("text")
+    model, _, n = class_lm.fit(train, class_lm.word_counts(train))
+    group = {w.decode(): int(model.group[i]) for w, i in model.index.items()}
+    rare, classes = int(model.group[-1]), int(model.group.max()) + 1
+    of = lambda w: group.get(w, rare)
+    learned = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
+    counts = Counter(w for t in learned.values() for w in t)
+    pairs = Counter((of(a), of(b)) for t in learned.values() for a, b in zip(["", *t], t))
+    rows, sizes = Counter(), Counter()
+    for (a, _), k in pairs.items():
+        rows[a] += k
+    for w, k in counts.items():
+        sizes[of(w)] += k
+    kinds = sum(of(w) == rare for w in counts)
+    assert len({c for c in group.values()} - {rare}) > 20
+
+    def emission(w):
+        return (counts[w] + 0.1) / (sizes[rare] + 0.1 * (kinds + 1)) if of(w) == rare else counts[w] / sizes[of(w)]
+
+    want = {i: sum(math.log10((pairs[of(a), of(b)] + 0.5) / (rows[of(a)] + 0.5 * classes)) + math.log10(emission(b)) for a, b in zip(["", *t], t)) for i, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in class_lm.score_texts(docs).collect()}
+    assert n == sum(counts.values()) and got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-9)
+
+
+def test_words_outside_the_core_join_the_likeliest_class():
+    spark, rng = session(), np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "u1", "u2", "u3", "rest"], 30)) for _ in range(40)]
+    words = ["", "a", "b", "c", "d", "u1", "u2", "u3"]
+    core = np.array([0, 2, 2, 3, 4, -1, -1, -1, -1])
+    table = rng.integers(1, 50, (5, 5)).astype(float)
+    train = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    index = {w.encode(): i for i, w in enumerate(words)}
+    contexts = class_lm.context_counts(train, index, core, 5)
+    seen = Counter()
+    for t in texts:
+        tokens = ["", *plain_tokens(t)]
+        of = [int(core[words.index(w)]) if w in words else -1 for w in tokens]
+        for i in range(1, len(tokens)):
+            if tokens[i].startswith("u"):
+                if of[i - 1] >= 0:
+                    seen[words.index(tokens[i]), of[i - 1]] += 1
+                if i + 1 < len(tokens) and of[i + 1] >= 0:
+                    seen[words.index(tokens[i]), 5 + of[i + 1]] += 1
+    assert {(r["word"], r["side"]): r["n"] for r in contexts.collect()} == dict(seen)
+    smooth = table + class_lm.TRANSITION_ADD
+    for r in class_lm.likeliest(contexts, table, 2).collect():
+        value = lambda k, w=r["word"]: sum(n * (math.log(smooth[s, k] / smooth[:, k].sum()) if s < 5 else math.log(smooth[k, s - 5] / smooth[k].sum())) for (x, s), n in seen.items() if x == w)
+        assert r["class"] == max(range(2, 5), key=value)
