@@ -101,8 +101,8 @@ def validate_address(requests: DataFrame, reference: DataFrame, key: str, fragme
     return found.withColumn("ok", F.coalesce(contained, F.lit(False))).drop("cells")
 
 
-def missing_rows(docs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(row, doc_id, missing): for each row of ``docs`` and each part of the glossary the terms (term_no, term) that the text lacks.
+def _missing_parts(docs: DataFrame, glossary: DataFrame) -> list[DataFrame]:
+    """For each part of the glossary (row, doc_id, missing): the terms (term_no, term) of the part that a text lacks, in order.
 
     ``row`` numbers the rows of ``docs``. A null text counts as empty; an empty term is in every text and a null
     term is no term. Parts are bounded by SHARD; a glossary of usual size is one, and every text is walked once.
@@ -134,8 +134,13 @@ def missing_rows(docs: DataFrame, glossary: DataFrame) -> DataFrame:
 
         out.append(texts.mapInArrow(walk, kinds))
     if not out:
-        return texts.select("row", "doc_id", F.array().cast("array<struct<term_no:bigint,term:string>>").alias("missing"))
-    return union_all(*out)
+        out.append(texts.select("row", "doc_id", F.array().cast("array<struct<term_no:bigint,term:string>>").alias("missing")))
+    return out
+
+
+def missing_rows(docs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(row, doc_id, missing), a row for each row of ``docs`` and each part of the glossary; see :func:`missing_terms`."""
+    return union_all(*_missing_parts(docs, glossary))
 
 
 def missing_terms(docs: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -143,6 +148,8 @@ def missing_terms(docs: DataFrame, glossary: DataFrame) -> DataFrame:
 
     The list of a document has nearly the whole glossary, so that much has to fit a row; :func:`missing_rows` has it in parts.
     """
-    parts = missing_rows(docs, glossary)
-    whole = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("missing"))).alias("missing"))
+    parts = _missing_parts(docs, glossary)
+    whole = parts[0]
+    if len(parts) > 1:
+        whole = union_all(*parts).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("missing"))).alias("missing"))
     return whole.select("doc_id", F.transform("missing", lambda t: t["term"]).alias("missing"))

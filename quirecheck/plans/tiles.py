@@ -9,8 +9,6 @@ from quirecheck.plans import oracle_tables as O
 from quirecheck.plans.registry import query
 from quirecheck.sources import standins as S
 
-#: Smaller than usual, since most texts make small pages.
-SIZE = 64
 _LIGHT = "floor(0.299::double * r + 0.587::double * g + 0.114::double * b)::int"
 
 
@@ -61,7 +59,7 @@ _ALIGNED = {
 )
 def tiled_compare(spark, d):
     """Pages cut into tiles: blurred, lined up by a search over coarse and fine copies, and compared."""
-    found = T.compare_tiles(T.tiles_of(S.text_scans(spark, d), SIZE), blur=1, size=SIZE)
+    found = T.compare_tiles(T.tiles_of(S.text_scans(spark, d)), blur=1)
     return found.select("page.doc_id", "dx", "dy", F.round("diff_percent", 6).alias("diff_percent"), F.col("areas").cast("bigint").alias("areas"))
 
 
@@ -78,5 +76,5 @@ def tiled_compare(spark, d):
     ),
 )
 def tiled_similarity(spark, d):
-    found = T.similarity(T.tiles_of(S.text_scans(spark, d), SIZE), SIZE)
+    found = T.similarity(T.tiles_of(S.text_scans(spark, d)))
     return found.select("page.doc_id", F.round("ssim", 9).alias("ssim"))
