@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from quirecheck.functions.distance import coded, text_distance
 from quirecheck.functions.validators import cnpj_valid, cpf_valid
 from quirecheck.functions.values import let
 
+#: Texts whose lengths multiply to more are compared with bit vectors instead of cell by cell.
+FEW_CELLS = 1 << 20
 SPACE = r"(?U)\s+"
 _EDGE = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
 
@@ -113,7 +116,9 @@ def matches_whole(c: Column, pattern: str) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, by code points; two empty strings are equal."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
+    long = F.char_length(a).cast("bigint") * F.char_length(b) > FEW_CELLS
+    far = text_distance(F.when(long, a), F.when(long, b))
+    return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.when(long, far).otherwise(F.levenshtein(a, b)) / longer)
 
 
 def fuzzy_match(a: Column, b: Column) -> Column:
@@ -133,19 +138,41 @@ def personal_data(c: Column) -> Column:
     return F.concat(*[found(label, shape) for label, shape in PII_SHAPES.items()])
 
 
-def _only(mine: list, other: list) -> list[str]:
-    """Lines of ``mine`` that ``other`` lacks; copies kept. Linear, as ``other`` is looked up by hash."""
-    known = set(other)
-    return [x for x in mine if x not in known]
+def _only(left: pa.Array, right: pa.Array) -> list[tuple[pa.Array, np.ndarray]]:
+    """Lines that the other side of their row lacks, copies kept, and their rows: of the left, then of the right side.
+
+    A line and its row are one number, looked up among those of the other side, for a whole batch at once.
+    """
+    x, x_at, y, y_at = coded(left, right)
+    kinds = int(max(x.max(initial=0), y.max(initial=0))) + 2
+    x_row, y_row = (np.repeat(np.arange(len(at) - 1), np.diff(at)) for at in (x_at, y_at))
+    x_key, y_key = x_row * kinds + x + 1, y_row * kinds + y + 1
+    gone = np.flatnonzero(~np.isin(x_key, y_key))
+    new = np.flatnonzero(~np.isin(y_key, x_key))
+    return [(left.flatten().take(pa.array(gone)), x_row[gone]), (right.flatten().take(pa.array(new)), y_row[new])]
+
+
+def _both(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pc.and_(left.is_valid(), right.is_valid())
+
+
+def _dealt(rows: np.ndarray, values: pa.Array, known: pa.Array) -> pa.Array:
+    """``values`` as one list per row, the rows in order; null where a row is not known."""
+    ends = np.searchsorted(rows, np.arange(len(known) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pc.invert(known))
 
 
 def line_diff(a: Column, b: Column) -> Column:
     """Lines of ``a`` missing from ``b`` as ``-line``, then the reverse as ``+line``; copies kept. Null where a text is null."""
 
     def changed(left: pa.Array, right: pa.Array) -> pa.Array:
-        rows = zip(left.to_pylist(), right.to_pylist())
-        found = [None if x is None or y is None else ["-" + v for v in _only(x, y)] + ["+" + v for v in _only(y, x)] for x, y in rows]
-        return pa.array(found, pa.list_(pa.string()))
+        known = _both(left, right)
+        left, right = pc.if_else(known, left, None), pc.if_else(known, right, None)
+        (gone, gone_row), (new, new_row) = _only(left, right)
+        rows = np.concatenate([gone_row, new_row])
+        order = np.argsort(rows, kind="stable")
+        marked = pa.concat_arrays([pc.binary_join_element_wise("-", gone, ""), pc.binary_join_element_wise("+", new, "")])
+        return _dealt(rows[order], marked.take(pa.array(order)), known)
 
     return F.arrow_udf(changed, "array<string>")(lines(a), lines(b))
 
@@ -154,11 +181,14 @@ def diff_sample(a: Column, b: Column, limit: int = 3) -> Column:
     """The first lines that changed, at most ``limit`` from each side, each after `` | ``. Null where a text is null."""
 
     def sample(left: pa.Array, right: pa.Array) -> pa.Array:
-        def side(mine, other, sign):
-            return "".join(f" | {sign}{x}" for x in islice(_only(mine, other), limit))
-
-        rows = zip(left.to_pylist(), right.to_pylist())
-        return pa.array([None if x is None or y is None else side(x, y, "-") + side(y, x, "+") for x, y in rows], pa.string())
+        known = _both(left, right)
+        left, right = pc.if_else(known, left, None), pc.if_else(known, right, None)
+        sides = []
+        for (found, rows), sign in zip(_only(left, right), (" | -", " | +")):
+            first = np.flatnonzero(np.arange(len(rows)) - np.searchsorted(rows, rows) < limit)
+            marked = pc.binary_join_element_wise(sign, found.take(pa.array(first)), "")
+            sides.append(pc.binary_join(_dealt(rows[first], marked, known), ""))
+        return pc.binary_join_element_wise(*sides, "")
 
     return F.arrow_udf(sample, "string")(lines(a), lines(b))
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from quirecheck.functions.distance import list_distance
 from quirecheck.functions.text import diff_sample, prepare, tokens
 from quirecheck.functions.values import rounded
 from quirecheck.operators.checks import ERROR, WARNING
@@ -21,8 +22,6 @@ from quirecheck.sources.checkpoints import checkpointed
 
 # Pages by which the band is wider than the difference in length, and the word overlap of a match.
 SLACK, OVERLAP = 25, 0.6
-#: Distinct words that both sides of one pair of pages can share: code points above the surrogates.
-MOST_WORDS = 0x10FFFF - 0xE001
 
 
 def prepared(pages: DataFrame, ignore_dates: bool = False, normalized: bool = False) -> DataFrame:
@@ -219,51 +218,13 @@ def structure_findings(counts: DataFrame, a: DataFrame, b: DataFrame, aligned: D
 # ---- similarity of aligned pages ----
 
 
-def _common_prefix(x: Column, y: Column) -> Column:
-    differs = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
-    return F.when(differs == 0, F.least(F.size(x), F.size(y))).otherwise(differs - 1).cast("int")
-
-
 def with_word_similarity(pairs: DataFrame, out: str = "similarity") -> DataFrame:
-    """Adds 1 - word edit distance / longer word count of ``text_a`` and ``text_b``.
-
-    Words common to both ends change no distance and are cut off first. Each word left that both sides
-    have becomes one code point above the surrogates, and the built-in distance of characters counts
-    words. A word of one side only equals nothing, so one code point stands for all of them. More than
-    MOST_WORDS shared words raise an error.
-    """
-
-    def coded(words, alone):
-        place = lambda w: F.array_position("_shared", w)
-        code = lambda w: F.when(place(w) > 0, place(w) + 0xE001).otherwise(F.lit(alone))
-        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
-
-    def rest(words, start):
-        return F.slice(words, F.col(start) + 1, F.size(words) + 1)
-
-    kept = pairs.columns
-    longest = F.greatest("_size_a", "_size_b")
-    return (
-        pairs.withColumn("_a", tokens(F.col("text_a")))
-        .withColumn("_b", tokens(F.col("text_b")))
-        .withColumn("_size_a", F.size("_a"))
-        .withColumn("_size_b", F.size("_b"))
-        .withColumn("_head", _common_prefix(F.col("_a"), F.col("_b")))
-        .withColumn("_a", F.reverse(rest(F.col("_a"), "_head")))
-        .withColumn("_b", F.reverse(rest(F.col("_b"), "_head")))
-        .withColumn("_tail", _common_prefix(F.col("_a"), F.col("_b")))
-        .withColumn("_a", rest(F.col("_a"), "_tail"))
-        .withColumn("_b", rest(F.col("_b"), "_tail"))
-        .withColumn("_shared", F.array_intersect("_a", "_b"))
-        .withColumn(
-            out,
-            F.when(longest == 0, F.lit(1.0))
-            .when((F.size("_a") == 0) & (F.size("_b") == 0), F.lit(1.0))
-            .when(F.size("_shared") > MOST_WORDS, F.raise_error(F.lit("too many distinct words on one page")).cast("double"))
-            .otherwise(1 - F.levenshtein(coded(F.col("_a"), 0xE000), coded(F.col("_b"), 0xE001)) / longest),
-        )
-        .select(*kept, out)
-    )
+    """Adds 1 - word edit distance / longer word count of ``text_a`` and ``text_b``; two texts without words are equal."""
+    words = pairs.withColumn("_a", tokens(F.col("text_a"))).withColumn("_b", tokens(F.col("text_b")))
+    longest = F.greatest(F.size("_a"), F.size("_b"))
+    measured = words.withColumn("_longest", longest).withColumn("_distance", list_distance(F.col("_a"), F.col("_b")))
+    value = F.when(F.col("_longest") == 0, F.lit(1.0)).otherwise(1 - F.col("_distance") / F.col("_longest"))
+    return measured.select(*pairs.columns, value.alias(out))
 
 
 def aligned_texts(a: DataFrame, b: DataFrame, aligned: DataFrame) -> DataFrame:
