@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quirecheck.operators.checks import ERROR
 from quirecheck.operators.unions import union_all
+from quirecheck.sources.checkpoints import checkpointed
 
 # The fields of a report that a recording is compared by, in the order of their differences.
 REPORT_FIELDS = ["schema_version", "status", "error_count", "warning_count", "info_count", "total_pages_analyzed", "profile"]
@@ -110,6 +111,27 @@ def not_recorded(reports: DataFrame, recorded: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprinted(findings: DataFrame, out: str) -> DataFrame:
+    """(doc_id, out): count and sums of two hashes of a report's findings, whatever their order."""
+    sums = [F.sum(F.xxhash64(F.lit(seed), *DIAGNOSTIC, *_nulls(DIAGNOSTIC)).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    return findings.groupBy("doc_id").agg(F.count("*").alias("n"), *sums).select("doc_id", F.struct("n", "h1", "h2").alias(out))
+
+
+def _nulls(columns: Sequence[str]) -> list[Column]:
+    # A null is skipped by the hash, so that it would equal one in another column.
+    return [F.col(c).isNull() for c in columns]
+
+
+def changed_reports(expected_findings: DataFrame, actual_findings: DataFrame) -> DataFrame:
+    """(doc_id): documents whose findings differ as multisets.
+
+    Findings are reduced to one row per document before they are shuffled. Two different reports pass for
+    equal with a chance of 2^-128.
+    """
+    e, a = _fingerprinted(expected_findings, "e"), _fingerprinted(actual_findings, "a")
+    return e.join(a, "doc_id", "full").filter("not e <=> a").select("doc_id")
+
+
 def golden_diff(
     expected: DataFrame,
     actual: DataFrame,
@@ -122,7 +144,8 @@ def golden_diff(
     """(doc_id, difference): report fields that changed, findings that are missing or unexpected.
 
     Of ``fields`` those are compared that either side has; a side without one counts as null. Findings are
-    compared null-safely. A changed list of executed checks (doc_id, checks_run) is told only where nothing
+    compared null-safely, and only in documents whose findings differ as a whole (:func:`changed_reports`); repeats
+    of a finding are no difference. A changed list of executed checks (doc_id, checks_run) is told only where nothing
     else differs.
     """
     fields = [f for f in fields if f in expected.columns or f in actual.columns]
@@ -148,8 +171,11 @@ def golden_diff(
     )
     in_fields = left.join(right, "doc_id", "full").select("doc_id", F.explode(changed).alias("difference"))
 
+    suspects = checkpointed(changed_reports(expected_findings, actual_findings).select(F.col("doc_id").alias("_suspect")))
+
     def only(mine, other, label):
         key = ["doc_id", *DIAGNOSTIC]
+        mine, other = (df.join(suspects, F.col("doc_id").eqNullSafe(F.col("_suspect")), "left_semi") for df in (mine, other))
         known = other.select(*[F.col(k).alias(f"_{k}") for k in key])
         same = F.col("doc_id") == F.col("_doc_id")
         for k in DIAGNOSTIC:
