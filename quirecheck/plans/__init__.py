@@ -6,7 +6,7 @@ import importlib
 
 from quirecheck.plans.registry import QUERIES, Query
 
-AREAS = ["text", "checks", "expressions", "structure", "layout", "codes", "compare", "raster", "tiles", "reports", "edits", "incremental"]
+AREAS = ["text", "checks", "expressions", "structure", "layout", "codes", "regions", "compare", "raster", "tiles", "reports", "edits", "incremental"]
 
 
 def all_queries() -> dict[str, Query]:
