@@ -149,15 +149,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def drawn_labels(labels: DataFrame, id_col: str, label_col: str, fold: int) -> DataFrame:
-    """(id, y): about LABELLED labelled rows to learn from, drawn by a hash of the id."""
-    learned = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(id_remainder("id", fold) != 0)
+    """(id, y): about LABELLED labelled ids to learn from, drawn by a hash of the id; an id with several labels has the smallest."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    learned = known.where(id_remainder("id", fold) != 0).groupBy("id").agg(F.min("y").alias("y"))
     total = learned.count()
     return F.broadcast(learned.where(in_fraction(F.xxhash64("id", F.lit(1)), LABELLED / max(total, 1))))  # bounded by LABELLED
 
 
 def fit_on(stats: DataFrame, drawn: DataFrame) -> Trees:
-    """Trees for the drawn labels whose id is in ``stats`` (id, x)."""
-    sample = sorted(tuple(r) for r in stats.join(drawn, "id").select("id", "y", "x").collect())
+    """Trees for the drawn labels whose id is in ``stats`` (id, x); rows of one id count once, so the sample stays bounded."""
+    rows = stats.join(drawn, "id").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    sample = sorted(tuple(r) for r in rows.collect())
     return fit(np.array([r[2] for r in sample], np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in sample], np.float64))
 
 
@@ -168,7 +170,7 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     ``held_out``), about LABELLED of them, drawn by a hash. Inputs are statistics of the whole text only.
     Null labels are left out; without labels of both kinds every score is the base rate. Null and empty
     texts get a score, too; a null id is held out, as its crc32 is that of the empty text. Repeated rows
-    give repeated results; other columns are neither read nor carried.
+    give repeated results, but an id is learned from once, with its smallest label and statistics; other columns are neither read nor carried.
     """
     stats = checkpointed(with_statistics(df, id_col, text_col))
     held = df.sparkSession.sparkContext.broadcast(fit_on(stats, drawn_labels(labels, id_col, label_col, fold)))  # TREES x 2^DEPTH numbers

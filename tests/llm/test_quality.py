@@ -56,3 +56,16 @@ def test_odd_rows():
     assert all(0 <= r["score"] <= 1 for r in both)
     assert quality.score_quality(df.limit(0), labels).count() == 0
     assert quality.score_quality(df, labels.limit(0)).count() == len(texts)
+
+
+def test_repeated_ids_are_learned_from_once():
+    spark = session()
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 60)], "doc_id long, quality int")
+    clashing = labels.selectExpr("doc_id", "1 as quality")
+    docs = spark.createDataFrame([(n, "fine words of a text. " * 9 if n % 2 else "!! 0 !") for n in range(1, 60)], "doc_id long, text string")
+    once = quality.drawn_labels(labels, "doc_id", "quality", 5)
+    many = quality.drawn_labels(labels.union(clashing).union(labels), "doc_id", "quality", 5)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, once.collect()))
+    want = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    got = quality.score_quality(docs.union(docs), labels.union(labels)).collect()
+    assert len(got) == 2 * len(want) and all(r["score"] == want[r["doc_id"]] for r in got)
