@@ -61,12 +61,13 @@ def _followed(pointers: DataFrame) -> DataFrame:
             )
         )
         steps *= 2
-        if pointers.filter("moved").isEmpty():
-            break
+        ended = pointers.filter("moved").isEmpty()
         pointers = pointers.drop("moved")
+        if ended:
+            return pointers
     inside = pointers.select("doc_id", F.col("node").alias("anchor"), F.lit(True).alias("_inside"))
-    ended = F.when(F.col("_inside").isNull(), F.col("anchor"))
-    return checkpointed(pointers.join(inside, ["doc_id", "anchor"], "left").select("doc_id", "node", ended.alias("anchor")))
+    outside = F.when(F.col("_inside").isNull(), F.col("anchor"))
+    return checkpointed(pointers.join(inside, ["doc_id", "anchor"], "left").select("doc_id", "node", outside.alias("anchor")))
 
 
 def _contracted(edges: DataFrame, pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
