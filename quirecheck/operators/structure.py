@@ -13,6 +13,8 @@ from quirecheck.operators.unions import union_all
 SUSPICIOUS = ["JavaScript", "Launch", "URI", "SubmitForm", "ImportData", "GoToR"]
 INFRASTRUCTURE = ["ObjStm", "XRef"]
 RESOURCE_MARKS = ["Font", "/Image", "XObject", "/Form"]
+#: Levels that are searched one by one before chains are contracted.
+SHALLOW = 4
 
 
 def metadata(meta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,11 +87,16 @@ def _contracted(edges: DataFrame, pointers: DataFrame) -> tuple[DataFrame, DataF
     return links, checkpointed(rest)
 
 
-def _frontiers(edges: DataFrame, roots: DataFrame, compact_every: int) -> DataFrame:
-    """Breadth first: each round joins the newest nodes to the edges and keeps what was not seen."""
+def _frontiers(edges: DataFrame, roots: DataFrame, compact_every: int, most: float = float("inf")) -> tuple[DataFrame, bool]:
+    """Breadth first: each round joins the newest nodes to the edges and keeps what was not seen.
+
+    What was found within ``most`` rounds, and whether that is all.
+    """
     seen = frontier = roots
     rounds = 0
     while not frontier.isEmpty():
+        if rounds >= most:
+            return seen, False
         step = edges.join(frontier.withColumnRenamed("node", "src"), ["doc_id", "src"], "left_semi")
         found = step.select("doc_id", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(found.join(seen, ["doc_id", "node"], "left_anti"))
@@ -97,13 +104,13 @@ def _frontiers(edges: DataFrame, roots: DataFrame, compact_every: int) -> DataFr
         rounds += 1
         if rounds % compact_every == 0:
             seen = checkpointed(seen)
-    return seen
+    return seen, True
 
 
 def reachable(edges: DataFrame, roots: DataFrame, compact_every: int = 8) -> DataFrame:
     """Nodes (doc_id, node) reachable from ``roots`` over ``edges`` (doc_id, src, dst); roots are reachable.
 
-    A node with one way in is reachable where the node before it is. Such nodes point there, pointers are
+    The first SHALLOW levels are searched breadth first, which ends most graphs. In deeper ones a node with one way in is reachable where the node before it is. Such nodes point there, pointers are
     followed in steps that double, and the nodes leave the graph, so a chain of any length costs rounds by
     the logarithm of its length. Nodes that then have one way in left, such as the ends of diamonds, go the
     same way, as long as that takes a tenth of the edges. What remains is searched breadth first. Every round is
@@ -111,6 +118,10 @@ def reachable(edges: DataFrame, roots: DataFrame, compact_every: int = 8) -> Dat
     """
     roots = checkpointed(roots.select("doc_id", "node").filter("node is not null").distinct())
     edges = edges.select("doc_id", "src", "dst").filter("src <> dst")
+    seen, all_found = _frontiers(edges, roots, compact_every, SHALLOW)
+    if all_found:
+        return seen
+    roots = checkpointed(seen)
     edges = checkpointed(edges.join(roots.withColumnRenamed("node", "dst"), ["doc_id", "dst"], "left_anti"))
     links, left = [], edges.count()
     while left:
@@ -121,7 +132,7 @@ def reachable(edges: DataFrame, roots: DataFrame, compact_every: int = 8) -> Dat
         before, left = left, edges.count()
         if left * 10 > before * 9:
             break
-    reached = _frontiers(edges, roots, compact_every) if left else roots
+    reached = _frontiers(edges, roots, compact_every)[0] if left else roots
     for found in reversed(links):
         within = found.join(reached.withColumnRenamed("node", "anchor"), ["doc_id", "anchor"], "left_semi")
         reached = union_all(reached, within.select("doc_id", "node"))
