@@ -18,11 +18,16 @@ SCRIPT = "catalogue"
 
 @query("scan_files", "select doc_id, strlen(text)::bigint + 1 as size, sha256(text || chr(10)) as sha256 from documents")
 def scan_files(spark, d):
-    """Documents written as one file each, a line break at the end, and read back: byte size and content hash."""
+    """Documents written as one file each, a line break at the end, and read back: byte size and content hash.
+
+    A folder holds the files of a thousand ids.
+    """
     path = scratch_path(spark, "files")
-    S.documents(spark, d).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    key = F.col("doc_id")
+    name = F.concat_ws("", F.floor(key / 1000).cast("string"), F.lit("/doc_id="), key.cast("string"), F.lit(".txt"))
+    I.write_files(S.documents(spark, d).select(name.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("content")), path)
     found = I.scan_files(spark, path, "*.txt")
-    return found.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), F.col("size"), "sha256")
+    return found.select(F.regexp_extract("path", "doc_id=(-?[0-9]+)", 1).cast("bigint").alias("doc_id"), F.col("size"), "sha256")
 
 
 @query(

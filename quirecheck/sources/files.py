@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirecheck.functions.text import strip
@@ -18,6 +21,31 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """One file for each row (path, content), its path below ``folder``; tasks write the files where they are to be.
+
+    Spark's own writers make one file of a folder, and the driver moves the folders one by one. A task that is run
+    again writes the same files again, so paths have to be distinct and must not depend on the order of rows.
+    """
+    uri = re.sub(r"\Afile:/+", "file:///", folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = FileSystem.from_uri(uri)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                path = f"{root}/{name}"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    files.create_dir(parent)
+                    made.add(parent)
+                with files.open_output_stream(path) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def wildcard(name: Column, pattern: str) -> Column:
     """``*`` stands for any text; everything else is literal and the whole name must match."""
     return name.rlike(r"(?s)\A" + ".*".join(re.escape(p) for p in pattern.split("*")) + r"\z")

@@ -106,3 +106,14 @@ def test_json_numbers_and_wrong_rows(blocks, tmp_path):
     rows = I.load_dataset_json(blocks, str(tmp_path)).orderBy("row_no").collect()
     assert [r["cells"] for r in rows] == [["a", "b"], ["2.50", "-1e3"], ["", "7"], None, None]
     assert [r["error"] for r in rows][3:] == ["row 3 is an array, but the first row was an object", "row 4 is neither, but the first row was an object"]
+
+
+def test_scanned_files_share_folders(monkeypatch, tmp_path):
+    from quirecheck.plans import reports
+
+    monkeypatch.setattr(reports, "scratch_path", lambda spark, name: f"file:{tmp_path}/{name}")
+    found = reports.scan_files(session(), "/root/testdata/sf0.001").collect()
+    written = [p for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert len(found) == len(written) == len({r["doc_id"] for r in found})
+    assert len({p.parent for p in written}) <= 2  # one for each document before, moved one by one by the driver
+    assert all(r["size"] == (tmp_path / "files" / str(r["doc_id"] // 1000) / f"doc_id={r['doc_id']}.txt").stat().st_size for r in found)
