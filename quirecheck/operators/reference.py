@@ -1,7 +1,8 @@
 """Lookups in reference tables and glossaries.
 
 A reference table is (row_no, cells): untyped rows of text in file order, a header row first. Equality is a
-join; "contains" walks the texts once with automata of the keys, each of bounded size.
+join. Keys inside names are found by a join too, with the pieces of the names that begin and are as long as a key;
+terms inside long texts by automata of bounded size, which walk the texts where they are.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from quirecheck.functions.terms import Terms
 from quirecheck.functions.text import normalize
 from quirecheck.functions.validators import digits_of
 from quirecheck.operators.unions import union_all
+from quirecheck.sources.checkpoints import checkpointed
 
 #: Shortest key, in bytes, that is sought inside a name.
 INSIDE = 3
+#: Letters at the start of a key that a piece of a name must share, at most, and the hashes of such starts.
+HEAD, HEADS = 8, 1 << 18
 #: Letters of the keys of one automaton, about.
 SHARD = 4_000_000
 
@@ -60,6 +64,26 @@ def containing(keys: DataFrame, texts: DataFrame, key: str, text: str, id_col: s
     return union_all(*found)
 
 
+def inside_names(keys: DataFrame, names: DataFrame, key: str, name: str, id_col: str) -> DataFrame:
+    """(key, id) of every name that contains the key, for distinct keys that are not empty.
+
+    Names are short. A table of bounded size, from the hash of a key's first letters to the lengths of such keys,
+    tells which pieces of a name can be keys; these meet the keys by an equi-join. Null names contain nothing.
+    """
+    shortest = keys.agg(F.min(F.char_length(key))).first()[0] or 1
+    head = min(HEAD, shortest)
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(HEADS)).cast("int")
+    lengths = keys.select(hashed(F.substring(key, 1, head)).alias("_head"), F.char_length(key).alias("_n")).groupBy("_head").agg(F.collect_set("_n").alias("_lengths"))
+    letters = F.char_length(name)
+    # Names are few bytes and many pieces, so they are dealt to all tasks whatever their size.
+    long = names.where(letters >= head).repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    starts = long.select(F.col(id_col), F.col(name), F.explode(F.sequence(F.lit(1), letters - head + 1)).alias("_at"))
+    able = starts.withColumn("_head", hashed(F.substring(F.col(name), F.col("_at"), F.lit(head)))).join(F.broadcast(lengths), "_head")
+    fit = able.select(id_col, name, "_at", F.explode("_lengths").alias("_n")).where(F.col("_at") + F.col("_n") <= letters + 1)
+    pieces = fit.select(F.substring(F.col(name), F.col("_at"), F.col("_n")).alias(key), id_col)
+    return keys.select(key).join(pieces, key)
+
+
 def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") -> DataFrame:
     """Adds ``cells``, the first data row that answers the key, or null.
 
@@ -67,18 +91,21 @@ def query_table(requests: DataFrame, reference: DataFrame, key: str = "key") ->
     second cell contains it; both sides are normalised. Each distinct key is looked up once.
     """
     asked = requests.withColumn("_key", normalize(F.col(key)))
-    keys = asked.select("_key").filter(F.col("_key").isNotNull()).distinct()
-    rows = reference.filter("row_no > 0").select(
+    # Both are read several times, and filters on what they compute would compute it again for each.
+    keys = checkpointed(asked.select("_key").distinct()).filter(F.col("_key").isNotNull())
+    rows = reference.select(
         "row_no",
+        "cells",
         normalize(F.col("cells")[0]).alias("_key"),
         normalize(F.coalesce(F.try_element_at("cells", F.lit(2)), F.lit(""))).alias("_name"),
     )
+    rows = checkpointed(rows).filter("row_no > 0")
     equal = keys.join(rows.select("_key", "row_no"), "_key")
     # Only the first row of a name can answer.
     names = rows.groupBy("_name").agg(F.min("row_no").alias("row_no"))
-    inside = containing(keys.filter(F.octet_length("_key") >= INSIDE), names, "_key", "_name", "row_no")
+    inside = inside_names(keys.filter(F.octet_length("_key") >= INSIDE), names, "_key", "_name", "row_no")
     first = union_all(equal, inside).groupBy("_key").agg(F.min("row_no").alias("row_no"))
-    answers = first.join(reference.select("row_no", "cells"), "row_no").select("_key", "cells")
+    answers = first.join(rows.select("row_no", "cells"), "row_no").select("_key", "cells")
     return asked.join(answers, "_key", "left").drop("_key")
 
 

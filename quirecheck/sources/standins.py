@@ -126,18 +126,16 @@ def inks(spark, d, numbered: bool = False) -> DataFrame:
 
 
 def _gtin13():
-    body = (F.lit(789000000000) + F.col("p_partkey") * 37).cast("string")
-    weighted = sum(
-        (F.ascii(F.substring(body, i, 1)) - 48) * (1 if i % 2 else 3) for i in range(1, 13)
-    )
+    number = F.lit(789000000000) + F.col("p_partkey") * 37
+    # Digits by arithmetic: a quotient of numbers below 10^15 never rounds up to a whole number.
+    weighted = sum(F.floor(number / 10 ** (12 - i)) % 10 * (1 if i % 2 else 3) for i in range(1, 13))
     right = (F.lit(10) - weighted % 10) % 10
-    digit = F.when(F.col("p_partkey") % 2 == 0, right).otherwise((right + 1) % 10)
-    return F.concat(body, digit.cast("string"))
+    return F.concat(number.cast("string"), ((right + F.col("p_partkey") % 2) % 10).cast("string"))
 
 
 def codes(spark, d) -> DataFrame:
     """One GTIN-13 per part, four parts to a document; odd parts carry a wrong check digit."""
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")).select(
         F.floor(F.col("p_partkey") / 4).alias("doc_id"),
         F.col("p_partkey").alias("code_no"),
         (F.col("p_partkey") % 7 + 1).alias("page_no"),
@@ -157,7 +155,7 @@ def reference_rows(spark, d) -> DataFrame:
         F.lit(0).cast("bigint").alias("row_no"),
         F.array(F.lit("gtin"), F.lit("name"), F.lit("brand")).alias("cells"),
     )
-    rows = table(spark, d, "part").select(
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand")).select(
         (F.col("p_partkey") + 1).alias("row_no"),
         F.array(
             _gtin13(),
