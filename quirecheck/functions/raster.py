@@ -73,14 +73,19 @@ def _div(a: Column, b: Column | int) -> Column:
     return F.floor(a / b).cast("int")
 
 
+def _sample(p: np.ndarray, w: int, h: int, to_w: int, to_h: int) -> np.ndarray:
+    y, x = np.arange(to_h) * h // to_h, np.arange(to_w) * w // to_w
+    return p[y[:, None] * w + x[None, :]].ravel()
+
+
 def resize(px: Column, w: Column, h: Column, new_w: Column, new_h: Column) -> Column:
     """Nearest neighbour: target x takes source ``x * w div new_w``."""
+    return _per_raster(_sample, "array<int>", px, w, h, new_w, new_h)
 
-    def sample(p, w, h, to_w, to_h):
-        y, x = np.arange(to_h) * h // to_h, np.arange(to_w) * w // to_w
-        return p[y[:, None] * w + x[None, :]].ravel()
 
-    return _per_raster(sample, "array<int>", px, w, h, new_w, new_h)
+def _sampled(kernel: Callable, side: int | None) -> Callable:
+    """``kernel(p, w, h)`` of a sample of ``side`` x ``side``, one raster at a time, so no batch of enlarged rasters is held."""
+    return kernel if side is None else lambda p, w, h: kernel(_sample(p, w, h, side, side), side, side)
 
 
 def ssim(a: Column, b: Column) -> Column:
@@ -150,8 +155,8 @@ def hamming(a: Column, b: Column) -> Column:
 # ---- quality ----
 
 
-def blockiness(px: Column, w: Column, h: Column) -> Column:
-    """Mean step across 8-pixel block borders over the mean step elsewhere."""
+def blockiness(px: Column, w: Column, h: Column, side: int | None = None) -> Column:
+    """Mean step across 8-pixel block borders over the mean step elsewhere, of the raster or of a ``side`` x ``side`` sample."""
 
     def ratio(p, w, h):
         if w < 16 or h < 16:
@@ -162,7 +167,7 @@ def blockiness(px: Column, w: Column, h: Column) -> Column:
         on, off = int(steps[border].sum()) / borders, int(steps[~border].sum()) / ((w - 1) * h - borders)
         return 1.0 if on < 0.01 else on / max(off, 0.05)
 
-    return _per_raster(ratio, "double", px, w, h)
+    return _per_raster(_sampled(ratio, side), "double", px, w, h)
 
 
 def quality(block: Column) -> Column:
@@ -189,8 +194,8 @@ def line_is_banded(line: np.ndarray) -> bool:
     return max(up, len(jumps) - up) * 5 >= len(jumps) * 4 and (jumps[-1] - jumps[0]) / (len(jumps) - 1) >= 4
 
 
-def is_banded(px: Column, w: Column, h: Column) -> Column:
-    """At least three suspicious lines among sampled columns and rows of the middle half."""
+def is_banded(px: Column, w: Column, h: Column, side: int | None = None) -> Column:
+    """At least three suspicious lines among sampled columns and rows of the middle half, or of that of a ``side`` x ``side`` sample."""
 
     def banded(p, w, h):
         if w < 32 or h < 32:
@@ -200,7 +205,7 @@ def is_banded(px: Column, w: Column, h: Column) -> Column:
         rows = (page[y] for y in range(h // 4, h * 3 // 4, max(h // 16, 1)))
         return sum(line_is_banded(x) for x in (*columns, *rows)) >= 3
 
-    return _per_raster(banded, "boolean", px, w, h)
+    return _per_raster(_sampled(banded, side), "boolean", px, w, h)
 
 
 # ---- colour comparison ----

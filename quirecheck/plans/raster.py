@@ -201,11 +201,8 @@ def image_replaced(spark, d):
     return hashed.join(after, "page_id").select("page_id", (X.hamming(F.col("bits"), F.col("next_bits")) > 10).alias("replaced"))
 
 
-def _scaled(spark, d, side):
-    size = F.lit(side)
-    # Sizes are set apart: inside a lambda the name w would already mean the new column.
-    big = S.rasters(spark, d).select("page_id", X.resize(F.col("px"), F.col("w"), F.col("h"), size, size).alias("px"))
-    return big.withColumn("w", size).withColumn("h", size)
+def _blockiness():
+    return X.blockiness(F.col("px"), F.col("w"), F.col("h"), side=32)
 
 
 def _sql_scaled(times: int) -> str:
@@ -219,7 +216,7 @@ _SQL_BLOCK = """select page_id, case when a < 0.01 then 1 else a / greatest(b, 0
 
 @query("artifacts", O.sql("pix", "select page_id, block > 1.6 as artifacts from blocks", big=_sql_scaled(4), blocks=_SQL_BLOCK))
 def artifacts(spark, d):
-    return _scaled(spark, d, 32).select("page_id", (X.blockiness(F.col("px"), F.col("w"), F.col("h")) > 1.6).alias("artifacts"))
+    return S.rasters(spark, d).select("page_id", (_blockiness() > 1.6).alias("artifacts"))
 
 
 @query(
@@ -232,7 +229,7 @@ def artifacts(spark, d):
     ),
 )
 def image_quality(spark, d):
-    return _scaled(spark, d, 32).select("page_id", X.quality(X.blockiness(F.col("px"), F.col("w"), F.col("h"))).alias("quality"))
+    return S.rasters(spark, d).select("page_id", X.quality(_blockiness()).alias("quality"))
 
 
 @query(
@@ -272,9 +269,7 @@ def banding(spark, d):
     """Even rasters become a stepped horizontal gradient with a little texture."""
     gradient = F.transform("px", lambda v, i: i % 8 * 30 + F.floor(v / 64).cast("int"))
     px = F.when(F.col("page_id") % 2 == 0, gradient).otherwise(F.col("px"))
-    side = F.lit(64)
-    big = S.rasters(spark, d).select("page_id", X.resize(px, F.col("w"), F.col("h"), side, side).alias("px"))
-    return big.select("page_id", X.is_banded(F.col("px"), side, side).alias("banding"))
+    return S.rasters(spark, d).select("page_id", X.is_banded(px, F.col("w"), F.col("h"), side=64).alias("banding"))
 
 
 # ---- colour rasters: a page is cut to 6 columns in the second version ----
