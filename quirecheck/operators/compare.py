@@ -7,18 +7,21 @@ edit distance on aligned pairs only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quirecheck.functions.distance import list_distance
+from quirecheck.functions.overlap import overlapping
 from quirecheck.functions.text import diff_sample, prepare, tokens
-from quirecheck.functions.values import rounded
+from quirecheck.functions.values import let, rounded
 from quirecheck.operators.checks import ERROR, WARNING
 from quirecheck.operators.layout import printed
 from quirecheck.operators.ordinals import around
 from quirecheck.operators.unions import union_all
-from quirecheck.sources.checkpoints import checkpointed
+from quirecheck.sources.checkpoints import checkpointed, scratch_path, stored
 
 # Pages by which the band is wider than the difference in length, and the word overlap of a match.
 SLACK, OVERLAP = 25, 0.6
@@ -47,6 +50,11 @@ def changed_metadata(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # ---- candidate pairs ----
 
+#: Documents of up to so many pages a side are compared in one cell, and pairs whose band is wider meet by a join.
+PAGES, WIDE = 256, 500
+#: Words of whole cells that are compared at once.
+WORDS = 1 << 18
+
 
 def _word_sets(pages: DataFrame, counts: DataFrame, slack: int) -> DataFrame:
     """Distinct words of each page, the pair's band, and the words that must meet a match.
@@ -61,21 +69,15 @@ def _word_sets(pages: DataFrame, counts: DataFrame, slack: int) -> DataFrame:
     keep = F.col("size") - F.floor((F.col("size") * 3 + 4) / 5).cast("int") + 1
     band = F.abs(F.col("n") - F.col("m")) + slack
     return (
-        pages.select("doc_id", "page_no", some.alias("words"))
+        pages.join(counts.select("doc_id", band.alias("band"), F.greatest("n", "m").alias("pages")), "doc_id")
+        .select("doc_id", "page_no", some.alias("words"), "band", "pages")
         .withColumn("size", F.size("words"))
         .withColumn("prefix", F.transform(F.slice(ranked, 1, keep), lambda s: s["word"]))
-        .join(counts.select("doc_id", band.alias("band"), F.greatest("n", "m").alias("pages")), "doc_id")
     )
 
 
-def page_matches(a: DataFrame, b: DataFrame, slack: int = SLACK) -> DataFrame:
-    """(doc_id, i, j, band): pages that may be the same page of two versions.
-
-    They have equal word sets, both none, or a Jaccard index of at least 0.6, and their numbers
-    differ by no more than the band, ``|n - m| + slack``; pages further apart are not matched. The band
-    also cuts the join into diagonal blocks, so a word on every page meets only the pages near it.
-    """
-    counts = page_counts(a, b)
+def _joined_matches(a: DataFrame, b: DataFrame, counts: DataFrame, slack: int) -> DataFrame:
+    """Matches of the pairs in ``counts``, by a join on the words that must meet a match, however many pages there are."""
     left, right = _word_sets(a, counts, slack), _word_sets(b, counts, slack)
     block = F.floor(F.col("page_no") / (F.col("band") + 1))
     lefts = left.select(
@@ -107,6 +109,98 @@ def page_matches(a: DataFrame, b: DataFrame, slack: int = SLACK) -> DataFrame:
     )
 
 
+def _cells(pages: DataFrame, side: int, long: DataFrame) -> DataFrame:
+    """Pages with the cells they meet in: the whole pair, or a stretch of the diagonal four times as long as the band.
+
+    A page of the second version goes to every cell that has a page within the band.
+    """
+    numbered = pages.filter(F.col("doc_id").isNotNull() & F.col("page_no").isNotNull())
+    placed = numbered.select("doc_id", "page_no", "text").join(long.select("doc_id", "band"), "doc_id", "left")
+    width = (F.col("band") + 1) * 4
+    reach = F.col("band") if side else F.lit(0)
+    cell = lambda number: F.coalesce(F.floor(number / width), F.lit(0))
+    cells = F.sequence(cell(F.col("page_no") - reach), cell(F.col("page_no") + reach))
+    return placed.filter(F.coalesce(F.col("band") <= WIDE, F.lit(True))).select(
+        "doc_id", F.explode(cells).alias("cell"), F.lit(bool(side)).alias("second"), F.col("page_no").cast("long").alias("page_no"), "band", "text"
+    )
+
+
+def _cell_matches(a: DataFrame, b: DataFrame, long: DataFrame, slack: int) -> DataFrame:
+    """Matches of pairs with a narrow band; cells are brought together, and many whole cells are compared at once."""
+    kind = dict(a.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, i long, j long, band long"
+
+    def compared(rows: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
+        second, number, band = (rows.column(c).combine_chunks() for c in ("second", "page_no", "band"))
+        second, number = second.to_numpy(zero_copy_only=False), number.to_numpy()
+        n, m = (np.bincount(cell[second == s], minlength=int(cell[-1]) + 1) for s in (False, True))
+        band = np.where(band.is_valid().to_numpy(zero_copy_only=False), band.fill_null(0).to_numpy(), (np.abs(n - m) + slack)[cell])
+        words = rows.column("words").combine_chunks()
+        codes = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        # A cell that lacks a side gives nothing.
+        both = ((n > 0) & (m > 0))[cell[row]]
+        p, q = overlapping(cell, second, number, band, row[both], codes[both], OVERLAP)
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks().take(pa.array(p)), pa.array(number[p]), pa.array(number[q]), pa.array(band[p], pa.int64())], names=["doc_id", "i", "j", "band"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, words
+            rows = pa.Table.from_batches(held)
+            doc, cell = (rows.column(c).combine_chunks() for c in ("doc_id", "cell"))
+            doc, cell = doc.dictionary_encode().indices.to_numpy(zero_copy_only=False), cell.to_numpy()
+            number = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])])
+            # The last cell may go on in the next batch.
+            upto = len(number) if last else int(np.searchsorted(number, number[-1]))
+            sums = np.cumsum(rows.column("words").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < upto:
+                most = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + WORDS, "right"))
+                end = upto if most >= upto else max(int(np.searchsorted(number, number[most])), int(np.searchsorted(number, number[at], "right")))
+                yield compared(rows.slice(at, end - at), number[at:end] - number[at])
+                at = end
+            held, words = rows.slice(upto).to_batches(), int(sums[-1] - (sums[upto - 1] if upto else 0))
+
+        limit = WORDS
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                words += len(batch.column("words").flatten())
+                if words >= limit:
+                    yield from whole(False)
+                    limit = words * 2 + WORDS  # a long cell is not looked through for each batch again
+        if held:
+            yield from whole(True)
+
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = union_all(_cells(a, 0, long), _cells(b, 1, long)).repartition(n, "doc_id", "cell").sortWithinPartitions("doc_id", "cell")
+    words = tokens(F.col("text"))
+    # A page without words holds the empty word only.
+    some = let(words, lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w))
+    return rows.select("doc_id", "cell", "second", "page_no", "band", some.alias("words")).mapInArrow(run, schema)
+
+
+def page_matches(a: DataFrame, b: DataFrame, slack: int = SLACK) -> DataFrame:
+    """(doc_id, i, j, band): pages that may be the same page of two versions.
+
+    They have equal word sets, both none, or a Jaccard index of at least 0.6, and their numbers
+    differ by no more than the band, ``|n - m| + slack``; pages further apart are not matched. The band
+    also cuts a pair into cells along the diagonal, so a page meets only the pages near it. Cells of versions
+    whose lengths differ widely could be of any size; their pages meet by a join on words.
+    """
+    spark = a.sparkSession
+    band = F.abs(F.col("n") - F.col("m")) + slack
+    # Few documents are long: their bands are a small table.
+    long = stored(page_counts(a, b).withColumn("band", band).filter((F.greatest("n", "m") > PAGES)), scratch_path(spark, "page-bands"))
+    found = _cell_matches(a, b, long, slack)
+    wide = long.filter(F.col("band") > WIDE)
+    if wide.isEmpty():
+        return found
+    return union_all(found, _joined_matches(a, b, wide, slack))
+
+
 # ---- alignment ----
 
 
