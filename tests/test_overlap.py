@@ -57,3 +57,9 @@ def test_pages_of_a_pair_are_not_dealt_by_word(spark):
     pages = spark.createDataFrame([(1, 1, "some words of a page")], "doc_id long, page_no long, text string")
     plan = C.page_matches(pages, pages)._jdf.queryExecution().optimizedPlan().toString()
     assert "meet" not in plan and "array_intersect" not in plan
+
+
+def test_words_of_equal_pages_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(C, "list_distance", lambda a, b: F.when(a.isNotNull(), F.lit(1)))
+    pairs = spark.createDataFrame([("a b", "a b"), ("", ""), ("a b", "a c"), ("a", None)], "text_a string, text_b string")
+    assert [r.similarity for r in C.with_word_similarity(pairs).collect()] == [1.0, 1.0, 0.5, None]
