@@ -127,11 +127,10 @@ def low_frequencies(px: Column, w: Column, h: Column) -> Column:
     Values are rounded to 1e-6, so bits do not depend on the order of floating-point sums.
     """
 
-    def block(p):
-        return np.round((COSINES @ p.reshape(SIDE, SIDE).astype(np.float64) @ COSINES.T).ravel(), 6)
+    def block(p, w, h):
+        return np.round((COSINES @ p.reshape(h, w).astype(np.float64) @ COSINES.T).ravel(), 6)
 
-    side = F.lit(SIDE)
-    return _per_raster(block, "array<double>", resize(px, w, h, side, side))
+    return _per_raster(_sampled(block, SIDE), "array<double>", px, w, h)
 
 
 def hash_bits(block: Column) -> Column:

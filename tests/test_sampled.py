@@ -43,3 +43,15 @@ def test_no_enlarged_raster_leaves_its_kernel(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * 8 * 2048 * 2048
+
+
+def test_hash_keeps_no_sample(spark, monkeypatch):
+    """Before, samples of 32 x 32 left one kernel for the next, a whole batch of them."""
+    px, w, h, side = F.col("px"), F.col("w"), F.col("h"), F.lit(X.SIDE)
+    big = X.resize(px, w, h, side, side)
+    found = rasters(spark).select(X.low_frequencies(big, side, side).alias("want"), X.low_frequencies(px, w, h).alias("got")).collect()
+    assert all(r.got == r.want for r in found)
+    made = []
+    monkeypatch.setattr(X.F, "arrow_udf", lambda f, kind: lambda *columns: made.append(kind))
+    X.low_frequencies("px", "w", "h")
+    assert len(made) == 1
