@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirecheck.functions.text import strip
 from quirecheck.operators.unions import union_all
+from quirecheck.sources.checkpoints import scratch_path, stored
 from quirecheck.sources.records import csv_records, json_items
 
 
@@ -98,8 +99,11 @@ def csv_cells(record: Column) -> Column:
 
 
 def load_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every JSON file under ``path``, as of :func:`json_rows`; a file of any size is read by many tasks."""
-    items = json_items(spark, path)
+    """Rows of every JSON file under ``path``, as of :func:`json_rows`; a file of any size is read by many tasks.
+
+    The items are read several times, so they are written out once.
+    """
+    items = stored(json_items(spark, path), scratch_path(spark, "json-items"))
     files = items.groupBy("file").agg(F.min("row_no").alias("low"), F.max("row_no").alias("high"), F.min_by("record", "row_no").alias("head"))
     opened = lambda c: F.regexp_replace(c, r"\A\s*\[", "")
     closed = lambda c: F.regexp_replace(c, r"\]\s*\z", "")

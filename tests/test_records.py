@@ -117,3 +117,13 @@ def test_scanned_files_share_folders(monkeypatch, tmp_path):
     assert len(found) == len(written) == len({r["doc_id"] for r in found})
     assert len({p.parent for p in written}) <= 2  # one for each document before, moved one by one by the driver
     assert all(r["size"] == (tmp_path / "files" / str(r["doc_id"] // 1000) / f"doc_id={r['doc_id']}.txt").stat().st_size for r in found)
+
+
+def test_json_files_share_folders(monkeypatch, tmp_path):
+    from quirecheck.plans import reports
+
+    monkeypatch.setattr(reports, "scratch_path", lambda spark, name: f"file:{tmp_path}/{name}")
+    found = reports.load_dataset_json(session(), "/root/testdata/sf0.001").collect()
+    written = [p for p in (tmp_path / "table-json").rglob("part=*") if p.is_file()]
+    assert len(written) == sum(r["c1"] == "c1" for r in found) > 1
+    assert len({p.parent for p in written}) == 1  # one for each file before, moved one by one by the driver
