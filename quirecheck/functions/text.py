@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -138,6 +140,29 @@ def personal_data(c: Column) -> Column:
     return F.concat(*[found(label, shape) for label, shape in PII_SHAPES.items()])
 
 
+#: Bytes of lines that are compared at once.
+STRETCH = 4 << 20
+
+
+def _in_stretches(kernel: Callable[[pa.Array, pa.Array], pa.Array]) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """``kernel`` on a few rows of two columns of lines after the other, so what it makes of them is never made of a whole batch."""
+
+    def ends(lists: pa.Array) -> np.ndarray:
+        sizes = np.r_[0, np.cumsum(pc.binary_length(lists.flatten()).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        return sizes[np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        total = ends(left) + ends(right)
+        parts, at = [], 0
+        while at < len(left) or not parts:
+            end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + STRETCH, "right")), at + 1)
+            parts.append(kernel(left.slice(at, end - at), right.slice(at, end - at)))
+            at = end
+        return pa.concat_arrays(parts)
+
+    return run
+
+
 def _only(left: pa.Array, right: pa.Array) -> list[tuple[pa.Array, np.ndarray]]:
     """Lines that the other side of their row lacks, copies kept, and their rows: of the left, then of the right side.
 
@@ -174,7 +199,7 @@ def line_diff(a: Column, b: Column) -> Column:
         marked = pa.concat_arrays([pc.binary_join_element_wise("-", gone, ""), pc.binary_join_element_wise("+", new, "")])
         return _dealt(rows[order], marked.take(pa.array(order)), known)
 
-    return F.arrow_udf(changed, "array<string>")(lines(a), lines(b))
+    return F.arrow_udf(_in_stretches(changed), "array<string>")(lines(a), lines(b))
 
 
 def diff_sample(a: Column, b: Column, limit: int = 3) -> Column:
@@ -190,7 +215,7 @@ def diff_sample(a: Column, b: Column, limit: int = 3) -> Column:
             sides.append(pc.binary_join(_dealt(rows[first], marked, known), ""))
         return pc.binary_join_element_wise(*sides, "")
 
-    return F.arrow_udf(sample, "string")(lines(a), lines(b))
+    return F.arrow_udf(_in_stretches(sample), "string")(lines(a), lines(b))
 
 
 def mask_dates(c: Column) -> Column:
