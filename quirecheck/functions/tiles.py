@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 from quirecheck.functions.raster import LONGEST_RGB, WEIGHTS
 
@@ -79,19 +80,75 @@ def shift_sums(a: np.ndarray, window: np.ndarray, known: np.ndarray, reach: int)
     The window has a margin of ``reach`` around ``a``; only its ``known`` values count.
     """
     h, w = a.shape
-    sums, counts = [], []
+    n = 2 * reach + 1
+    views, there = (sliding_window_view(x, (h, w)) for x in (window, known.view(np.uint8)))
     whole = bool(known.all())
-    for dy in range(2 * reach + 1):
-        for dx in range(2 * reach + 1):
-            apart = np.abs(np.subtract(a, window[dy : dy + h, dx : dx + w], dtype=np.int16))
-            if whole:
-                sums.append(int(apart.sum(dtype=np.int64)))
-                counts.append(h * w)
-            else:
-                there = known[dy : dy + h, dx : dx + w]
-                sums.append(int((apart * there).sum(dtype=np.int64)))
-                counts.append(int(np.count_nonzero(there)))
-    return np.array(sums), np.array(counts)
+    # As many rows of shifts at a time as stay small.
+    step = max(1, 2**20 // (n * h * w))
+    sums = []
+    for at in range(0, n, step):
+        view = views[at : at + step]
+        apart = np.maximum(view, a) - np.minimum(view, a)
+        if not whole:
+            apart *= there[at : at + step]
+        sums.append(apart.reshape(-1, h * w).sum(1, dtype=np.int64))
+    # What is known above and to the left of each place.
+    before = np.zeros((known.shape[0] + 1, known.shape[1] + 1), np.int64)
+    before[1:, 1:] = known.cumsum(0).cumsum(1)
+    counts = before[h:, w:] - before[:-h, w:] - before[h:, :-w] + before[:-h, :-w]
+    return np.concatenate(sums), counts.ravel()
+
+
+def searched(a: np.ndarray, window: np.ndarray, known: np.ndarray, reach: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """``shift_sums``, and how many values differ by more than ``threshold`` at the centre."""
+    h, w = a.shape
+    centre = slice(reach, reach + h), slice(reach, reach + w)
+    apart = np.abs(np.subtract(a, window[centre], dtype=np.int16)) / 255 > threshold
+    return *shift_sums(a, window, known, reach), int(np.count_nonzero(apart & known[centre]))
+
+
+def _placed(planes: np.ndarray, y: int, x: int, canvas: np.ndarray, known: np.ndarray | None = None) -> None:
+    """Puts planes on a canvas, their first pixel at (y, x), as far as they are on it."""
+    h, w = planes.shape[-2:]
+    tall, wide = canvas.shape[-2:]
+    top, bottom, left, right = max(y, 0), min(y + h, tall), max(x, 0), min(x + w, wide)
+    if top < bottom and left < right:
+        canvas[..., top:bottom, left:right] = planes[..., top - y : bottom - y, left - x : right - x]
+        if known is not None:
+            known[top:bottom, left:right] = True
+
+
+def on_white(planes: np.ndarray, y: int, x: int, tall: int, wide: int) -> np.ndarray:
+    """A white canvas with the planes at (y, x)."""
+    if (y, x) == (0, 0) and planes.shape[1:] == (tall, wide):
+        return planes
+    canvas = np.full((len(planes), tall, wide), WHITE, np.uint8)
+    _placed(planes, y, x, canvas)
+    return canvas
+
+
+def lined_up(a: dict[int, np.ndarray], b: dict[int, np.ndarray], coarse: int, fine: int, reach: int, threshold: float, align_above: float) -> tuple[int, int]:
+    """(dx, dy) by which a new page of one tile is moved to fit the old one, from grey copies by scale."""
+
+    def best(scale: int, cx: int, cy: int, reach: int) -> tuple[int, int, float] | None:
+        h, w = a[scale].shape
+        window, known = np.zeros((h + 2 * reach, w + 2 * reach), np.uint8), np.zeros((h + 2 * reach, w + 2 * reach), bool)
+        _placed(b[scale], reach - cy, reach - cx, window, known)
+        if not known.any():
+            return None
+        sums, counts, rough = searched(a[scale], window, known, reach, threshold)
+        # The smallest mean, the first place in scan order among equal ones.
+        at = int(np.argmin(np.divide(sums, counts, out=np.full(len(sums), np.inf), where=counts > 0)))
+        common = int(counts[(2 * reach + 1) * reach + reach])
+        return at % (2 * reach + 1) - reach, at // (2 * reach + 1) - reach, rough / common * 100 if common else 0.0
+
+    x, y, share = best(coarse, 0, 0, reach)
+    if share < align_above:
+        return 0, 0
+    # Truncates toward zero, like the integer division it stands for.
+    cx, cy = (int(v * coarse / fine) for v in (x, y))
+    found = best(fine, cx, cy, coarse // fine)
+    return (0, 0) if found is None else (-(cx + found[0]) * fine, -(cy + found[1]) * fine)
 
 
 def moments(a: np.ndarray, b: np.ndarray) -> list[int]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quirecheck.functions.values import let
 from quirecheck.sources.reading import spread
+from quirecheck.operators.tiles import gathered
 from quirecheck.operators.unions import union_all
 
 MAX_PIXEL = 255
@@ -265,7 +266,7 @@ def text_scans(spark, d) -> DataFrame:
     The new version, side 1, is moved right and down by a few pixels, and some of its pixels are inverted.
     """
 
-    def run(batches):
+    def rows(batches):
         values = np.arange(256, dtype=np.int64)
         ink = np.stack([values * k % 256 for k in (7, 13, 29)]).astype(np.uint8)
         for batch in batches:
@@ -277,13 +278,13 @@ def text_scans(spark, d) -> DataFrame:
                 old = old.reshape(3, h, w)
                 new, dx, dy = np.full_like(old, MAX_PIXEL), 2 * (doc % 4), 2 * (doc // 4 % 3)
                 new[:, dy:, dx:] = old[:, : max(h - dy, 0), : w - dx]
-                y, x = np.mgrid[:h, :w]
-                inverted = (x * 31 + y * 17 + doc) % 97 == 0
-                new[:, inverted] = MAX_PIXEL - new[:, inverted]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("page").take(pa.array([i, i])), pa.array([0, 1], pa.int32()), pa.array([w, w], pa.int32()), pa.array([h, h], pa.int32()), pa.array([old.tobytes(), new.tobytes()], pa.binary())],
-                    names=["page", "side", "page_w", "page_h", "planes"],
-                )
+                inverted = ((np.arange(w) * 31)[None, :] + (np.arange(h) * 17)[:, None] + doc) % 97 == 0
+                np.subtract(MAX_PIXEL, new, out=new, where=inverted)
+                for side, page in enumerate((old, new)):
+                    yield batch.column("page").slice(i, 1), side, w, h, page.tobytes()
+
+    def run(batches):
+        return gathered(rows(batches), {"side": pa.int32(), "page_w": pa.int32(), "page_h": pa.int32(), "planes": pa.binary()})
 
     pages = documents(spark, d).select(F.struct("doc_id").alias("page"), "text")
     return pages.mapInArrow(run, "page struct<doc_id: bigint>, side int, page_w int, page_h int, planes binary")

@@ -102,3 +102,50 @@ def test_similarity_equals_whole_pages():
         cov = ((x - x.mean()) * (y - y.mean())).mean()
         want = (2 * x.mean() * y.mean() + 6.5025) * (2 * cov + 58.5225) / ((x.mean() ** 2 + y.mean() ** 2 + 6.5025) * (x.var() + y.var() + 58.5225))
         assert got[i] == pytest.approx(want)
+
+
+def test_pages_of_one_tile_are_compared_where_they_meet(monkeypatch):
+    """Only pages of several tiles are dealt again; a small page with a large version is one of them."""
+    rng = np.random.default_rng(5)
+    a = np.repeat(np.repeat(rng.integers(0, 256, (6, 6, 3)), 6, 0), 6, 1).astype(np.uint8)
+    b = np.full_like(a, 255)
+    b[4:, 2:] = a[:-4, :-2]
+    small = [(1, 1, 0, 36, 36, planes(a)), (1, 1, 1, 36, 36, planes(b)), (2, 1, 0, 36, 36, planes(a)), (2, 1, 1, 30, 20, planes(a[:20, :30]))]
+    mixed = [(3, 1, 0, 36, 36, planes(a)), (3, 1, 1, 36, 108, planes(np.concatenate([b] * 3))), (4, 1, 1, 36, 36, planes(b))]
+    of = lambda rows, size: {r["page"]["doc_id"]: tuple(r)[1:] for r in T.compare_tiles(T.tiles_of(framed(rows), size), blur=1, block=8, size=size).collect()}
+    want = of(small + mixed, 16)
+    assert set(want) == {1, 2, 3} and want[1][:2] != (0, 0) and of(small + mixed, 64) == want
+
+    def dealt(*_):
+        raise AssertionError("pages of one tile were dealt again")
+
+    monkeypatch.setattr(T, "shifts", dealt)
+    assert of(small, 64) == {k: want[k] for k in (1, 2)}
+
+
+def test_shift_sums_of_partly_known_windows():
+    rng = np.random.default_rng(8)
+    for h, w, reach in ((1, 1, 2), (5, 9, 4), (130, 128, 4)):
+        a, window = (rng.integers(0, 256, s).astype(np.uint8) for s in ((h, w), (h + 2 * reach, w + 2 * reach)))
+        known = np.zeros(window.shape, bool)
+        known[reach // 2 : h + reach, 1 : w + 2] = True
+        sums, counts = K.shift_sums(a, window, known, reach)
+        places = [(y, x) for y in range(2 * reach + 1) for x in range(2 * reach + 1)]
+        there = [known[y : y + h, x : x + w] for y, x in places]
+        assert counts.tolist() == [int(t.sum()) for t in there]
+        assert sums.tolist() == [int((np.abs(window[y : y + h, x : x + w].astype(int) - a) * t).sum()) for (y, x), t in zip(places, there)]
+
+
+def test_similarity_reads_its_tiles_once():
+    spark = session()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    grey = bytes(range(240))
+    tiles = T.tiles_of(framed([(1, 1, 0, 8, 10, grey), (1, 1, 1, 8, 10, grey), (2, 1, 0, 8, 10, grey), (2, 1, 1, 10, 8, grey)]), 16)
+    found = T.similarity(tiles.mapInArrow(counted, tiles.schema), 16).collect()
+    assert [(r["page"]["doc_id"], r["ssim"]) for r in found] == [(1, pytest.approx(1.0))] and seen.value == 4
