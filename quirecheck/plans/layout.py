@@ -10,6 +10,7 @@ from quirecheck.operators import layout as L
 from quirecheck.plans import oracle_tables as O
 from quirecheck.plans.registry import query
 from quirecheck.sources import standins as S
+from quirecheck.sources.reading import dealt
 from quirecheck.operators.unions import union_all
 
 SEP = " ¦ "
@@ -185,7 +186,8 @@ def hairlines_exact(spark, d):
     ),
 )
 def list_fonts(spark, d):
-    listed = L.first_seen(S.fonts(spark, d, numbered=True), "name", "pos", "fonts")
+    fonts = dealt(S.fonts(spark, d), S.table(spark, d, "lineitem"), "doc_id")
+    listed = L.first_seen(fonts, "name", "pos", "fonts")
     return listed.withColumn("fonts", _joined("fonts"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quirecheck.functions.values import let
-from quirecheck.sources.reading import spread
+from quirecheck.sources.reading import dealt, spread, tasks
 from quirecheck.operators.tiles import gathered
 from quirecheck.operators.unions import union_all
 
@@ -30,10 +30,13 @@ def documents(spark, d) -> DataFrame:
 # ---- elements of an order: one line item is one page, image, font use or ink ----
 
 
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
 def numbered_lines(spark, d) -> DataFrame:
     """Line items with ``pos``, the 1-based element number within the order."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return table(spark, d, "lineitem").withColumn("pos", F.row_number().over(order).cast("bigint"))
+    lines = table(spark, d, "lineitem")
+    return dealt(lines, lines, "l_orderkey").withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("bigint"))
 
 
 def _color_space():
@@ -65,12 +68,15 @@ def images(spark, d, numbered: bool = False) -> DataFrame:
     return numbered_lines(spark, d).select(F.col("pos").alias("page_no"), *_image_columns())
 
 
-def fonts(spark, d, numbered: bool = False) -> DataFrame:
-    lines = numbered_lines(spark, d) if numbered else table(spark, d, "lineitem")
+def fonts(spark, d) -> DataFrame:
+    """One font use per line item; ``pos`` orders the uses of a document, without numbering them."""
+    lines = table(spark, d, "lineitem")
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    if tasks(lines):  # if the planner sorts both sides for the join, it follows this number
+        part = dealt(part, lines, "p_partkey")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("doc_id"),
-        *([F.col("pos")] if numbered else []),
+        F.struct(*LINE_ORDER).alias("pos"),
         F.col("p_brand").alias("name"),
         (F.col("l_linestatus") == "F").alias("embedded"),
         (F.col("l_returnflag") == "N").alias("subset"),

@@ -1,6 +1,7 @@
 """Cases that once lost or mixed up rows."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,18 @@ def test_line_differences_are_linear(spark):
     start = time.time()
     row = df.select(F.size(text.line_diff(F.col("a"), F.col("b"))).alias("n"), text.diff_sample(F.col("a"), F.col("b"), 1).alias("s")).first()
     assert row["n"] == n and row["s"] == " | -old 0 | +new 0" and time.time() - start < 60
+
+
+def test_numbers_of_tasks_follow_the_size_of_the_table(spark, monkeypatch):
+    """A task that orders the elements of documents does not hold more of a larger table."""
+    from quirecheck.plans import all_queries
+    from quirecheck.sources import reading, standins
+
+    d = "/root/testdata/sf0.001"
+    few = sorted(map(tuple, all_queries()["list_fonts"].build(spark, d).collect()))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = os.path.getsize(f"{d}/lineitem.parquet")
+    monkeypatch.setattr(reading, "TASK_BYTES", size // (usual + 5))
+    assert standins.numbered_lines(spark, d).rdd.getNumPartitions() > usual
+    many = all_queries()["list_fonts"].build(spark, d)
+    assert many.rdd.getNumPartitions() > usual and sorted(map(tuple, many.collect())) == few
