@@ -211,3 +211,18 @@ def test_numbers_of_tasks_follow_the_size_of_the_table(spark, monkeypatch):
     assert standins.numbered_lines(spark, d).rdd.getNumPartitions() > usual
     many = all_queries()["list_fonts"].build(spark, d)
     assert many.rdd.getNumPartitions() > usual and sorted(map(tuple, many.collect())) == few
+
+
+def test_pages_with_their_spans_need_no_shuffle(spark):
+    from quirecheck.plans import all_queries
+
+    regions = [("a", 0.0, 0.0, 20.0, 20.0), ("b", 10.0, 10.0, 30.0, 5.0), ("none", 90.0, 90.0, 1.0, 1.0)]
+    rows = [(d, n, p, f"w{p}" if p % 5 else None, float(p * 7 % 40) if p % 6 else None, float(p * 3 % 25)) for d in (1, 2, None) for n in (1, 2) for p in range(d or 9, 30)]
+    spans = spark.createDataFrame(rows[::-1], "doc_id int, page_no int, pos int, text string, x double, y double")
+    pages = spans.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("pos", "text", "x", "y")).alias("spans"))
+    empty = spark.createDataFrame([(9, 1, []), (9, 2, None)], "doc_id int, page_no int, spans array<struct<pos:int,text:string,x:double,y:double>>")
+    want = sorted(map(repr, P.text_in_regions(spans, regions, " ").collect()))
+    assert sorted(map(repr, P.text_of_pages_in_regions(pages.union(empty), regions, " ").collect())) == want and len(want) == 12
+    # Only the few files of a small table are dealt to all cores.
+    plan = all_queries()["extract_from_region"].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") <= 1
