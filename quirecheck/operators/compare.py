@@ -282,7 +282,7 @@ def align(matches: DataFrame) -> DataFrame:
         & (F.coalesce("max_before", F.lit(-1)) < F.col("j_min"))
         & (F.col("min_after").isNull() | (F.col("min_after") > F.col("j_min")))
     )
-    marked = placed.select("doc_id", "i", "j_min", anchor.alias("anchor"), F.when(anchor, F.col("j_min")).alias("anchor_j"))
+    marked = placed.select("doc_id", "_span", "i", "j_min", anchor.alias("anchor"), F.when(anchor, F.col("j_min")).alias("anchor_j"))
     anchors = marked.filter("anchor").select("doc_id", "i", F.col("j_min").alias("j"))
     stretches = around(marked, ["doc_id"], "i", {"low_j": "anchor_j"}, {}).filter("not anchor").select(
         "doc_id", "i", F.coalesce("low_j", F.lit(0)).alias("low_j")

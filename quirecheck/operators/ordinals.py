@@ -37,31 +37,33 @@ def around(df: DataFrame, keys: list[str], order: str, before: dict[str, str], a
     """Running extremes next to each row: ``before[out]`` is the maximum of a column over all earlier
     rows of the group, ``after[out]`` the minimum over all later ones; null where there are none.
 
-    As in :func:`ordinal`, spans of ``order`` values are scanned apart and joined to one row per span.
-    ``order`` is unique within a group.
+    As in :func:`ordinal`, spans of ``order`` values are scanned apart and joined to one row per span; the result
+    keeps its ``_span``, and rows that have one are not dealt again. ``order`` is unique within a group.
     """
-    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    cut = df if "_span" in df.columns else df.withColumn("_span", F.floor(F.col(order) / span))
     spans = cut.groupBy(*keys, "_span").agg(
         *[F.max(c).alias(f"_{o}") for o, c in before.items()], *[F.min(c).alias(f"_{o}") for o, c in after.items()]
     )
-    order_spans = W.partitionBy(*keys).orderBy("_span")
-    earlier, later = (W.unboundedPreceding, -1), (1, W.unboundedFollowing)
+    order_spans = W.partitionBy(*keys)
+    # Later rows are earlier ones backwards: Spark sums up a frame that shrinks anew for each row.
+    earlier = (W.unboundedPreceding, -1)
+    forth, back = F.col("_span").asc(), F.col("_span").desc()
     outer = spans.select(
         *keys,
         "_span",
         F.count("*").over(W.partitionBy(*keys)).alias("_spans"),
-        *[F.max(f"_{o}").over(order_spans.rowsBetween(*earlier)).alias(f"_{o}") for o in before],
-        *[F.min(f"_{o}").over(order_spans.rowsBetween(*later)).alias(f"_{o}") for o in after],
+        *[F.max(f"_{o}").over(order_spans.orderBy(forth).rowsBetween(*earlier)).alias(f"_{o}") for o in before],
+        *[F.min(f"_{o}").over(order_spans.orderBy(back).rowsBetween(*earlier)).alias(f"_{o}") for o in after],
     ).filter("_spans > 1")
-    inner = W.partitionBy(*keys, "_span").orderBy(order)
+    inner = W.partitionBy(*keys, "_span")
     local = cut.select(
         "*",
-        *[F.max(c).over(inner.rowsBetween(*earlier)).alias(o) for o, c in before.items()],
-        *[F.min(c).over(inner.rowsBetween(*later)).alias(o) for o, c in after.items()],
+        *[F.max(c).over(inner.orderBy(F.col(order).asc()).rowsBetween(*earlier)).alias(o) for o, c in before.items()],
+        *[F.min(c).over(inner.orderBy(F.col(order).desc()).rowsBetween(*earlier)).alias(o) for o, c in after.items()],
     )
     joined = local.join(outer, [*keys, "_span"], "left")
     return joined.select(
-        *df.columns,
+        *cut.columns,
         *[F.greatest(o, f"_{o}").alias(o) for o in before],
         *[F.least(o, f"_{o}").alias(o) for o in after],
     )
