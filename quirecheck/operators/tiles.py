@@ -283,7 +283,7 @@ def compare_tiles(
     if any(size % n for n in (coarse, fine, block)):
         raise ValueError("the size of a tile must be a multiple of both scales and of the block")
     spark = tiles.sparkSession
-    paths = [scratch_path(spark, f"tile-{name}") for name in ("pages", "sizes")]
+    paths = [scratch_path(spark, f"tile-{name}") for name in ("pages", "sizes", "canvases")]
     scales = (coarse, fine) if align else ()
 
     def compared(a, b):
@@ -305,6 +305,7 @@ def compare_tiles(
         still = sizes.select("page", F.lit(0).alias("dx"), F.lit(0).alias("dy"))
         moves = shifts(ready, sizes, size, threshold, align_above, max_offset, coarse, fine) if align else still
         canvas = sizes.select("page", F.greatest("w_a", "w_b").alias("right"), F.greatest("h_a", "h_b").alias("bottom")).join(moves, "page")
+        canvas = stored(canvas, paths[2])
         own = lambda c: F.when(F.col("side") == 1, F.col(c)).otherwise(0)
         tiled = ready.select("page", "side", "page_w", "page_h", "ty", "tx", "planes").join(canvas, "page")
         pieces = _pieces(tiled.withColumns({"dx": own("dx"), "dy": own("dy")}), size)
