@@ -1,4 +1,8 @@
-"""Exact top-k by inner product: tiled matrix products, partial selection per tile, tree merge."""
+"""Exact top-k by inner product: tiled matrix products, running selection per shard, tree merge.
+
+A task holds one shard of the candidates, of a bounded number of tiles, and streams the queries past it, tile by tile.
+A query leaves a shard with its k best there, so what travels grows with queries times shards, not with pairs of tiles.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirecheck.llm.shared import partitions
+from quirecheck.operators.unions import union_all
+from quirecheck.sources.checkpoints import scratch_path, stored
 
 #: Vectors in one tile, of queries or of candidates; this bounds a product to TILE x TILE numbers.
 TILE = 1024
+#: Tiles of candidates held by a task.
+SHARD = 256
 #: Lists merged by one task of the tree for one query.
 FAN_IN = 16
 #: Integers up to here are exact in double precision.
@@ -35,20 +44,21 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     all. Rows with a null id or vector take no part. Shorter vectors count as padded with zeros. Repeated
     rows are separate candidates; a query id that occurs twice is asked once, with its first vector in order.
     Scores wrap as 64-bit integers do. Every pair of a query and a row is scored: queries travel in tiles to
-    every shard of the rows, never row by row.
+    every shard of the rows, never row by row. The tiles of the rows are written to the shared folder.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    shards = rows.select("id", "v").repartition(n, F.xxhash64("id", "v")).mapInArrow(_pack, "ids binary, matrix binary, width int")
-    shards = shards.withColumn("shard", F.spark_partition_id())
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    tiles = asked.mapInArrow(_pack, "ids binary, matrix binary, width int")
-    tiles = tiles.select(F.struct("ids", "matrix", "width").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
-    pairs = shards.join(tiles, "shard")
-    lists = pairs.select("shard", "ids", "matrix", "width", F.col("query.ids").alias("q_ids"), F.col("query.matrix").alias("q_matrix"), F.col("query.width").alias("q_width")).mapInArrow(
-        _products(k), "query_id long, shard int, best array<struct<minus:decimal(20,0),id:long>>"
-    )
-    width = n
+    packed = rows.select("id", "v").repartition(n, F.xxhash64("id", "v")).mapInArrow(_pack, TILES)
+    tiles = stored(packed, scratch_path(spark, "top-k-tiles"))
+    # One entry for each shard of SHARD tiles.
+    places = sorted((r["part"], r["chunk"]) for r in tiles.select("part", "chunk").distinct().collect())
+    shards = spark.createDataFrame([(*place, i) for i, place in enumerate(places)], "part int, chunk int, shard int")
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_pack, TILES)
+    to_columns = lambda df, query: df.select("shard", F.lit(query).alias("query"), "ids", "matrix", "width")
+    sent = union_all(to_columns(tiles.join(shards, ["part", "chunk"]), False), to_columns(asked.crossJoin(shards.select("shard")), True))
+    width = max(1, len(places))
+    dealt = sent.repartitionById(width, F.col("shard")).sortWithinPartitions("shard", "query")
+    lists = dealt.mapInArrow(_best(k), "query_id long, shard int, best array<struct<minus:decimal(20,0),id:long>>")
     while True:
         width = -(-width // FAN_IN)
         lists = lists.withColumn("shard", F.col("shard") % width) if width > 1 else lists.withColumn("shard", F.lit(0))
@@ -60,20 +70,25 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     )
 
 
+TILES = "part int, chunk int, ids binary, matrix binary, width int"
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as tiles of at most TILE vectors, in order of their ids."""
+    """Rows as tiles of at most TILE vectors, in order of their ids, in the smallest integers that hold them."""
+    part, made = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     vectors: list[list[int]] = []
 
     def tile():
         order = np.argsort(np.array(ids, np.int64), kind="stable")
-        width = max(map(len, vectors))
+        width = max(1, *map(len, vectors))
         matrix = np.zeros((len(ids), width), np.int64)
         for to, i in enumerate(order):
             matrix[to, : len(vectors[i])] = vectors[i]
+        kind = next(t for t in KINDS if np.iinfo(t).min <= matrix.min() and matrix.max() <= np.iinfo(t).max)
         return pa.RecordBatch.from_arrays(
-            [pa.array([np.array(ids, np.int64)[order].tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([width], pa.int32())],
-            names=["ids", "matrix", "width"],
+            [pa.array([part], pa.int32()), pa.array([made // SHARD], pa.int32()), pa.array([np.array(ids, np.int64)[order].tobytes()], pa.binary()), pa.array([matrix.astype(kind).tobytes()], pa.binary()), pa.array([width], pa.int32())],
+            names=["part", "chunk", "ids", "matrix", "width"],
         )
 
     for batch in batches:
@@ -82,44 +97,68 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vectors.append(v)
             if len(ids) == TILE:
                 yield tile()
+                made += 1
                 ids, vectors = [], []
     if ids:
         yield tile()
 
 
-def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
-    if most < EXACT:  # the matrix product in doubles is exact then, and much faster
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+#: Little-endian integers of a tile.
+KINDS = ("<i1", "<i2", "<i4", "<i8")
 
 
-def _products(k: int):
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["matrix"], f"<i{len(row['matrix']) // (len(ids) * row['width'])}").reshape(len(ids), -1)
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows; the narrower side counts as padded with zeros."""
+    width = min(a.shape[1], b.shape[1])
+    a, b = a[:, :width], b[:, :width]
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    if float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * width < EXACT:  # the matrix product in doubles is exact then, and much faster
+        return (x @ y.T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
+def _best(k: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                width = max(row["width"], row["q_width"])
-                c = np.frombuffer(row["matrix"], np.int64).reshape(len(ids), -1)
-                q = np.frombuffer(row["q_matrix"], np.int64).reshape(len(q_ids), -1)
-                scores = _inner(np.pad(q, ((0, 0), (0, width - q.shape[1]))), np.pad(c, ((0, 0), (0, width - c.shape[1]))))
-                best = []
-                for q_id, line in zip(q_ids, scores):
-                    # The query's own rows, however many they are, take no places.
-                    others = np.flatnonzero(ids != q_id)
-                    kept = line[others]
-                    least = np.partition(kept, len(kept) - k)[len(kept) - k] if len(kept) > k else None
-                    at = others if least is None else others[np.concatenate([np.flatnonzero(kept > least), np.flatnonzero(kept == least)[:k]])]
-                    at = at[_order(line[at], ids[at])][:k]
-                    best.append([{"minus": -int(line[i]), "id": int(ids[i])} for i in at])
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+                if row["shard"] != shard:
+                    shard, held = row["shard"], []
+                if not row["query"]:
+                    held.append(_unpacked(row))
+                    continue
+                q_ids, q = _unpacked(row)
+                found = _running(q_ids, q, held, k)
+                lists = [[{"minus": -score, "id": i} for score, i in one] for one in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids, pa.int64()), pa.array(np.full(len(q_ids), row["shard"], np.int32)), pa.array(best, pa.list_(pa.struct([("minus", pa.decimal128(20, 0)), ("id", pa.int64())])))],
+                    [pa.array(q_ids, pa.int64()), pa.array(np.full(len(q_ids), shard, np.int32)), pa.array(lists, pa.list_(pa.struct([("minus", pa.decimal128(20, 0)), ("id", pa.int64())])))],
                     names=["query_id", "shard", "best"],
                 )
 
-    return products
-
-
-def _order(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """By falling score, then rising id."""
-    return np.array(sorted(range(len(ids)), key=lambda i: (-int(scores[i]), int(ids[i]))), dtype=np.int64)
+    return best
+
+
+def _running(q_ids: np.ndarray, q: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, int]]]:
+    """The k best (score, id) of each query over all tiles."""
+    best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+    least = np.full(len(q_ids), np.iinfo(np.int64).min)
+    for ids, matrix in held:
+        scores = _inner(q, matrix)
+        able = scores >= least[:, None]
+        for i in np.flatnonzero(able.any(1)).tolist():
+            # The query's own rows, however many they are, take no places.
+            others = np.flatnonzero(able[i] & (ids != q_ids[i]))
+            kept = scores[i, others]
+            if len(kept) > k:
+                edge = np.partition(kept, len(kept) - k)[len(kept) - k]
+                others = others[np.concatenate([np.flatnonzero(kept > edge), np.flatnonzero(kept == edge)[:k]])]
+            best[i] = sorted(best[i] + list(zip(scores[i, others].tolist(), ids[others].tolist())), key=lambda x: (-x[0], x[1]))[:k]
+            if len(best[i]) == k:
+                least[i] = best[i][-1][0]
+    return best

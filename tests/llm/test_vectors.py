@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,27 @@ def test_quantised():
     rows = [([0.5, -0.001],), ([float("nan")],), ([None, 1.0],), (None,), ([],), ([float("-inf")],)]
     got = [r["q"] for r in spark.createDataFrame(rows, "v array<float>").select(topk.quantised(F.col("v")).alias("q")).collect()]
     assert got == [[128, -1], None, None, None, None, None]
+
+
+def test_a_query_leaves_a_shard_once_with_its_best():
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.integers(-3, 4, size=4) for i in range(60)}
+
+    def row(ids, query):
+        return {"shard": 3, "query": query, "ids": np.array(ids, np.int64).tobytes(), "matrix": np.array([vectors[i] for i in ids], "<i1").tobytes(), "width": 4}
+
+    rows = [row(range(at, at + 12), False) for at in range(0, 60, 12)] + [row([0, 20, 40], True)]
+    schema = pa.schema([("shard", pa.int32()), ("query", pa.bool_()), ("ids", pa.binary()), ("matrix", pa.binary()), ("width", pa.int32())])
+    got = [r for batch in topk._best(4)(iter(pa.RecordBatch.from_pylist([r], schema) for r in rows)) for r in batch.to_pylist()]
+    assert [r["query_id"] for r in got] == [0, 20, 40]  # once for each of the five tiles before
+    for r in got:
+        want = sorted((-int(vectors[r["query_id"]] @ v), i) for i, v in vectors.items() if i != r["query_id"])[:4]
+        assert [(int(x["minus"]), x["id"]) for x in r["best"]] == want
+
+
+def test_tiles_are_packed_in_the_smallest_integers():
+    for kind, number in zip(topk.KINDS, (100, 1_000, 100_000, 2**40)):
+        row = {"ids": np.array([5, 6], np.int64).tobytes(), "matrix": np.array([[1, -number], [0, 2]], kind).tobytes(), "width": 2}
+        ids, matrix = topk._unpacked(row)
+        assert ids.tolist() == [5, 6] and matrix.tolist() == [[1, -number], [0, 2]]
+    assert topk._inner(np.array([[2, 3, 9]], "<i1"), np.array([[100, 100]], "<i1")).tolist() == [[500]]
