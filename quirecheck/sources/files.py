@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirecheck.functions.text import strip
@@ -15,11 +16,90 @@ from quirecheck.sources.checkpoints import scratch_path, stored
 from quirecheck.sources.records import csv_records, json_items
 
 
+#: Bytes of a file held at once while it is hashed; names of a folder sent at once.
+PIECE, NAMES = 1 << 20, 10_000
+
+
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, size, sha256) of the files in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    found = files.option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of the files in a folder.
+
+    Tasks list the folders, level by level, and hash the files where they are, so the driver holds no list of them: it
+    only learns whether a level has folders. Names with a leading dot or underline are passed over, as Spark's readers do
+    it, and so are folders if not ``recursive``, but for those of partitions (``key=value``).
+    """
+    prefix, root = _located(spark, folder)
+    listed = scratch_path(spark, "listed")
+    level, depth = spark.createDataFrame([(root,)], "folder string"), 0
+    while True:
+        found = stored(level.mapInArrow(_list_folders(prefix, recursive), "folder string, path string, size long"), f"{listed}/level={depth}")
+        depth += 1
+        level = found.where("folder is not null").select("folder")
+        if level.isEmpty():
+            break
+        level = level.repartition(spark.sparkContext.defaultParallelism, "folder")
+    files = spark.read.schema("folder string, path string, size long, level int").parquet(listed).where("path is not null").select("path", "size")
+    glob = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    files = files.where(F.element_at(F.split("path", "/"), -1).rlike(rf"(?s)\A(?:{glob})\z"))
+    return files.repartition(_file_tasks(files), F.xxhash64("path")).mapInArrow(_hash_files(prefix), "path string, size long, sha256 string")
+
+
+def _file_tasks(files: DataFrame) -> int:
+    """Tasks for files, as many as for their number at least."""
+    spark = files.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-files.count() // NAMES))
+
+
+def _located(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """What stands before a path in Spark's names of files, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    prefix = re.match(r"[^:/]+:(?://[^/]*)?", full)[0]
+    return prefix, full[len(prefix) :]
+
+
+def _opened(prefix: str, path: str) -> tuple[FileSystem, str]:
+    """The file system, and what it calls the path."""
+    return (LocalFileSystem(), path) if prefix == "file:" else FileSystem.from_uri(prefix + path)
+
+
+def _list_folders(prefix: str, recursive: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            files, path = _opened(prefix, folder)
+            itself = files.get_file_info(path)
+            found = [itself] if itself.type == FileType.File else files.get_file_info(FileSelector(path))
+            for at in range(0, len(found), NAMES):
+                rows = []
+                for info in found[at : at + NAMES]:
+                    name, here = info.base_name, folder if info is itself else f"{folder.rstrip('/')}/{info.base_name}"
+                    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+                    if hidden and not name.startswith(("_metadata", "_common_metadata")):
+                        continue
+                    if info.type == FileType.Directory:
+                        if recursive or "=" in name:
+                            rows.append((here, None, None))
+                    else:
+                        rows.append((None, here, info.size))
+                folders, paths, sizes = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["folder", "path", "size"])
+
+    return run
+
+
+def _hash_files(prefix: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, hashes = batch.column(0).to_pylist(), []
+            for path in paths:
+                files, where = _opened(prefix, path)
+                digest = hashlib.sha256()
+                with files.open_input_stream(where) as read:
+                    while piece := read.read(PIECE):
+                        digest.update(piece)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array([prefix + p for p in paths], pa.string()), batch.column(1), pa.array(hashes, pa.string())], names=["path", "size", "sha256"])
+
+    return run
 
 
 def write_files(rows: DataFrame, folder: str) -> None:

@@ -1,5 +1,6 @@
 """Files cut into many blocks, against readers that go through them character by character."""
 
+import hashlib
 import json
 import random
 
@@ -127,3 +128,26 @@ def test_json_files_share_folders(monkeypatch, tmp_path):
     written = [p for p in (tmp_path / "table-json").rglob("part=*") if p.is_file()]
     assert len(written) == sum(r["c1"] == "c1" for r in found) > 1
     assert len({p.parent for p in written}) == 1  # one for each file before, moved one by one by the driver
+
+
+def test_scanned_files_are_listed_by_tasks(tmp_path):
+    spark = session()
+    for name in ("a.txt", "b.csv", ".h.txt", "_h.txt", "k=1/c.txt", "k=1/_x/d.txt", "sub/é %20.txt", "sub/deep/e.txt", "sub/deep/empty.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode() * 300_000)
+
+    def plain(pattern, recursive):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(str(tmp_path))
+        return sorted(map(tuple, files.selectExpr("path", "length", "sha2(content, 256)").collect()))
+
+    for pattern in ("*", "*.txt", "{a,c}.*", "[^ab]*.txt"):
+        found = I.scan_files(spark, str(tmp_path), pattern)
+        # Spark's reader passes over files of no bytes.
+        empty = [(f"file:{tmp_path}/sub/deep/empty.txt", 0, hashlib.sha256().hexdigest())] if pattern != "{a,c}.*" else []
+        assert sorted(map(tuple, found.collect())) == sorted(plain(pattern, "true") + empty)
+        assert not [f for f in found.inputFiles() if f.endswith((".txt", ".csv"))]  # all of them before, on the driver
+    assert [r["path"] for r in I.scan_files(spark, str(tmp_path / "a.txt")).collect()] == [f"file:{tmp_path}/a.txt"]
+    (tmp_path / "none").mkdir()
+    assert I.scan_files(spark, f"file:{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="missing"):
+        I.scan_files(spark, str(tmp_path / "missing"))
